@@ -12,6 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import on_workers
 
 
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_BYTES each, so that working arrays stay small whatever a row's size is."""
+    if batch.nbytes <= SLICE_BYTES or batch.num_rows < 2:
+        if batch.num_rows:
+            yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half))
+    yield from slices(batch.slice(half))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """df.mapInArrow with one state for each task: make() returns a function of a batch that yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,7 +36,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
     def run(batches):
         step = make()
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             for cols in step(batch):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, cols[f.name]) for f in kinds)], schema=kinds)
 

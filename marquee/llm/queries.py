@@ -23,6 +23,20 @@ def op1_token_output(spark, sf_dir):
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+
+    got = token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), budget=512)
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_chars")
+
+
+def op9_bpe(spark, sf_dir):
+    from .bpe import encode
+
+    got = encode(_table(spark, sf_dir, "documents"), _tokenizer())
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -211,6 +211,11 @@ class Pieces:
             rows[missing] = self._add(distinct[missing], fetch(first[missing]))
         return rows[codes]
 
+    def rows_of(self, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Table rows of any spans (units, starts, ends)."""
+        u, s, e = spans
+        return self._rows(span_hashes(u, s, e), lambda at: [u[s[i] : e[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in at])
+
     def slow(self, text: str) -> list[str]:
         """The library's own split, special strings apart."""
         parts = re.split(f"({re.escape(self.special)})", text) if self.special else [text]
@@ -225,7 +230,10 @@ class Pieces:
         return [(text[a:b], (a, b)) for _, (a, b) in _merged(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))]
 
     def batch(self, texts: list[str]):
-        """Yields (first, last, rows of the pieces, pieces before each text, starts, ends) by chunk of texts."""
+        """Yields (first, last, rows of the pieces, pieces before each text, starts, ends, units) by chunk of texts.
+
+        units: the chunk's code points; None where one text took the slow split.
+        """
         if self.rows > self.most:
             self.clear()
         for a, b in in_chunks(texts):
@@ -240,8 +248,8 @@ class Pieces:
                 yield from self._mixed(a, part, hard)
                 continue
             starts, ends = piece_spans(units, kind)
-            rows = self._rows(span_hashes(units, starts, ends), lambda at, u=units, s=starts, e=ends: [u[s[i] : e[i]].tobytes().decode("utf-32-le") for i in at])
-            yield a, b, rows, np.searchsorted(starts, edges), starts, ends
+            rows = self.rows_of((units, starts, ends))
+            yield a, b, rows, np.searchsorted(starts, edges), starts, ends, units
 
     def _mixed(self, a: int, part: list[str], hard: set[int]):
         """Chunks with texts that the fast split can't take: those one by one, the runs between them as ever."""
@@ -253,7 +261,7 @@ class Pieces:
                 ends = np.cumsum(lengths)
                 keys = np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), seed=7) for p in pieces], dtype=U64)
                 rows = self._rows(keys, lambda at, p=pieces: [p[j] for j in at]) if pieces else np.empty(0, np.int64)
-                yield a + i, a + i + 1, rows, np.array([0, len(pieces)]), ends - lengths, ends
+                yield a + i, a + i + 1, rows, np.array([0, len(pieces)]), ends - lengths, ends, None
                 i += 1
                 continue
             j = i
