@@ -23,6 +23,20 @@ def op1_token_output(spark, sf_dir):
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_pii(spark, sf_dir):
+    from .pii import KINDS, find_pii, of_kind, rendered
+
+    got = find_pii(_table(spark, sf_dir, "documents"))
+    counts = [F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return got.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def op3_decontamination(spark, sf_dir):
+    from .decontaminate import find_contained
+
+    return find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -30,6 +44,12 @@ def op4_token_counts(spark, sf_dir):
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_chars")
 
 
+def op6_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     from .bpe import encode
 
