@@ -50,6 +50,21 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_fertility(spark, sf_dir):
+    from .fertility import fertility_rules
+
+    got = fertility_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("entropy", 6).alias("entropy"))
+
+
+def op8_language_id(spark, sf_dir):
+    from .langid_ppm import predict, remainder, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return predict(docs, train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark, sf_dir):
     from .bpe import encode
 
