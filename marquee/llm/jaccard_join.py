@@ -31,6 +31,7 @@ LOCAL = 8  # documents of one slice that hold a shingle, beyond which the slice
 MOST_SHARED = 4  # most shared prefix shingles that a document asks for
 BROADCAST_ROWS = 1_000_000  # candidates (24 bytes each) up to which they are broadcast; beyond, a shuffled join
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 8_000_000  # of one block of a candidate group
+BUCKETS = 4  # of hashes, for each shuffle partition: a bucket is in memory at once
 MANY = np.uint32(0xFFFFFFFF)
 
 DOCS = "doc_id long, n int, h1 long, h2 long, need int, prefix array<long>"
@@ -158,7 +159,7 @@ def _prefixes(percent: int):
 
 def document_prefixes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """DOCS: each document's set size, set hash, shared shingles to ask for, and prefix."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blobs = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _spread(width, buckets), _BLOBS)
     shared = blobs.groupBy("to").applyInPandas(_shared, _BLOBS)
     return shared.groupBy("unit").applyInPandas(_prefixes(percent), DOCS)

@@ -44,6 +44,16 @@ def op4_token_counts(spark, sf_dir):
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_chars")
 
 
+def op5_quality(spark, sf_dir):
+    from .langid_ppm import remainder
+    from .quality_cnn import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    network = train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return predict(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
