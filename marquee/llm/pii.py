@@ -171,7 +171,8 @@ def rendered(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every found span of text replaced by its kind in angle brackets; a null text stays null."""
-    found = base_entities(docs).withColumn("key", _row_key())
+    own = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    found = base_entities(own).withColumn("key", _row_key())
     added = _grouped(discover(written(found.select("key", "seen"))))
     if added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         added = F.broadcast(added)
@@ -184,4 +185,4 @@ def redact(docs: DataFrame) -> DataFrame:
     parts = F.transform("_s", lambda s, i: F.concat(F.substring(F.col("text"), gap(s, i) + 1, s["start"] - gap(s, i)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     rest = F.substring(F.col("text"), F.element_at("_s", -1)["end"] + 1, F.length("text"))
     text = F.when(F.size("_s") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))
-    return both.withColumn("text", text).select(docs.columns)
+    return both.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")

@@ -157,21 +157,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network
     return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """docs' columns and score, the probability of label 1, for docs with a text column."""
+def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
+    """docs' columns and one of that name, the probability of label 1, for docs with a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def make():
         network = shared.value
 
         def step(batch):
-            cols = {name: batch[name] for name in batch.schema.names}
-            yield cols | {"score": network.score([x or "" for x in batch["text"].to_pylist()]).astype(float)}
+            cols = {c: batch[c] for c in batch.schema.names}
+            yield cols | {name: network.score([x or "" for x in batch["text"].to_pylist()]).astype(float)}
 
         return step
 
-    return map_batches(docs.select([c for c in docs.columns if c != "score"]), make, f"{schema}, score double")
+    return map_batches(docs, make, f"{schema}, `{name}` double")
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:

@@ -82,6 +82,16 @@ def op9_bpe(spark, sf_dir):
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_toxicity(spark, sf_dir):
+    from .langid_ppm import remainder
+    from .toxicity_cnn import CUT, predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    network = train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return predict(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
