@@ -15,7 +15,7 @@ MILES, METRES = 3958.8, 6_371_000.0  # the earth's radius
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float) -> Column:
     """Great-circle distance in the radius' unit."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def in_box(lat: Column, lng: Column, city: City = NYC) -> Column:

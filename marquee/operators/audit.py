@@ -38,8 +38,8 @@ def is_stale_now(as_of: str) -> Column:
 
 
 def hours_ago(as_of: str) -> Column:
-    seconds = F.unix_timestamp(at(as_of).cast("timestamp")) - F.unix_timestamp(F.coalesce("end_at", "start_at").cast("timestamp"))
-    return js_round(seconds / 3600.0)
+    micros = F.unix_micros(at(as_of).cast("timestamp")) - F.unix_micros(F.coalesce("end_at", "start_at").cast("timestamp"))
+    return js_round(micros / 3.6e9)
 
 
 def quality_score(fresh: Column, missing: Column, placed: Column, priced: Column, single: Column) -> Column:

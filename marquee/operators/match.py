@@ -20,7 +20,7 @@ def trust(source: Column) -> Column:
 
 
 def minutes(ts: Column) -> Column:
-    return F.unix_timestamp(ts.cast("timestamp")) / 60.0
+    return F.unix_micros(ts.cast("timestamp")) / 6e7
 
 
 def buckets(ts: Column, size: int) -> tuple[Column, Column]:
