@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import on_workers
 
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

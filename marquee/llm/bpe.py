@@ -24,6 +24,7 @@ from .textvec import BASE, INVERSE, U64, Pieces, _power, mix, sums_by_text
 from .tokenizer import load, special_string, values_by_text
 
 NEVER = np.int64(1) << 40
+MOST_PIECES = 700_000  # that a worker remembers
 SHORT = 64  # bytes of a word that the vectorised forms take; longer ones are merged alone
 
 
@@ -219,7 +220,7 @@ def bpe_pieces(path: str) -> Pieces:
             return np.concatenate([a[0], np.array([library.token_to_id(special)], np.uint32), b[0]]), [*a[1], 1, *b[1]]
         return m.encode_words(pieces)
 
-    return Pieces(library, learn, np.uint32, special)
+    return Pieces(library, learn, np.uint32, special, MOST_PIECES)
 
 
 def encode(docs: DataFrame, tokenizer: str, decoded: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
+from .textvec import in_chunks
 from .training import Adam, balanced, best_cut, calibrated, logistic, sample
 
 EMBED, FILTERS, WIDTH, STRIDE = 8, 24, 8, 2
@@ -59,12 +60,13 @@ class Network:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        flat, mark, first, n = _bytes(texts)
-        x = self._channels(flat, mark)
-        positions = np.maximum((n + STRIDE - 1) // STRIDE, 1)
         out = np.empty(len(texts))
-        for i in range(len(texts)):
-            out[i] = self._one(x[first[i] : first[i] + positions[i] * STRIDE + WIDTH - STRIDE], int(positions[i]))
+        for a, b in in_chunks(texts):
+            flat, mark, first, n = _bytes(texts[a:b])
+            positions = np.maximum((n + STRIDE - 1) // STRIDE, 1)
+            for i in range(b - a):
+                own = slice(first[i], first[i] + positions[i] * STRIDE + WIDTH - STRIDE)
+                out[a + i] = self._one(self._channels(flat[own], mark[own]), int(positions[i]))
         return calibrated(logistic(out), np.float64(self.cut), 0.5)
 
     def _one(self, x: np.ndarray, n: int) -> float:

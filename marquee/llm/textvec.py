@@ -19,7 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 LONG = 64
-CHUNK = 2_000_000  # units of text handled at once; one longer text is handled alone
+CHUNK = 600_000  # units of text handled at once; one longer text is handled alone
 
 _powers: dict[int, np.ndarray] = {}
 

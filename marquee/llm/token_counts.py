@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .bpe import SHORT, Merges, merges, prefix_sums
+from .bpe import MOST_PIECES, SHORT, Merges, merges, prefix_sums
 from .textvec import Pieces
 from .tokenizer import load, special_string
 
@@ -84,7 +84,7 @@ def step_pieces(path: str) -> Pieces:
             out.append(steps)
         return np.concatenate(out).astype(STEP), [len(x) for x in out]
 
-    return Pieces(library, learn, STEP, special)
+    return Pieces(library, learn, STEP, special, MOST_PIECES)
 
 
 def text_steps(table: Pieces, texts: list[str]):

@@ -1,0 +1,356 @@
+"""Every operator against brute force on small tables, and on awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+P = pytest.importorskip("public_tokenizers")
+from marquee.llm import bpe, decontaminate, fertility, jaccard_join, langid_ppm, pii, quality_cnn, queries, stages, token_counts, token_output, toxicity_cnn  # noqa: E402
+from marquee.llm.tokenizer import library_pieces, load, values_by_text  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+BPE = P.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+#: Null and empty texts, a long one, repeated rows, equal texts, a null id, rare characters; columns whose names operators use.
+AWKWARD = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one two three"), (5, "one two three"), (6, "a b c d e f g h"), (6, "a b c d e f g h"), (None, "nobody's text here with words"),
+    (7, "word " * 30_000), (8, "naïve Ω 日本語 🎉\x00 x\x85y"), (9, "<|endoftext|>a  <|endoftext|>"), (10, "x" * 3000), (11, "mail a@b.co 10.0.0.1 +1 (988) 555-2485 or 4111 1111 1111 1111"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, base string, key long, n int, ids string, seen string"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(i, t, None, "s", 0, 1.0, "b", 2, 3, "i", "z") for i, t in AWKWARD], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def encoded(t):
+    return load(BPE).encode(t or "", add_special_tokens=False).ids
+
+
+def test_op1_round_trip_in_order(spark, texts):
+    got, start = by_id(queries.op1_token_output(spark, SMALL)), 0
+    assert len(got) == len(texts)
+    for i in sorted(texts):
+        ids = [*encoded(texts[i]), 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_op1_awkward_and_empty(awkward, empty):
+    rows = sorted(token_output.token_output(awkward, BPE).collect(), key=lambda r: r.start)
+    assert rows[0].doc_id is None and [r.doc_id for r in rows[1:]] == sorted(i for i, _ in AWKWARD if i is not None)
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4"))) for r in rows) == Counter((i, (*encoded(t), 2)) for i, t in AWKWARD)
+    assert token_output.token_output(empty, BPE).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4, 6, 18])
+def test_op1_code_lengths_are_bounded_and_complete(limit):
+    lengths = token_output.limited_lengths(np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233]), limit)
+    assert lengths.max() <= limit and math.isclose(sum(2.0**-x for x in lengths), 1.0)
+    coder = token_output.Coder(np.arange(13) * 7, lengths)
+    ids, n = np.random.default_rng(1).integers(0, 13, 2000) * 7, np.array([1, 700, 299, 1000])
+    payload, size, marks = coder.encode(ids, n)
+    start = marks + np.repeat((np.cumsum(size) - size) * 8, -(-n // token_output.EVERY))
+    assert (coder.decode(payload, start, n) == ids).all()
+
+
+def base_spans(t):
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    out += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_op2_base_spans(spark, texts):
+    got = by_id(queries.op2_pii(spark, SMALL))
+    assert {i: r.base_sha256 for i, r in got.items()} == {i: hashlib.sha256(base_spans(t or "").encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_op2_patterns_match_their_definitions(spark):
+    rng = random.Random(5)
+    hard = ["a@b.c_d@e.f g@h.i@j.k", "1.2.3.4.5.6.7.8 300.1.1.1", "4111 1111 1111 1111-5 4111-1111-1111-1111", "é 🎉 x@y.zz 🎉 10.0.0.1", "9" * 3000, "1." * 2000, "x@" + "a." * 2000, "1 " * 3000]
+    hard += ["".join(rng.choice("012345 4111-+().@ab.%") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    rows = pii.base_entities(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")).select("doc_id", pii.rendered(F.col("base")).alias("b")).collect()
+    assert {r.doc_id: r.b for r in rows} == {i: base_spans(t) for i, t in enumerate(hard)}
+
+
+def test_op2_patterns_learned_from_seeds_find_more(spark):
+    rows = [(i, f"some words email: user{i}@mail.com and more") for i in range(20)] + [(100, "the email: jane_doe77 and more"), (101, "a random99x word")]
+    found = {r.doc_id: r.added for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[100]] == [("email", 11, 21)]
+    assert not any(found[i] for i in found if i != 100)
+    assert by_id(pii.redact(spark.createDataFrame(rows, "doc_id long, text string")))[100].text == "the email: <EMAIL> and more"
+
+
+def test_op2_awkward_and_empty(awkward, empty):
+    rows = pii.find_pii(awkward).collect()
+    assert Counter((r.doc_id, len(r.base)) for r in rows) == Counter((i, len([x for x in base_spans(t or "").split(",") if x])) for i, t in AWKWARD)
+    clean = pii.redact(awkward)
+    assert clean.columns == awkward.columns and clean.count() == len(AWKWARD)
+    assert by_id(clean)[11].text == "mail <EMAIL> <IP> <PHONE> or <CARD>" and by_id(clean)[1].text is None
+    assert pii.find_pii(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def shingles(t, width=5):
+    w = WORD.findall((t or "").translate(LOWER))
+    return set() if not w else {tuple(w)} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
+def test_op3_containment_is_exact(spark, docs, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    items[900], items[901], items[902] = "one two three", None, texts[0][:200]
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(5000, "zero one two three four five six"), (5001, None), (5002, "")], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.find_contained(more, table).collect()}
+    want = set()
+    for i, t in [*texts.items(), (5000, "zero one two three four five six")]:
+        for j, x in items.items():
+            if s := shingles(x):
+                k = len(s & shingles(t, len(next(iter(s)))))
+                if 100 * k >= 75 * len(s):
+                    want.add((i, j, k))
+    assert got == want and (5000, 900, 1) in got
+
+
+def test_op3_awkward_and_empty(spark, awkward, empty):
+    items = spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_contained(awkward, items).collect()] == [(6, 1)]
+    assert decontaminate.find_contained(empty, items).count() == 0 and decontaminate.find_contained(awkward, items.where("false")).count() == 0
+
+
+def test_op4_and_op9_match_the_library(spark, texts):
+    counts, coded = by_id(queries.op4_token_counts(spark, SMALL)), by_id(queries.op9_bpe(spark, SMALL))
+    for i, t in texts.items():
+        ids = encoded(t)
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len((t or "").encode()), len(ids), len(ids) > 512)
+        assert coded[i].n_tokens == len(ids) and coded[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert coded[i].decoded_sha256 == hashlib.sha256(load(BPE).decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def hard_texts():
+    rng = random.Random(3)
+    out = ["it's we're I'll 'd''s  x\n\n y \t\tz  ", "", "a<|endoftext|>b  <|endoftext|>", "日本語 テスト　x 中 a  b", "'tis '  's 'S don't've12'3 !!'s  're", "\n \n", "a\x00b", "x\x85y 🎉🎉 naïve Ω", "a" * 300, "     " * 50 + "x", "-" * 300]
+    return out + ["".join(rng.choice("ab  \n\t'slreéñΩ<|endoftext|>1.! ") for _ in range(rng.randint(0, 50))) for _ in range(150)]
+
+
+def test_op4_counts_every_prefix():
+    table, t = token_counts.step_pieces(BPE), load(BPE)
+    for x, steps in zip(hard_texts(), token_counts.text_steps(table, hard_texts()), strict=True):
+        assert list(np.cumsum(steps, dtype=int)) == [len(t.encode(x[:i], add_special_tokens=False).ids) for i in range(1, len(x) + 1)]
+        for budget in (0, 1, 5):
+            fits = [i for i in range(len(x) + 1) if token_counts.count_at(steps.tobytes(), i) <= budget]
+            assert token_counts.cut_at(steps.tobytes(), budget) == max(fits)
+
+
+def test_op9_pieces_match_the_library():
+    ours, theirs = (list(values_by_text(f(BPE), hard_texts())) for f in (bpe.bpe_pieces, library_pieces))
+    assert all(list(a) == list(b) == encoded(x) for a, b, x in zip(ours, theirs, hard_texts(), strict=True))
+
+
+def test_op9_speculation_agrees_with_merging():
+    m, rng = bpe.merges(BPE), random.Random(9)
+    words = ["".join(rng.choice("thendroiasly") for _ in range(rng.randint(1, 14))).encode() for _ in range(2000)]
+    ids, count, failed = m.speculate(words)
+    assert 0 < len(failed) < len(words)
+    for k, x in enumerate(np.split(ids, np.cumsum(count)[:-1])):
+        assert (list(x) == m.merged(words[k])) == (k not in set(failed))
+
+
+def test_op4_op9_awkward_and_empty(awkward, empty):
+    for r in bpe.encode(awkward, BPE).collect():
+        want = dict(AWKWARD)[r.doc_id] or ""
+        assert r.decoded == want and list(np.frombuffer(r.ids, "<u4")) == encoded(want)
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(awkward, BPE).collect()} == {(i, len(encoded(t))) for i, t in AWKWARD}
+    assert bpe.encode(empty, BPE).count() == 0 and token_counts.token_counts(empty, BPE).count() == 0
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score, kind="stable"))
+    pos = y == 1
+    return (order[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(queries.op5_quality, "quality", 0.95), (queries.op10_toxicity, "toxic", 0.7)])
+def test_classifiers_on_held_out_labels(spark, query, label, least):
+    d = "/root/testdata/sf0.01"
+    got = query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert auc(got.score.to_numpy(), got[label].to_numpy()) > least and got.score.between(0, 1).all()
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality_cnn, "quality"), (toxicity_cnn, "toxic")])
+def test_classifiers_awkward_and_empty(spark, awkward, empty, module, label):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)] + [(None, 1), (3, None), (4, 7)], f"doc_id long, {label} int")
+    network = module.train(awkward, labels, label)
+    rows = module.predict(awkward, network).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 6}) == 1
+    for none in (labels.where("false"), labels.where(f"{label} = 1")):
+        assert len({r.score for r in module.predict(awkward, module.train(awkward, none, label)).collect()}) == 1
+    assert module.predict(empty, network).count() == 0
+
+
+def components_by_force(rows):
+    sets, holders, up = [shingles(t) for _, t in rows], defaultdict(list), list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    shared = Counter((a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :])
+    for (a, b), k in shared.items():
+        if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+            up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return {i: (len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_docs": 2}])
+def test_op6_components(spark, blocks):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst")
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(word() if rng.random() < 0.02 else w for w in base)) for i in range(60)]
+    rows += [(100 + i, " ".join(base[:20] + [word() for _ in range(40)])) for i in range(40)]
+    rows += [(200 + i, "same text in every one of these rows") for i in range(30)] + [(300, "Same TEXT in every one of these rows"), (301, "three words only"), (302, "three words only"), (303, ""), (304, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **blocks).collect()}
+    assert got == components_by_force(rows)
+
+
+def test_op6_whole_table(spark, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_jaccard_join(spark, SMALL).collect()}
+    assert got == components_by_force(list(texts.items()))
+
+
+def test_op6_awkward_and_empty(awkward, empty):
+    rows = jaccard_join.jaccard_components(awkward).collect()
+    assert len(rows) == len(AWKWARD)
+    got = {r.doc_id: r.component_id for r in rows}
+    assert got[5] == 4 and got[1] == 1 and got[2] == 2 and got[None] is None
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def rules_by_force(t):
+    w, seen, dup, covered = WORD.findall(t), set(), 0, set()
+    c = Counter(zip(w, w[1:], w[2:], strict=False))
+    for i in range(len(w) - 2):
+        if c[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(covered)
+
+
+def test_op7_counts_and_measures(spark, texts, awkward, empty):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = by_id(fertility.fertility_rules(spark.read.parquet(f"{SMALL}/documents.parquet"), P.path("piece_bpe_32k.model")))
+    for i, t in texts.items():
+        r, n = got[i], rules_by_force(t or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.base_failed and r.kept)
+        ids = [x for w in WORD.findall(t or "") for x in model.encode(w)]
+        entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in Counter(ids).values()) if ids else 0
+        assert r.n_tokens == len(ids) and math.isclose(r.entropy, entropy, abs_tol=1e-6)
+    rows = fertility.fertility_rules(awkward, P.path("piece_bpe_32k.model")).collect()
+    assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(WORD.findall(t or ""))) for i, t in AWKWARD)
+    assert fertility.fertility_rules(empty, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_op8_costs_are_the_definition():
+    grams, _ = langid_ppm._grams(["abab", "abba"])
+    code, n = np.unique(grams, return_counts=True)
+    trees = langid_ppm.Trees(["x"], np.zeros(len(code), int), code, n.astype(float))
+    # after zeros, 'a' came twice of two: 2 of 2 + 1 symbols
+    assert math.isclose(trees.costs(np.array([ord("a")]))[0, 0], -math.log2(2 / 3))
+    # 'c' in no context: escapes from 0,0,0 (1 of 3), then shorter contexts where held, at last 8 bits
+    assert trees.costs(np.array([ord("c")]))[0, 0] > 8
+
+
+def test_op8_held_out_and_awkward(spark, awkward, empty):
+    got = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
+    trees = langid_ppm.train(spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "le chat et la souris", "fr"), (3, None, "de"), (4, "x", None)], "doc_id long, text string, lang string"), per_language=10)
+    rows = by_id(langid_ppm.predict(awkward, trees))
+    assert rows[1].lang_pred == rows[2].lang_pred == rows[3].lang_pred == "und" and rows[4].lang_pred in ("en", "fr")
+    assert langid_ppm.predict(empty, trees).count() == 0
+    assert {r.lang_pred for r in langid_ppm.predict(awkward, langid_ppm.train(awkward)).collect()} == {"und"}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = stage(spark, docs, d)
+        assert name == "bpe" or docs.columns == before.columns
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept, was = ({r.doc_id: r for r in x.collect()} for x in (docs, before))
+        if name == "quality":
+            gone = [i for i in was if i not in kept and i in labels]
+            assert gone and np.mean([labels[i].quality for i in gone]) < 0.05
+        if name == "near_duplicates":
+            want = components_by_force([(i, r.text) for i, r in was.items()])
+            assert set(kept) == {i for i in was if want[i][1] == i}
+        if name == "decontamination":
+            items = [shingles(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+            bad = {i for i, r in was.items() if any(x and 100 * len(x & shingles(r.text)) >= 75 * len(x) for x in items)}
+            assert set(kept) == set(was) - bad and bad
+        if name == "pii":
+            assert set(kept) == set(was) and not any(base_spans(r.text) for r in kept.values())
+        if name == "bpe":
+            assert all(r.decoded == was[i].text and r.n_tokens == len(encoded(was[i].text)) for i, r in kept.items())
+
+
+def test_stages_take_awkward_rows(spark, awkward, empty):
+    d = "/root/testdata/sf0.001"
+    for stage in (stages.keep_one_of_each_group, stages.drop_contaminated, stages.redact_pii, stages.keep_quality):
+        out = stage(spark, awkward, d)
+        assert out.columns == awkward.columns and out.count() <= len(AWKWARD)
+        assert stage(spark, empty, d).count() == 0
+    left = stages.keep_one_of_each_group(spark, awkward, d)
+    assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
