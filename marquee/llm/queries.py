@@ -96,5 +96,20 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = """list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
+_SHINGLES = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+#: The other operators' results come from library tokenizers, trained models or iterations: tests/llm holds brute-force versions.
+ORACLES = {
+    "op3_decontamination": f"""
+        WITH s AS (SELECT DISTINCT doc_id, {_SHINGLES} AS shingle FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
+        t AS (SELECT DISTINCT item_id, {_SHINGLES} AS shingle FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
+        n AS (SELECT item_id, count(*) AS n FROM t GROUP BY item_id)
+        SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared
+        FROM s JOIN t USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+    """,
+}
+
+
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
