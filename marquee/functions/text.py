@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import on_workers
+
 ASCII = r"^[\x00-\x7F]*$"
 
 
@@ -23,6 +25,8 @@ def _no_marks(texts: pd.Series) -> pd.Series:
 
 def fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks U+0300-036F, in Arrow batches; plain ASCII comes back as it is."""
+    if (session := SparkSession.getActiveSession()) is not None:
+        on_workers(session)
     return F.pandas_udf(_no_marks, T.StringType())(c)
 
 
