@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marquee-checkpoints").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read again."""
+    """df written to the shared folder and read again."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marquee-checkpoints"
-    path = f"{root.rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/pairs-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -149,3 +149,18 @@ def d10(spark, sf_dir):
 def d11(spark, sf_dir):
     keys = view(spark, sf_dir, "venues_v").select("name", F.replace(venues.venue_key(F.regexp_replace("name", "( - .*| & .*)$", "")), F.lit(" "), F.lit("")).alias("key"))
     return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("w4_top_candidates", f"WITH {_DUP} SELECT id, candidate, n AS rank FROM dup WHERE n <= 3")
+def w4(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    top = Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate")
+    rows = match.duplicate_candidates(listings(spark, sf_dir), most=3)
+    return rows.select("id", "candidate", F.row_number().over(top).cast("long").alias("rank"))
+
+
+@query("w5_best_venue")
+def w5(spark, sf_dir):
+    v, known, aliases = registry(spark, sf_dir)
+    return venues.resolve(v.select("name", "lat", "lng"), known, aliases).where("matched_by = 'proximity'").select("name", "venue_id")

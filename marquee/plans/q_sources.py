@@ -193,3 +193,41 @@ def s11(spark, sf_dir):
     f = geojson_features(listings(spark, sf_dir))
     at = lambda i: F.get_json_object("feature", f"$.geometry.coordinates[{i}]").cast("double")
     return f.select("id", at(0).alias("x"), at(1).alias("y"))
+
+
+@query("n10_page_events", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CASE WHEN id % 2 = 0 THEN 'music' ELSE 'comedy' END AS category, coalesce(description, 'short') AS description FROM listings_v WHERE id % 4 <> 3 AND venue_name IS NOT NULL AND (lat IS NULL OR (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004)) AND date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
+def n10(spark, sf_dir):
+    venue = F.struct(F.col("venue_name").alias("name"), F.struct(F.col("lat").cast("string").alias("latitude"), F.col("lng").cast("string").alias("longitude")).alias("address"))
+    tags = F.array(F.struct(F.lit("EventbriteFormat").alias("prefix"), F.lit("Comedy show").alias("display_name")), F.struct(F.when(F.col("id") % 2 == 0, "EventbriteCategory").otherwise("Other").alias("prefix"), F.lit("Music").alias("display_name")))
+    body = F.struct(F.col("external_id").alias("eid"), F.col("title").alias("name"), F.col("description").alias("full_description"), F.lit("short").alias("summary"), F.date_format("start_at", "yyyy-MM-dd").alias("start_date"), F.date_format("start_at", "HH:mm").alias("start_time"), venue.alias("primary_venue"), tags.alias("tags"), (F.col("id") % 4 == 3).alias("is_cancelled"))
+    return n.page_events(parsed(listings(spark, sf_dir), p.PAGE_EVENT, body), AS_OF).select("external_id", "start_at", "category", "description")
+
+
+@query("n11_cards", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CAST(CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN 12.5 ELSE 9 END AS DOUBLE) AS price_min, id % 3 = 0 AS is_free FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
+def n11(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    price = F.when(F.col("id") % 3 == 0, "Free entry").when(F.col("id") % 3 == 1, "From $12.50")
+    card = rows.select(F.col("external_id").alias("externalId"), "title", F.col("ticket_url").alias("ticketUrl"), F.col("image_url").alias("imageUrl"), F.date_format("start_at", "yyyy-MM-dd HH:mm").alias("dateStr"), F.col("venue_name").alias("venueName"), price.alias("priceStr"), F.lit(None).cast("string").alias("address"))
+    details = rows.select(F.col("ticket_url").alias("ticketUrl"), F.lit(None).cast("timestamp_ntz").alias("start_at"), F.lit(None).cast("timestamp_ntz").alias("end_at"), "description", F.lit(9.0).alias("price"), "lat", "lng")
+    return n.cards(card.union(card), details, AS_OF).select("external_id", "start_at", "price_min", "is_free")
+
+
+@query("s1_listing_tables", "SELECT source_type, status, count(*) AS n FROM listings_v GROUP BY 1, 2")
+def s1(spark, sf_dir):
+    from ..operators.graph import checkpointed
+
+    return checkpointed(listings(spark, sf_dir)).groupBy("source_type", "status").agg(F.count("*").alias("n"))
+
+
+@query("s2_json_pages", "SELECT external_id AS id, title FROM listings_v")
+def s2(spark, sf_dir):
+    """Pages of a thousand events in an envelope, written as JSON lines and read back by schema."""
+    import uuid
+
+    from ..operators.graph import shared_root
+
+    event = F.struct(F.col("external_id").alias("id"), F.col("title").alias("name"))
+    pages = listings(spark, sf_dir).groupBy(F.floor(F.col("id") / 1000)).agg(F.to_json(F.struct(F.struct(F.collect_list(event).alias("events")).alias("_embedded"))).alias("value"))
+    path = f"{shared_root(spark)}/pages-{uuid.uuid4().hex}"
+    pages.select("value").write.text(path)
+    return p.read_pages(spark, path, p.API_A, "_embedded.events").select("id", F.col("name").alias("title"))

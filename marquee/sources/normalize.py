@@ -333,3 +333,60 @@ def organizer_id(url: Column) -> Column:
     """N19. Digits as they are; those at the end of /o/…; those at the end of /e/… (an event's)."""
     found = [F.regexp_extract(F.trim(url), p, 1) for p in (r"^(\d+)$", r"(?i)/o/.*?(\d+)(?:\?|/|$)", r"(?i)/e/.*?(\d+)(?:\?|/|$)")]
     return F.coalesce(*(blank_null(x) for x in found))
+
+
+def page_events(rows: DataFrame, as_of: str) -> DataFrame:
+    """N10. Public in-person events of page states; the first of each id in pull order (a `pulled` column, if there is one)."""
+    from ..operators.tables import latest
+
+    hidden = F.coalesce("is_online_event", F.lit(False)) | F.coalesce("is_cancelled", F.lit(False)) | F.coalesce("is_protected_event", F.lit(False))
+    rows = rows.where(~hidden).withColumn("_id", F.coalesce("eventbrite_event_id", "eid", "id"))
+    rows = latest(rows, ["_id"], *(["pulled"] if "pulled" in rows.columns else []), F.col("url"), F.col("name"))
+    v, a = F.col("primary_venue"), F.col("primary_venue.address")
+    placed = blank_null(a["latitude"]).isNotNull() & blank_null(a["longitude"]).isNotNull()
+    rows = rows.withColumn("_lat", F.when(placed, a["latitude"].try_cast("double"))).withColumn("_lng", F.when(placed, a["longitude"].try_cast("double")))
+    rows = rows.where(blank_null(v["name"]).isNotNull() & (F.col("_lat").isNull() | F.col("_lng").isNull() | in_box(F.col("_lat"), F.col("_lng"))))
+    clock = lambda d, t: dates.on_clock(F.col(d), F.col(t))
+    end = F.when(F.col("end_date").isNotNull() & F.col("end_time").isNotNull(), clock("end_date", "end_time"))
+    rows = dated(rows, as_of, clock("start_date", "start_time"), end)
+    tag = lambda prefix: first(F.filter("tags", _tagged(prefix)))["display_name"]
+    title, about = titled(F.col("name")), F.coalesce("full_description", "summary")
+    address = F.concat_ws(", ", *(blank_null(x) for x in (F.coalesce(a["localized_address_display"], a["address_1"]), a["city"], a["region"], a["postal_code"])))
+    return shaped(
+        rows, external_id=F.col("_id"), source_type="eventbrite_scrape", title=title, description=about, category=classify(from_taxonomy(label=tag("EventbriteCategory"), form=tag("EventbriteFormat")), title, about),
+        image_url=F.coalesce("image.image_sizes.large", "image.url"), start_at=F.col("start_at"), end_at=F.col("end_at"), venue_name=v["name"], address=F.when(a.isNull(), v["name"]).otherwise(address), lat=F.col("_lat"), lng=F.col("_lng"),
+        ticket_url=F.coalesce("tickets_url", "url"), platform="Eventbrite", currency="USD", confidence_score=0.85, status="active",
+    )
+
+
+def _tagged(prefix: str):
+    return lambda t: t["prefix"] == prefix
+
+
+def card_price(text: Column) -> Column:
+    """$n or $n.nn; 0 for free; null for anything else."""
+    amount = F.regexp_extract(text, r"\$\s*(\d+(?:\.\d{1,2})?)", 1)
+    return F.when(text.rlike("(?i)free"), 0.0).otherwise(blank_null(amount).try_cast("double"))
+
+
+def card_date(text: Column, as_of: str) -> Column:
+    """The card's date at its time, else at 20:00: `YYYY-MM-DD`, `tomorrow`, or today for all that can't be read."""
+    day = F.coalesce(F.try_to_timestamp(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")).cast("date"), F.when(text.rlike("(?i)tomorrow"), F.date_add(F.to_date(dates.at(as_of)), 1)), F.to_date(dates.at(as_of)))
+    clock = F.coalesce(blank_null(F.regexp_extract(text, r"(\d{1,2}:\d{2})", 1)), F.lit("20:00"))
+    return F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), F.lpad(clock, 5, "0")), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+
+
+def cards(rows: DataFrame, details: DataFrame, as_of: str) -> DataFrame:
+    """N11. Cards merged by id (first title and image that are not empty) with details(ticketUrl, start_at, end_at, description, price, lat, lng) of their pages."""
+    text = lambda c: F.min(blank_null(F.col(c))).alias(c)  # noqa: E731  of several cards of an id any value will do: the least
+    merged = rows.where("coalesce(title, '') <> 'Unknown Event'").groupBy("externalId").agg(*(text(c) for c in ("title", "ticketUrl", "imageUrl", "dateStr", "venueName", "priceStr", "address")))
+    d = details.select("ticketUrl", *(F.col(c).alias(f"d_{c}") for c in ("start_at", "end_at", "description", "price", "lat", "lng"))).dropDuplicates(["ticketUrl"])
+    rows = dated(merged.join(d, "ticketUrl", "left"), as_of, F.coalesce("d_start_at", card_date(F.col("dateStr"), as_of)), F.col("d_end_at"))
+    title = titled(F.col("title"))
+    category = classify(F.lit(None).cast("string"), title, F.col("d_description"))
+    price = F.coalesce(card_price(F.col("priceStr")), F.col("d_price"))
+    return shaped(
+        rows, external_id=F.col("externalId"), source_type="dice_scrape", title=title, description=F.col("d_description"), category=category, image_url=F.col("imageUrl"), start_at=F.col("start_at"),
+        end_at=F.coalesce("end_at", dates.estimated_end(F.col("start_at"), category)), venue_name=F.col("venueName"), address=F.col("address"), lat=F.col("d_lat"), lng=F.col("d_lng"), is_free=F.coalesce(price == 0, F.lit(False)), price_min=price,
+        ticket_url=F.col("ticketUrl"), platform="Dice", confidence_score=0.7, status="active",
+    )

@@ -96,3 +96,11 @@ def calendar_time(block: Column, name: str) -> Column:
     """A DATE or DATE-TIME property, without zone."""
     v = F.regexp_replace(calendar_field(block, name), "Z$", "")
     return F.coalesce(F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(v, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+
+
+PAGE_EVENT = (
+    "id string, eid string, eventbrite_event_id string, name string, summary string, full_description string, start_date string, start_time string, end_date string, end_time string, url string, tickets_url string, "
+    "primary_venue struct<name:string,address:struct<latitude:string,longitude:string,localized_address_display:string,address_1:string,city:string,region:string,postal_code:string>>, "
+    "image struct<url:string,image_sizes:struct<large:string>>, tags array<struct<prefix:string,display_name:string>>, is_online_event boolean, is_cancelled boolean, is_protected_event boolean"
+)
+CARD = "externalId string, title string, ticketUrl string, imageUrl string, dateStr string, venueName string, priceStr string, address string"
