@@ -23,7 +23,7 @@ from .training import Adam, best_cut, calibrated, logistic, sample
 TABLE, DIM = 1 << 18, 6
 WIDTHS, FILTERS = (1, 2, 3), 8
 BEGINNINGS = (5, 6, 7)  # bytes of a word that are hashed besides the whole
-EPOCHS, BATCH = 6, 16
+EPOCHS, BATCH, PRIOR, FOLDS = 6, 16, 4.0, 5
 CUT = 0.3
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -116,18 +116,18 @@ class Network:
             for a in range(0, len(order), BATCH):
                 self._learn(adam, order[a : a + BATCH], ids, cut, y)
         self._start(ids, cut, y, np.ones(len(y), bool))  # with the filters learned, all texts' odds count
-        # Cuts come from texts whose own words the odds leave out: those of the other half.
-        final = self.p["embed"]
-        got = np.empty(len(y))
-        for part in (half, ~half) if not half.all() else (half,):
-            self._start(ids, cut, y, part)
-            rest = np.flatnonzero(~part) if not half.all() else np.flatnonzero(part)
-            got[rest] = self.raw([texts[i] for i in rest])[0]
+        # Cuts come from texts whose own words the odds leave out: a fifth of them at a time.
+        final, got, part = self.p["embed"], np.empty(len(y)), rng.permutation(len(y)) % FOLDS
+        for k in range(FOLDS):
+            self._start(ids, cut, y, part != k)
+            rest = np.flatnonzero(part == k)
+            if len(rest):
+                got[rest] = self.raw([texts[i] for i in rest])[0]
         self.p["embed"] = final
-        whole = best_cut(got, y, weight_false=1.0)
+        whole = best_cut(got, y, weight_false=2.0)
         for g in range(len(GROUPS)):
             own = group == g
-            self.cuts[g] = best_cut(got[own], y[own], default=whole) if own.sum() >= 40 and y[own].sum() >= 8 else whole
+            self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole) if own.sum() >= 40 and y[own].sum() >= 8 else whole
         return self
 
     def _start(self, ids, cut, y, rows):
@@ -139,7 +139,8 @@ class Network:
         d, h = d[keep], h[keep]
         pos, neg = (np.bincount(h[y[d] == k], minlength=TABLE) for k in (1, 0))
         n_pos, n_neg = max((y[rows] == 1).sum(), 1), max((y[rows] == 0).sum(), 1)
-        odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+        share = n_pos / (n_pos + n_neg)  # as PRIOR texts more of the usual share: what few texts hold says little
+        odds = np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share))) - np.log(share / (1 - share))
         self.p["embed"] = self.p["embed"].copy()
         self.p["embed"][:, 0] = np.where(pos + neg >= 3, np.clip(odds, -4, 6), 0) / 4
 
