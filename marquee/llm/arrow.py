@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import on_workers
 
 
+_loaded: list = []
+_stage: int | None = None
+
+
+def kept_for_stage(load):
+    """functools.cache for what a worker loads or learns; the next Spark stage that runs in the worker starts without it."""
+    cached = functools.cache(load)
+    _loaded.append(cached)
+    return cached
+
+
+def enter_stage(number: int) -> None:
+    global _stage
+    if number != _stage:
+        for f in _loaded:
+            f.cache_clear()
+        gc.collect()
+        _stage = number
+
+
 SLICE_BYTES = 2_000_000
 
 
@@ -35,6 +57,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        from pyspark import TaskContext
+
+        enter_stage(TaskContext.get().stageId())
         step = make()
         for batch in (x for whole in batches for x in slices(whole)):
             for cols in step(batch):

@@ -10,7 +10,6 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import kept_for_stage, map_batches
 from .textvec import BASE, INVERSE, U64, Pieces, _power, mix, sums_by_text
 from .tokenizer import load, special_string, values_by_text
 
@@ -202,12 +201,12 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
-@functools.cache
+@kept_for_stage
 def merges(path: str) -> Merges:
     return Merges(path)
 
 
-@functools.cache
+@kept_for_stage
 def bpe_pieces(path: str) -> Pieces:
     """Pieces whose values are ids by speculation; the special string has its own id."""
     m, library = merges(path), load(path)

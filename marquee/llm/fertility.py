@@ -10,7 +10,6 @@ are 0. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import kept_for_stage, map_batches
 from .textvec import Pieces, _MIXERS, in_chunks, mix, span_hashes, sums_by_text, word_spans
 
 
@@ -53,7 +52,7 @@ for _i, (_bytes, _) in enumerate(SCRIPTS.values()):
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
 
-@functools.cache
+@kept_for_stage
 def piece_words(path: str) -> Pieces:
     """A table of words whose values are their SentencePiece ids."""
     import sentencepiece

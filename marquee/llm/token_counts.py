@@ -10,14 +10,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import kept_for_stage, map_batches
 from .bpe import MOST_PIECES, SHORT, Merges, merges, prefix_sums
 from .textvec import Pieces
 from .tokenizer import load, special_string
@@ -63,7 +62,7 @@ def long_prefix_counts(m: Merges, word: bytes) -> np.ndarray:
     return count[1:]
 
 
-@functools.cache
+@kept_for_stage
 def step_pieces(path: str) -> Pieces:
     """Pieces whose values are the steps of the token count, one for each code point."""
     m, library = merges(path), load(path)

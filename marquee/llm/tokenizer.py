@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 
 import numpy as np
 
+from .arrow import kept_for_stage
 from .textvec import Pieces, sums_by_text
 
 
@@ -28,7 +28,7 @@ def special_string(tokenizer) -> str | None:
     return found[0] if found else None
 
 
-@functools.cache
+@kept_for_stage
 def library_pieces(path: str) -> Pieces:
     """Pieces whose values are the ids that the library gives them."""
     t = load(path)
