@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .textvec import _LOWER, U64, mix, span_hashes
+from .textvec import _LOWER, U64, in_chunks, mix, span_hashes
 from .training import Adam, best_cut, calibrated, logistic, sample
 
 TABLE, DIM = 1 << 18, 6
@@ -102,7 +102,10 @@ class Network:
             self.constant = float(y.mean()) if len(y) else 0.0
             return self
         rng = np.random.default_rng(seed)
-        ids, cut, group = word_ids(texts)
+        parts = [word_ids(texts[a:b]) for a, b in in_chunks(texts)]
+        ids = np.concatenate([p[0].astype(np.int32) for p in parts])
+        cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        group = np.concatenate([p[2] for p in parts])
         half = rng.permutation(len(y)) % 2 == 0
         half = half if 0 < y[half].sum() < y.sum() else np.ones(len(y), bool)
         self._start(ids, cut, y, half)
@@ -132,12 +135,9 @@ class Network:
 
     def _start(self, ids, cut, y, rows):
         """First coordinates: log-odds of each hash among the texts of rows; 0 for what fewer than three of them hold."""
-        doc = np.repeat(np.arange(len(y)), np.diff(cut))
-        seen = np.unique((doc[:, None] * TABLE + ids).ravel())
-        d, h = seen // TABLE, seen % TABLE
-        keep = rows[d]
-        d, h = d[keep], h[keep]
-        pos, neg = (np.bincount(h[y[d] == k], minlength=TABLE) for k in (1, 0))
+        pos, neg = np.zeros(TABLE, np.int64), np.zeros(TABLE, np.int64)
+        for i in np.flatnonzero(rows):
+            (pos if y[i] == 1 else neg)[np.unique(ids[cut[i] : cut[i + 1]])] += 1
         n_pos, n_neg = max((y[rows] == 1).sum(), 1), max((y[rows] == 0).sum(), 1)
         share = n_pos / (n_pos + n_neg)  # as PRIOR texts more of the usual share: what few texts hold says little
         odds = np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share))) - np.log(share / (1 - share))
