@@ -2,10 +2,11 @@
 
 A text's words are encoded by a SentencePiece model with byte fallback. Measured per text: characters per token, share
 of byte-fallback tokens, and the entropy of its tokens in bits. A text outside a band of its main script is rejected; so
-is one that fails the base rules.
+is one that fails the base rules. So is one that lies far out among its like: the texts of its script, language (the
+column lang, where docs have it) and length in powers of two of tokens that pass the base rules.
 
-Nulls: a null text has no words. Equal rows stay. A text without words fails the base rule on word count; its measures
-are 0. An empty table gives an empty result. Extra columns are ignored.
+Nulls: a null text has no words; a null lang is one language. Equal rows stay. A text without words fails the base rule
+on word count; its measures are 0. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import kept_for_stage, map_batches
+from .arrow import kept_for_stage, map_batches, written
 from .textvec import Pieces, _MIXERS, in_chunks, mix, span_hashes, sums_by_text, word_spans
 
 
@@ -42,6 +43,9 @@ SCRIPTS = {
     "east_asian": ([*range(0xE3, 0xEE)], Band((0.3, 3.0), 0.9, 3.0)),
 }
 OTHER = Band((0.2, 12.0), 1.0, 2.0)
+#: Far out is FENCE spreads between quartiles beyond one. A spread is at least LEAST_SPREAD of the median, or LEAST_BYTES
+#: for the byte share; groups of fewer than GROUP different texts have the bands alone; from 2^LONGEST tokens on is one length.
+FENCE, LEAST_SPREAD, LEAST_BYTES, GROUP, LONGEST = 3.0, 0.01, 0.05, 50, 11
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -50,6 +54,7 @@ for _i, (_bytes, _) in enumerate(SCRIPTS.values()):
     _LEAD[_bytes] = _i
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
+LIKE = ["script", "lang", "length"]
 
 
 @kept_for_stage
@@ -129,8 +134,24 @@ def _measure(table: Pieces, texts: list[str]) -> dict:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": sums_by_text(_SYMBOL[raw], edges), "n_dup_lines": [_dup_lines(t) for t in texts], "n_repeat_words": repeat, "base_failed": base_failed, "kept": ~base_failed & fits, "script": names[script].tolist(), "n_tokens": n_tokens, "chars_per_token": ratio, "byte_share": byte_share, "entropy": entropy}
 
 
+def fences(measured: DataFrame) -> DataFrame:
+    """script, lang, length, and limits of the measures, for each group of enough texts that pass the base rules.
+
+    Texts of equal measures count once, so that copies of one text do not narrow a group.
+    """
+    of = measured.where("not base_failed").select(*LIKE, "n_tokens", "chars_per_token", "byte_share", "entropy").distinct()
+    got = of.groupBy(*LIKE).agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in ("chars_per_token", "byte_share", "entropy")))
+
+    def spread(c, least):
+        return FENCE * F.greatest(F.col(c)[2] - F.col(c)[0], least)
+
+    ratio, entropy = (spread(c, LEAST_SPREAD * F.col(c)[1]) for c in ("chars_per_token", "entropy"))
+    limits = [(F.col("chars_per_token")[0] - ratio).alias("low"), (F.col("chars_per_token")[2] + ratio).alias("high"), (F.col("byte_share")[2] + spread("byte_share", F.lit(LEAST_BYTES))).alias("most"), (F.col("entropy")[0] - entropy).alias("least")]
+    return got.where(F.col("n") >= GROUP).select(*LIKE, *limits)
+
+
 def fertility_rules(docs: DataFrame, model: str) -> DataFrame:
-    """SCHEMA, one row for each row of docs(doc_id, text): base counts, measures, verdicts."""
+    """SCHEMA, one row for each row of docs(doc_id, text), with lang or without: base counts, measures, verdicts."""
 
     def make():
         table = piece_words(model)
@@ -140,8 +161,14 @@ def fertility_rules(docs: DataFrame, model: str) -> DataFrame:
                 table.clear()
             texts = [x or "" for x in batch["text"].to_pylist()]
             for a, b in in_chunks(texts):
-                yield {"doc_id": batch["doc_id"][a:b], **_measure(table, texts[a:b])}
+                got = _measure(table, texts[a:b])
+                length = np.minimum(np.log2(np.maximum(got["n_tokens"], 1)).astype(np.int32), LONGEST)
+                yield {"doc_id": batch["doc_id"][a:b], "lang": batch["lang"][a:b], "length": length, **got}
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, SCHEMA)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    measured = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text", lang.alias("lang")), make, f"{SCHEMA}, lang string, length int"))
+    near = F.col("chars_per_token").between(F.col("low"), F.col("high")) & (F.col("byte_share") <= F.col("most")) & (F.col("entropy") >= F.col("least"))
+    judged = measured.join(F.broadcast(fences(measured)), LIKE, "left").withColumn("kept", F.col("kept") & F.coalesce(near, F.lit(True)))
+    return judged.select([c.split()[0] for c in SCHEMA.split(", ")])

@@ -297,6 +297,21 @@ def test_op7_counts_and_measures(spark, texts, awkward, empty):
     assert fertility.fertility_rules(empty, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op7_rejects_what_lies_far_out_among_its_like(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    plain = [(i, " ".join(rng.choice(words) for _ in range(120)), "en") for i in range(200)]
+    few = [(1000 + i, " ".join(words[(i + j * j) % 7 + j % 23] for j in range(120)), "en") for i in range(5)]
+    rare = [(2000 + i, t, "xx") for i, (_, t, _) in enumerate(few)]
+    copies = [(3000 + i, plain[0][1], "en") for i in range(600)]
+    rows = spark.createDataFrame(plain + few + rare + copies, "doc_id long, text string, lang string")
+    got = by_id(fertility.fertility_rules(rows, P.path("piece_bpe_32k.model")))
+    assert len(got) == len(plain) + 5 + 5 + 600
+    assert not any(got[i].base_failed for i, *_ in plain + few + rare + copies)
+    assert sum(got[i].kept for i, *_ in plain) >= 199 and all(got[i].kept for i, *_ in rare + copies)
+    assert not any(got[i].kept for i, *_ in few)
+
+
 def test_op8_costs_are_the_definition():
     grams, _ = langid_ppm._grams(["abab", "abba"])
     code, n = np.unique(grams, return_counts=True)
