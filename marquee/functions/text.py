@@ -127,10 +127,11 @@ def source_label(c: Column) -> Column:
     return F.initcap(F.replace(F.regexp_replace(c, "_(api|scrape)", ""), F.lit("_"), F.lit(" ")))
 
 
-def html_text(c: Column, most: int = 8000) -> Column:
-    """Text of a page: no script and style blocks, tags as blanks, blanks squeezed, the first `most` characters."""
+def html_text(c: Column, most: int | None = None) -> Column:
+    """Text of a page: no script and style blocks, tags as blanks, blanks squeezed; with `most`, its first characters, as a prompt takes them."""
     s = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script>", " "), r"(?is)<style\b.*?</style>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"\s+", " ")), 1, most)
+    whole = F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"\s+", " "))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 # What pages say of an event that is off.

@@ -14,12 +14,12 @@ def verify_pages(listings: DataFrame, pages: DataFrame, verdicts: DataFrame, del
 
     listings(event_id, ticket_url, status); pages(event_id, http_status, html); verdicts(event_id, confirmed, reason);
     deltas(event_id, delta in metres). Blocked domains and pages without a verdict are skipped; a 404 is skipped and
-    expires the listing; a page that says cancelled is not confirmed and expires it.
+    expires the listing; a page that says cancelled anywhere in its text is not confirmed and expires it.
     """
     rows = listings.join(pages, "event_id").join(verdicts, "event_id", "left").join(deltas, "event_id", "left")
     off = F.exists(F.array(*map(F.lit, blocked)), lambda d: F.contains(F.lower("ticket_url"), d))
     gone = F.col("http_status") == 404
-    cancelled = ~off & ~gone & says_cancelled(html_text(F.col("html"), 5000))
+    cancelled = ~off & ~gone & says_cancelled(html_text(F.col("html")))
     skipped = off | gone | (~cancelled & F.col("confirmed").isNull())
     flagged = cancelled | (~skipped & ~F.coalesce("confirmed", F.lit(True)))
     far = F.coalesce(F.col("delta") > most_metres, F.lit(False))

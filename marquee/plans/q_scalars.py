@@ -83,13 +83,13 @@ def k9(spark, sf_dir):
 
 @query("k10_html_text", "SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 8000) AS text FROM pages")
 def k10(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+    return view(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html"), 8000).alias("text"))
 
 
 @query("k11_cancelled", "SELECT page_id, page_id % 4 = 0 OR page_id % 6 = 1 AS cancelled FROM pages")
 def k11(spark, sf_dir):
     said = F.when(F.col("page_id") % 4 == 0, " Cancelled Mon, Jun 8 ").when(F.col("page_id") % 6 == 1, " This program has been canceled ").otherwise(" cancel your reservation ")
-    return view(spark, sf_dir, "pages").select("page_id", text.says_cancelled(F.concat(F.substring(text.html_text(F.col("html")), 1, 5000), said)).alias("cancelled"))
+    return view(spark, sf_dir, "pages").select("page_id", text.says_cancelled(text.html_text(F.concat("html", said))).alias("cancelled"))
 
 
 @query("k12_city_clock", "SELECT event_id, timezone('America/New_York', ts AT TIME ZONE 'UTC') AS wall FROM events")

@@ -37,6 +37,12 @@ def test_venue_key(spark, raw, key):
     assert one(spark, text.venue_key(F.col("t")), t=raw) == key
 
 
+def test_page_text_is_whole_unless_cut(spark):
+    page = "<p>" + "word " * 4000 + "</p><p>This event has been <b>cancelled</b></p>"
+    assert len(one(spark, text.html_text(F.col("t")), t=page)) > 20_000 and len(one(spark, text.html_text(F.col("t"), 8000), t=page)) == 8000
+    assert one(spark, text.says_cancelled(text.html_text(F.col("t"))), t=page)
+
+
 def test_keys_of_null(spark):
     df = spark.createDataFrame([(None,)], "t string")
     row = df.select(text.comparison_key(F.col("t")).alias("a"), text.venue_key(F.col("t")).alias("b"), F.size(text.title_tokens(F.col("t"))).alias("c"), F.size(text.trigrams(F.col("t"))).alias("d"), text.clean_title(F.col("t")).alias("e")).first()

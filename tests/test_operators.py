@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import graph, match, merge, tables, venues
+from marquee.operators import graph, match, merge, tables, venues, verify
 from marquee.plans.testviews import view
 from marquee.schemas import NYC
 
@@ -22,6 +22,15 @@ def listing(spark, rows):
     return spark.createDataFrame(out, LISTING)
 
 
+def test_pages_are_scanned_to_their_end(spark):
+    rows = spark.createDataFrame([(i, "http://t", "active") for i in (1, 2, 3)], "event_id long, ticket_url string, status string")
+    said = "<p>This event has been cancelled</p>"
+    pages = spark.createDataFrame([(1, 200, "word " * 1100 + said), (2, 200, "word " * 3000 + said), (3, 200, "word " * 3000)], "event_id long, http_status int, html string")
+    verdicts = spark.createDataFrame([(i, True, "seen") for i in (1, 2, 3)], "event_id long, confirmed boolean, reason string")
+    got = {r.event_id: (r.expire, r.reason) for r in verify.verify_pages(rows, pages, verdicts, spark.createDataFrame([], "event_id long, delta double"), []).collect()}
+    assert got == {1: (True, "page says cancelled"), 2: (True, "page says cancelled"), 3: (False, "seen")}
+
+
 def test_thirty_minutes_are_included(spark):
     rows = listing(spark, [("ical", "Jazz Night", 0, "Hall", None, None), ("dice_scrape", "Jazz Night", 30, "The Hall", None, None), ("ra_scrape", "Jazz Night", -31, "Hall", None, None), ("ical", "Jazz Night", 5, "Hall", None, None), ("dice_scrape", "Jazz Night", 0, None, 40.7, None)])
     got = {(r.a, r.b) for r in match.cross_platform_pairs(rows).collect()}
