@@ -2,7 +2,7 @@
 
 Bytes are embedded, with one channel that marks whether the four bytes here stood here a few bytes ago. Learned filters
 run over the whole text; overlapping chunks of it are max-pooled, and a text's chunks are combined by mean and maximum
-into one probability. The share of the label 1 in the sample sets the start; the cut for a text's class is 0.5.
+into one probability. The share of the label 1 among all labels sets the start; the cut for a text's class is 0.5.
 
 Nulls: a null text is an empty one; an empty text gets the network's bias. Labels other than 0 and 1 train nothing; with
 one class or none in the sample every score is that class's share (0.5 without rows). Repeated rows stay; an empty table
@@ -91,12 +91,13 @@ class Network:
             chunks += len(pooled)
         return float(np.concatenate([total / chunks, most]) @ self.p["out"] + self.p["bias"][0])
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 11):
+    def fit(self, texts: list[str], y: np.ndarray, seed: int = 11, weight: np.ndarray | None = None):
         if len(y) == 0 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        rng, weight = np.random.default_rng(seed), balanced(y)
-        self.p["bias"][0] = np.log(y.mean() / (1 - y.mean()))
+        own = np.ones(len(y)) if weight is None else weight
+        rng, weight, share = np.random.default_rng(seed), balanced(y, own), np.average(y, weights=own)
+        self.p["bias"][0] = np.log(share / (1 - share))
         flat, mark, first, n = _bytes(texts)
         positions = np.maximum((n + STRIDE - 1) // STRIDE, 1)
         adam = Adam(self.p, 0.01)
@@ -106,7 +107,7 @@ class Network:
             order = rng.permutation(len(y))
             for a in range(0, len(order), BATCH):
                 self._learn(adam, order[a : a + BATCH], flat, mark, first, positions, y, weight, rng)
-        self.cut = best_cut(logistic(np.array([self._logit(t) for t in texts])), y)
+        self.cut = best_cut(logistic(np.array([self._logit(t) for t in texts])), y, weight=own)
         return self
 
     def _logit(self, text: str) -> float:
@@ -156,7 +157,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
     """A network from labels(doc_id, label) and docs(doc_id, text): a bounded sample of them."""
     rows = sample(docs, labels, label)
-    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64))
+    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64), weight=rows["weight"].to_numpy())
 
 
 def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:

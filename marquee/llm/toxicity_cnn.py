@@ -97,10 +97,12 @@ class Network:
         got, group = self.raw(texts)
         return np.clip(calibrated(got.astype(np.float64), self.cuts[group], CUT), 0, 1)
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 3):
+    def fit(self, texts: list[str], y: np.ndarray, seed: int = 3, weight: np.ndarray | None = None):
         if len(y) == 0 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.0
             return self
+        weight = np.ones(len(y)) if weight is None else weight
+        share = np.average(y, weights=weight)
         rng = np.random.default_rng(seed)
         parts = [word_ids(texts[a:b]) for a, b in in_chunks(texts)]
         ids = np.concatenate([p[0].astype(np.int32) for p in parts])
@@ -111,13 +113,13 @@ class Network:
         self._start(ids, cut, y, half)
         learn = np.flatnonzero(~half) if not half.all() else np.arange(len(y))
         adam = Adam({k: v for k, v in self.p.items() if k != "embed"}, 0.02)
-        self.p["bias"][0] = np.log(max(y.mean(), 1e-3) / (1 - y.mean()))
+        self.p["bias"][0] = np.log(max(share, 1e-3) / (1 - share))
         epochs = max(EPOCHS, min(40, 12_000 // len(learn)))
         for epoch in range(epochs):
             adam.rate = 0.02 * (1 - epoch / epochs) + 0.001
             order = rng.permutation(learn)
             for a in range(0, len(order), BATCH):
-                self._learn(adam, order[a : a + BATCH], ids, cut, y)
+                self._learn(adam, order[a : a + BATCH], ids, cut, y, weight, share)
         self._start(ids, cut, y, np.ones(len(y), bool))  # with the filters learned, all texts' odds count
         # Cuts come from texts whose own words the odds leave out: a fifth of them at a time.
         final, got, part = self.p["embed"], np.empty(len(y)), rng.permutation(len(y)) % FOLDS
@@ -127,10 +129,10 @@ class Network:
             if len(rest):
                 got[rest] = self.raw([texts[i] for i in rest])[0]
         self.p["embed"] = final
-        whole = best_cut(got, y, weight_false=2.0)
+        whole = best_cut(got, y, weight_false=2.0, weight=weight)
         for g in range(len(GROUPS)):
             own = group == g
-            self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole) if own.sum() >= 40 and y[own].sum() >= 8 else whole
+            self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole, weight=weight[own]) if own.sum() >= 40 and y[own].sum() >= 8 else whole
         return self
 
     def _start(self, ids, cut, y, rows):
@@ -139,19 +141,19 @@ class Network:
         for i in np.flatnonzero(rows):
             (pos if y[i] == 1 else neg)[np.unique(ids[cut[i] : cut[i + 1]])] += 1
         n_pos, n_neg = max((y[rows] == 1).sum(), 1), max((y[rows] == 0).sum(), 1)
+        # Odds are relative to the sample's share, and so is the prior: class weights would cancel out.
         share = n_pos / (n_pos + n_neg)  # as PRIOR texts more of the usual share: what few texts hold says little
         odds = np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share))) - np.log(share / (1 - share))
         self.p["embed"] = self.p["embed"].copy()
         self.p["embed"][:, 0] = np.where(pos + neg >= 3, np.clip(odds, -4, 6), 0) / 4
 
-    def _learn(self, adam, rows, ids, cut, y):
+    def _learn(self, adam, rows, ids, cut, y, weight, share):
         grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
-        share = y.mean()
         for i in rows:
             x = self._vectors(ids[cut[i] : cut[i + 1]])
             z, at = self._pooled(x, int(cut[i + 1] - cut[i]))
             live = np.maximum(z, 0)
-            error = (logistic(live @ self.p["out"] + self.p["bias"][0]) - y[i]) * (0.5 / share) ** (0.5 * y[i]) / len(rows)
+            error = (logistic(live @ self.p["out"] + self.p["bias"][0]) - y[i]) * weight[i] * (0.5 / share) ** (0.5 * y[i]) / len(rows)
             grads["out"] += error * live
             grads["bias"] += error
             dz = error * self.p["out"] * (z > 0)
@@ -166,7 +168,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
     """A network from labels(doc_id, label) and docs(doc_id, text): a bounded sample of them."""
     rows = sample(docs, labels, label)
-    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64))
+    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64), weight=rows["weight"].to_numpy())
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:

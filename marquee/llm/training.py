@@ -15,14 +15,20 @@ MOST_BYTES = 32_768
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> pd.DataFrame:
-    """text, y: at most per_class texts of each class of labels(doc_id, label), those of the least hashes of doc_id."""
+    """text, y, weight: at most per_class texts of each class of labels(doc_id, label), those of the least hashes of doc_id.
+
+    A class's weights add up to its share of all labels (1 on average), however many of its texts are in the sample.
+    """
     on_workers(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(*by).limit(per_class).union(known.where("y = 1").orderBy(*by).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= MOST_BYTES)
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
-    return got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)[["text", "y"]]
+    got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    weight = got["y"].map(counts) / got.groupby("y")["y"].transform("size")
+    return got.assign(weight=weight / weight.mean())[["text", "y", "weight"]]
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -43,10 +49,10 @@ class Adam:
             self.params[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def balanced(y: np.ndarray) -> np.ndarray:
-    """Weights that make both classes weigh as much, 1 on average; gently, by the square root of their shares."""
-    share = np.where(y == 1, max(y.mean(), 1e-3), max(1 - y.mean(), 1e-3))
-    w = share**-0.5
+def balanced(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights that make both classes weigh as much, 1 on average; gently, by the square root of their weighted shares."""
+    one = np.average(y, weights=weight)
+    w = weight * np.where(y == 1, max(one, 1e-3), max(1 - one, 1e-3)) ** -0.5
     return w / w.mean()
 
 
@@ -55,13 +61,14 @@ def calibrated(score: np.ndarray, cut: np.ndarray, to: float) -> np.ndarray:
     return np.where(score < cut, to * score / np.maximum(cut, 1e-9), to + (1 - to) * (score - cut) / np.maximum(1 - cut, 1e-9))
 
 
-def best_cut(score: np.ndarray, y: np.ndarray, weight_false: float = 1.0, default: float = 0.5) -> float:
-    """The threshold with the fewest errors; a false positive counts weight_false. In the middle of the gap."""
+def best_cut(score: np.ndarray, y: np.ndarray, weight_false: float = 1.0, default: float = 0.5, weight: np.ndarray | None = None) -> float:
+    """The threshold with the fewest errors by weight; a false positive counts weight_false besides. In the middle of the gap."""
     if not len(y) or y.min() == y.max():
         return default
     order = np.argsort(score)
-    s, t = score[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(t == 1)]) + weight_false * np.concatenate([[(t == 0).sum()], (t == 0).sum() - np.cumsum(t == 0)])
+    s, t, w = score[order], y[order], np.ones(len(y)) if weight is None else weight[order]
+    missed, false = np.cumsum(w * (t == 1)), np.cumsum(w * (t == 0))
+    wrong = np.concatenate([[0], missed]) + weight_false * np.concatenate([[false[-1]], false[-1] - false])
     edges = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]])
-    least = np.flatnonzero(wrong == wrong.min())
+    least = np.flatnonzero(wrong <= wrong.min() + 1e-6)
     return float(np.clip(edges[least[len(least) // 2]], 0.02, 0.98))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from marquee.llm import bpe, decontaminate, fertility, jaccard_join, langid_ppm, pii, quality_cnn, queries, stages, token_counts, token_output, toxicity_cnn  # noqa: E402
+from marquee.llm import bpe, decontaminate, fertility, jaccard_join, langid_ppm, pii, quality_cnn, queries, stages, token_counts, token_output, toxicity_cnn, training  # noqa: E402
 from marquee.llm.tokenizer import library_pieces, load, values_by_text  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -221,6 +221,18 @@ def test_classifiers_awkward_and_empty(spark, awkward, empty, module, label):
     assert module.predict(empty, network).count() == 0
 
 
+def test_samples_weigh_as_all_labels_do(spark):
+    docs = spark.range(50).selectExpr("id doc_id", "concat('text ', id) text")
+    got = training.sample(docs, docs.selectExpr("doc_id", "int(doc_id < 10) toxic"), "toxic", per_class=10)
+    assert len(got) == 20 and math.isclose(np.average(got.y, weights=got.weight), 0.2) and math.isclose(got.weight.mean(), 1)
+    rng = np.random.default_rng(1)
+    y = np.repeat([0, 1], [9000, 1000])
+    score = np.clip(rng.normal(0.35 + 0.3 * y, 0.15), 0, 1)
+    few = np.concatenate([np.arange(1000), np.arange(9000, 10_000)])
+    whole, drawn, plain = training.best_cut(score, y), training.best_cut(score[few], y[few], weight=np.where(y[few] == 1, 0.2, 1.8)), training.best_cut(score[few], y[few])
+    assert abs(whole - drawn) < 0.05 < whole - plain
+
+
 def components_by_force(rows):
     sets, holders, up = [shingles(t) for _, t in rows], defaultdict(list), list(range(len(rows)))
 
