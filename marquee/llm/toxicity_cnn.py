@@ -2,8 +2,9 @@
 
 A word (a run of letters, A-Z as a-z) is the sum of the vectors of its hash and of the hashes of its first bytes, so
 inflected forms share strength. The first coordinate of a vector starts as the log-odds of its hash in one half of the
-training texts; the network learns on the other half, so a word that one text alone holds is worth nothing. Thresholds
-are calibrated by the text's language, told from its own letters: each language's cut is moved to 0.3.
+training texts, 0 where fewer than three hold it; all coordinates, filters and weights learn on the other half. Then the
+log-odds are those of all texts, with what was learned added. Thresholds come from the half that did not train; they are
+calibrated by the text's language, told from its own letters: each language's cut is moved to 0.3.
 
 Nulls: a null text is an empty one; a text without words gets the network's bias. Labels other than 0 and 1 train
 nothing; with one class or none in the sample every score is that class's share (0 without rows). Repeated rows stay; an
@@ -24,6 +25,7 @@ TABLE, DIM = 1 << 18, 6
 WIDTHS, FILTERS = (1, 2, 3), 8
 BEGINNINGS = (5, 6, 7)  # bytes of a word that are hashed besides the whole
 EPOCHS, BATCH, PRIOR, FOLDS = 6, 16, 4.0, 5
+EMBED_RATE = 0.5  # of a plain step, falling with Adam's rate
 CUT = 0.3
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -111,6 +113,7 @@ class Network:
         half = rng.permutation(len(y)) % 2 == 0
         half = half if 0 < y[half].sum() < y.sum() else np.ones(len(y), bool)
         self._start(ids, cut, y, half)
+        start = self.p["embed"].copy()
         learn = np.flatnonzero(~half) if not half.all() else np.arange(len(y))
         adam = Adam({k: v for k, v in self.p.items() if k != "embed"}, 0.02)
         self.p["bias"][0] = np.log(max(share, 1e-3) / (1 - share))
@@ -120,18 +123,22 @@ class Network:
             order = rng.permutation(learn)
             for a in range(0, len(order), BATCH):
                 self._learn(adam, order[a : a + BATCH], ids, cut, y, weight, share)
-        self._start(ids, cut, y, np.ones(len(y), bool))  # with the filters learned, all texts' odds count
-        # Cuts come from texts whose own words the odds leave out: a fifth of them at a time.
+        learned = self.p["embed"][:, 0] - start[:, 0]
+        self._start(ids, cut, y, np.ones(len(y), bool))  # with the network learned, all texts' odds count
+        self.p["embed"][:, 0] += learned
+        # Cuts come from texts whose own words the odds leave out, a fifth of them at a time, and that embeddings did not learn from.
         final, got, part = self.p["embed"], np.empty(len(y)), rng.permutation(len(y)) % FOLDS
+        judged = half
         for k in range(FOLDS):
             self._start(ids, cut, y, part != k)
-            rest = np.flatnonzero(part == k)
+            self.p["embed"][:, 0] += learned
+            rest = np.flatnonzero((part == k) & judged)
             if len(rest):
                 got[rest] = self.raw([texts[i] for i in rest])[0]
         self.p["embed"] = final
-        whole = best_cut(got, y, weight_false=2.0, weight=weight)
+        whole = best_cut(got[judged], y[judged], weight_false=2.0, weight=weight[judged])
         for g in range(len(GROUPS)):
-            own = group == g
+            own = (group == g) & judged
             self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole, weight=weight[own]) if own.sum() >= 40 and y[own].sum() >= 8 else whole
         return self
 
@@ -149,8 +156,10 @@ class Network:
 
     def _learn(self, adam, rows, ids, cut, y, weight, share):
         grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
+        touched, steps = [], []
         for i in rows:
-            x = self._vectors(ids[cut[i] : cut[i + 1]])
+            own_ids = ids[cut[i] : cut[i + 1]]
+            x = self._vectors(own_ids)
             z, at = self._pooled(x, int(cut[i + 1] - cut[i]))
             live = np.maximum(z, 0)
             error = (logistic(live @ self.p["out"] + self.p["bias"][0]) - y[i]) * weight[i] * (0.5 / share) ** (0.5 * y[i]) / len(rows)
@@ -162,7 +171,16 @@ class Network:
                 grads[f"offset{w}"] += own
                 window = x[at[k][:, None] + np.arange(w)].reshape(FILTERS, -1)
                 grads[f"filters{w}"] += (own[:, None] * window).T
+                back = (own[:, None] * self.p[f"filters{w}"].T).reshape(-1, DIM)
+                word = (at[k][:, None] + np.arange(w)).ravel()
+                real = word < len(own_ids)
+                touched.append(own_ids[word[real]])
+                steps.append(back[real])
         adam.step(grads)
+        # Plain steps for the rows that the pooled windows stood on: a word's vector is a sum, so each part gets its gradient.
+        rows_at, back = np.concatenate(touched), np.concatenate(steps)
+        for j in range(rows_at.shape[1]):
+            np.add.at(self.p["embed"], rows_at[:, j], (-EMBED_RATE * adam.rate / 0.02 * back).astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:

@@ -233,6 +233,14 @@ def test_samples_weigh_as_all_labels_do(spark):
     assert abs(whole - drawn) < 0.05 < whole - plain
 
 
+def test_op10_learns_word_embeddings():
+    texts = [f"{'vile' if i % 2 else 'kind'} words number {'abcdefgh'[i % 8]} here" for i in range(80)]
+    got, dealt = toxicity_cnn.Network().fit(texts, np.arange(80) % 2), toxicity_cnn.Network()
+    ids = np.unique(toxicity_cnn.word_ids(texts)[0])
+    moved = (got.p["embed"] != dealt.p["embed"])[:, 1:].any(1)
+    assert moved[ids].any() and not np.delete(moved, ids).any()
+
+
 def components_by_force(rows):
     sets, holders, up = [shingles(t) for _, t in rows], defaultdict(list), list(range(len(rows)))
 
