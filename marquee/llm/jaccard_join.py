@@ -120,6 +120,8 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.append(first, len(h)))
     total = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), size)
     order, total = order[total > 1], np.minimum(total[total > 1], 0xFFFFFFFE).astype(np.uint32)
+    if not len(order):
+        return keep
     by = np.argsort(unit[order], kind="stable")
     order, total = order[by], total[by]
     units, at = np.unique(unit[order], return_index=True)

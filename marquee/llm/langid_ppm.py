@@ -47,7 +47,7 @@ class Trees:
     def __init__(self, languages: list[str], language: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.languages, self.orders = languages, []
         size = len(languages)
-        for order in range(ORDER, -1, -1):
+        for order in range(ORDER, -1, -1) if size else ():
             keys, at = np.unique(gram & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
             counts = np.bincount(at * size + language, n, minlength=len(keys) * size).reshape(-1, size)
             contexts, c = np.unique(keys >> 8, return_inverse=True)
@@ -129,7 +129,11 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
                 code, cut = _grams(texts)
                 codes, distinct = pd.factorize(code)
                 table = costs(distinct)
-                bits = np.stack([np.diff(np.concatenate([[0.0], np.cumsum(table[:, k][codes])])[cut]) for k in range(len(trees.languages))], axis=1)
+                # Each text is summed by itself, so that equal costs are equal whatever stands beside it in the batch.
+                filled = np.flatnonzero(np.diff(cut))
+                bits = np.zeros((len(texts), len(trees.languages)))
+                for k in range(len(trees.languages)) if len(filled) else ():
+                    bits[filled, k] = np.add.reduceat(table[:, k][codes], cut[filled])
                 n = np.maximum(np.diff(cut), 1)[:, None]
                 best = bits.argmin(1)
                 gap = (bits - bits.min(1, keepdims=True)) / n * np.minimum(n, 64)

@@ -28,7 +28,7 @@ def keep_quality(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 3) != 1)
     network = quality_cnn.train(docs, labels)
     name = "score"
-    while name in docs.columns:
+    while name in [c.lower() for c in docs.columns]:  # column names clash whatever their case
         name += "_"
     return quality_cnn.score(docs, network, name).where(F.col(name) >= 0.5).select(docs.columns)
 
