@@ -61,6 +61,9 @@ class Merges:
         keys = np.array([i * self.size + j for i, j in self.pair], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.pair.values()], dtype=np.int64)[order]
+        self.made = np.zeros(len(merges), dtype=np.int64)  # what the merge of each rank makes
+        for r, k in self.pair.values():
+            self.made[r] = k
         self._words()
 
     def _words(self):
@@ -142,6 +145,43 @@ class Merges:
                     heapq.heappush(heap, (self.pair[ids[p], ids[q]][0], p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
+    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many words of at most SHORT bytes: in each round every word's first pair of lowest rank."""
+        out: list[np.ndarray] = [None] * len(words)
+        n_all = np.array([len(w) for w in words], dtype=np.int64)
+        by_length = np.argsort(n_all, kind="stable")
+        for rows in np.split(by_length, np.searchsorted(n_all[by_length], [7, 9, 12, 17, 33])):
+            if not len(rows):
+                continue
+            n, width = n_all[rows], int(n_all[rows].max())
+            at = np.arange(width)
+            ids = np.full((len(rows), width + 1), 0, dtype=np.int64)
+            ids[:, :width][at < n[:, None]] = np.array(self.byte_id)[np.frombuffer(b"".join(words[i] for i in rows), dtype=np.uint8)]
+            rank = np.where(at < n[:, None] - 1, self.pair_rank(ids[:, :-1], ids[:, 1:]), NEVER)
+            rank = np.concatenate([rank, np.full((len(rows), 1), NEVER)], axis=1)
+            live = np.arange(len(rows))
+            while len(live):
+                here = rank[live]
+                j = here.argmin(1)
+                least = here[np.arange(len(live)), j]
+                going = least < NEVER
+                live, j, least, here = live[going], j[going], least[going], here[going]
+                if not len(live):
+                    break
+                k, col = np.arange(len(live)), np.arange(width)
+                own = ids[live]
+                own[k, j] = self.made[least]
+                moved = col + (col > j[:, None])
+                own[:, :width], here[:, :width] = np.take_along_axis(own, moved, 1), np.take_along_axis(here, moved, 1)
+                n[live] -= 1
+                left = np.flatnonzero(j > 0)
+                here[left, j[left] - 1] = self.pair_rank(own[left, j[left] - 1], own[left, j[left]])
+                here[k, j] = np.where(j < n[live] - 1, self.pair_rank(own[k, j], own[k, j + 1]), NEVER)
+                ids[live], rank[live] = own, here
+            for i, x, m in zip(rows, ids, n, strict=True):
+                out[i] = x[:m]
+        return out
+
     def greedy(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each word has) by longest match; spans of the bytes that sums belongs to."""
         words, found = [], []
@@ -182,8 +222,8 @@ class Merges:
             ids, count, failed = self.speculate([raw[i] for i in short])
             for i, x in zip(short, np.split(ids, np.cumsum(count)[:-1]), strict=True):
                 parts[i] = x
-            for k in failed:
-                parts[short[k]] = None
+            for k, x in zip(failed, self.merged_together([raw[short[k]] for k in failed]), strict=True):
+                parts[short[k]] = x
         for i, x in enumerate(parts):
             if x is None:
                 parts[i] = np.array(self.merged(raw[i]), dtype=np.int64)

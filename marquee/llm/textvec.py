@@ -214,7 +214,14 @@ class Pieces:
     def rows_of(self, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Table rows of any spans (units, starts, ends)."""
         u, s, e = spans
-        return self._rows(span_hashes(u, s, e), lambda at: [u[s[i] : e[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in at])
+
+        def fetch(at):
+            n = e[at] - s[at]
+            ends = np.cumsum(n)
+            text = u[np.repeat(s[at] - (ends - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-32-le", "surrogatepass")
+            return [text[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+        return self._rows(span_hashes(u, s, e), fetch)
 
     def slow(self, text: str) -> list[str]:
         """The library's own split, special strings apart."""

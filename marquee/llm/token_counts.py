@@ -26,8 +26,8 @@ STEP = np.dtype("<i2")
 WHITE_SPACE = frozenset(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-def prefix_counts(m: Merges, words: list[bytes]) -> list[np.ndarray]:
-    """For each word of at most SHORT bytes: its token count at each byte prefix."""
+def prefix_counts(m: Merges, words: list[bytes]) -> np.ndarray:
+    """For words of at most SHORT bytes, one after another: the word's token count at each byte prefix."""
     raw = np.frombuffer(b"".join(words), dtype=np.uint8)
     n = np.array([len(w) for w in words], dtype=np.int64)
     base = np.cumsum(n) - n
@@ -48,7 +48,7 @@ def prefix_counts(m: Merges, words: list[bytes]) -> list[np.ndarray]:
             last[at] = token[hit]
             count[at] = 1 if size == i else count[at - size] + 1
             open_ = open_[~hit]
-    return np.split(count, np.cumsum(n)[:-1])
+    return count
 
 
 def long_prefix_counts(m: Merges, word: bytes) -> np.ndarray:
@@ -70,18 +70,24 @@ def step_pieces(path: str) -> Pieces:
 
     def learn(pieces: list[str]):
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
-        counts: dict[int, np.ndarray] = dict(zip(short, prefix_counts(m, [raw[i] for i in short]), strict=True)) if short else {}
-        out = []
-        for i, w in enumerate(raw):
-            c = counts[i] if i in counts else long_prefix_counts(m, w)
-            b = np.frombuffer(w, dtype=np.uint8)
-            closes = np.append((b[1:] & 0xC0) != 0x80, True)  # the last byte of each code point
-            steps = np.diff(c[closes], prepend=0)
-            if pieces[i] in ("'re", "'ve", "'ll"):  # their first letter alone would be a piece apart from '
-                steps = np.array([1, 1, int(c[-1]) - 2])
-            out.append(steps)
-        return np.concatenate(out).astype(STEP), [len(x) for x in out]
+        n = np.array([len(w) for w in raw], dtype=np.int64)
+        count = np.empty(int(n.sum()), dtype=np.int64)
+        is_short = n <= SHORT
+        count[np.repeat(is_short, n)] = prefix_counts(m, [w for w in raw if len(w) <= SHORT])
+        first = np.cumsum(n) - n
+        for i in np.flatnonzero(~is_short):
+            count[first[i] : first[i] + n[i]] = long_prefix_counts(m, raw[i])
+        b = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        closes = np.append((b[1:] & 0xC0) != 0x80, True)  # the last byte of each code point
+        closes[first[1:] - 1] = True
+        sizes = np.add.reduceat(closes, first, dtype=np.int64)
+        count = count[closes]
+        steps, first = np.diff(count, prepend=0), np.cumsum(sizes) - sizes
+        steps[first] = count[first]
+        for i, p in enumerate(pieces):
+            if p in ("'re", "'ve", "'ll"):  # their first letter alone would be a piece apart from '
+                steps[first[i] : first[i] + 3] = (1, 1, count[first[i] + 2] - 2)
+        return steps.astype(STEP), sizes
 
     return Pieces(library, learn, STEP, special, MOST_PIECES)
 
