@@ -8,7 +8,7 @@ Format: a folder of two Parquet tables.
 A block is decoded from its own row and the codes alone. Parts and blocks are in ascending doc_id order.
 
 Nulls: a null text is an empty one (only the end id); a null doc_id sorts first. Equal doc_ids stay apart, in the
-order of their ids' bytes. An empty table gives two empty tables. Extra columns are ignored.
+order of their coded bytes. An empty table gives two empty tables. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,6 +158,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     lengths = limited_lengths(n, limit)
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, lengths, strict=True)], "id long, length int").coalesce(1).write.parquet(f"{path}/codes")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Each part is a range of doc_ids. Bounds come from the ids alone, so that nothing is coded twice to sample it.
+    at = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
+    bounds = np.unique(np.array(coded.agg(F.percentile_approx("doc_id", at, 100 * parts)).first()[0] or [], dtype=np.int64))
     shared = spark.sparkContext.broadcast((ids, lengths))  # bounded by the vocabulary
 
     def code():
@@ -167,30 +171,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, limit:
             flat, n = _flat(batch)
             payload, size, marks = coder.encode(flat, n)
             cut, lanes = np.cumsum(size), np.cumsum(-(-n // EVERY))
-            yield {"doc_id": batch["doc_id"], "n": n.astype(np.int32), "marks": [x.astype("<u4").tobytes() for x in np.split(marks, lanes[:-1])], "payload": [x.tobytes() for x in np.split(payload, cut[:-1])]}
+            doc_ids = batch["doc_id"].fill_null(-(1 << 63)).to_numpy()
+            yield {"to": np.searchsorted(bounds, doc_ids).astype(np.int32), "doc_id": batch["doc_id"], "n": n.astype(np.int32), "marks": [x.astype("<u4").tobytes() for x in np.split(marks, lanes[:-1])], "payload": [x.tobytes() for x in np.split(payload, cut[:-1])]}
 
         return step
 
     def pack():
-        from pyspark import TaskContext
-
-        part, block, offset = TaskContext.get().partitionId(), 0, 0
+        part, block, offset = -1, 0, 0
 
         def step(batch):
-            nonlocal block, offset
+            nonlocal part, block, offset
             n, sizes = batch["n"].to_numpy(), np.array([len(x) for x in batch["payload"].to_pylist()], dtype=np.int64)
+            of = batch["to"].to_numpy()
             number = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
-            for k in np.unique(number):
-                a, b = np.searchsorted(number, [k, k + 1])
+            edges = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (of[1:] != of[:-1]), [True]]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if of[a] != part:
+                    part, block, offset = int(of[a]), 0, 0
                 total = int(n[a:b].sum())
                 yield {"part": [part], "block": [block], "offset": [offset], "n_ids": [total], "doc_ids": [batch["doc_id"][a:b].to_pylist()], "doc_n": [n[a:b]], "doc_bytes": [sizes[a:b].astype(np.int32)], "checkpoints": [b"".join(batch["marks"][a:b].to_pylist())], "payload": [b"".join(batch["payload"][a:b].to_pylist())]}
                 block, offset = block + 1, offset + total
 
         return step
 
-    small = map_batches(coded, code, "doc_id long, n int, marks binary, payload binary")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = small.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
+    small = map_batches(coded, code, "to int, doc_id long, n int, marks binary, payload binary")
+    ordered = small.repartitionById(parts, F.col("to")).sortWithinPartitions("to", F.col("doc_id").asc_nulls_first(), "payload")
     map_batches(ordered, pack, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
