@@ -1,9 +1,11 @@
 """Personal data: patterned entities, and a contextual extraction bootstrapped from them.
 
-Base entities (email, ip, card, phone) come from patterns with checks. They are the seeds: the words around them induce
-lexical patterns, each context word pair a pattern for a kind. Identifier-like strings that no base entity covers are
-the other instances. Pattern and instance confidences are scored in turns over the pattern-instance graph, and
-instances that high-confidence patterns surround become spans of the pattern's kind.
+Base entities (email, ip, card, phone) come from patterns with checks. They and secrets of published formats (SEEDS) are
+the seeds: what surrounds them induces lexical patterns, each of the word before, the word after, both, or the sign of an
+assignment with the value's shape. Identifier-like strings that no seed covers, of one token or several, are the other
+instances. Pattern and instance confidences are scored in turns over the pattern-instance graph, and instances that
+high-confidence patterns surround become spans of the pattern's kind. In ROUNDS turns a pattern becomes confident if about
+a third of its distinct instances are seeds of one kind and no other kind's seeds are among them.
 
 Only DataFrame functions. Positions are code points, ends exclusive. Nulls: a null text is an empty one; a row with a
 null doc_id is treated as any other. Repeated rows each return a row. An empty table gives an empty result. Extra columns
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .arrow import written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: Leftmost non-overlapping matches of the contract's patterns, written so that Java's matcher needs no deep recursion and
 #: no second look at a run: a match starts where the last one ended or where its run of characters begins.
 PATTERNS = {
@@ -26,10 +29,16 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{5,}+"
+#: fixed values: published formats of access keys, and what a password is assigned with
+SEEDS = r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9_])|(?<=(?i:password|passwd|pwd|secret)[=:])[^\s\"',;<>]{6,}+"
+#: Digit groups with blanks, brackets, dots or dashes between; colon-separated hexadecimal groups; one token with a digit or an @.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9@._%+:-])(?:\(?[0-9]{2,}+\)?(?:[\x20./-]{1,2}\(?[0-9]{2,}+\)?)++(?![A-Za-z0-9@_%+])|(?:[0-9A-Fa-f]{1,4}::?){3,7}+[0-9A-Fa-f]{1,4}"
+    r"|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{4,}[A-Za-z0-9])"
+)
 HINT = {"email": "@", "phone": "+"}  # without it there is no match
 NEAR = 48  # code points around an instance in which its context words are looked for
-ROUNDS, MIN_SEEDS, CONFIDENT = 3, 3, 0.8
+ROUNDS, MIN_SEEDS, CONFIDENT = 4, 3, 0.8
 BROADCAST_ROWS = 1_000_000
 
 SPAN = "array<struct<start:int,order:int,end:int,kind:string>>"
@@ -92,29 +101,44 @@ def of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def _word(x: Column) -> Column:
-    """A context word: lower case, without punctuation around it, digits as 0."""
-    return F.regexp_replace(F.regexp_replace(F.lower(x), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}=:]+$", ""), "[0-9]+", "0")
+def _word(x: Column, pattern: str) -> Column:
+    """A context word: lower case, digits as 0."""
+    return F.regexp_replace(F.lower(F.regexp_extract(x, pattern, 1)), "[0-9]+", "0")
+
+
+def _sign(before: Column) -> Column:
+    """= or : where it stands before a value, quotes and brackets aside."""
+    return F.regexp_extract(before, "([=:])[\\s\"'(\\[]*$", 1)
+
+
+def _shape(x: Column) -> Column:
+    """What a value is made of; short values of mixed characters have no shape to go by."""
+    hexadecimal = F.regexp_like(x, F.lit("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$"))
+    mixed = F.regexp_like(x, F.lit("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}$"))
+    return F.when(hexadecimal, "hex").when(mixed, "mixed").when(F.contains(x, F.lit("@")), "mail").when(F.regexp_like(x, F.lit("^[0-9]{7,}$")), "digits").otherwise("")
 
 
 def base_entities(docs: DataFrame) -> DataFrame:
-    """docs' columns, base (SPAN, sorted) and seen: instances with kind (null: a candidate), value and context."""
+    """docs' columns, base and seeds (SPAN, sorted) and seen: instances with kind (null: a candidate), value and context."""
     text = F.coalesce("text", F.lit(""))
     out = docs
-    for kind in KINDS:
+    for kind in BASE:
         out = out.withColumn(f"_{kind}", _matches(text, PATTERNS[kind], HINT.get(kind)))
         out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _check(kind)))
-    out = out.withColumn("_other", _matches(text, CANDIDATE, None))
+    out = out.withColumn("_secret", _matches(text, SEEDS, None)).withColumn("_other", _matches(text, CANDIDATE, None))
 
     def spans(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    out = out.withColumn("base", F.array_sort(F.concat(*map(spans, KINDS))))
-    free = F.filter("_other", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    out = out.withColumn("_other", F.when(F.size("_other") > 0, free).otherwise(F.col("_other")))
+    def free(of: str, taken: str) -> Column:
+        apart = F.filter(of, lambda x: ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        return F.when(F.size(of) > 0, apart).otherwise(F.col(of))
+
+    out = out.withColumn("base", F.array_sort(F.concat(*map(spans, BASE)))).withColumn("_secret", free("_secret", "base"))
+    out = out.withColumn("seeds", spans("secret")).withColumn("_other", free("_other", "base")).withColumn("_other", free("_other", "seeds"))
 
     def instances(kind: str | None) -> Column:
-        return F.transform(f"_{kind or 'other'}", lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), _word(F.regexp_extract(x["before"], "([^\\s]+)\\s*$", 1)).alias("left"), _word(F.regexp_extract(x["after"], "^\\s*([^\\s]+)", 1)).alias("right")))
+        return F.transform(f"_{kind or 'other'}", lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), _word(x["before"], "([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}]*$").alias("left"), _word(x["after"], "^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)").alias("right"), _sign(x["before"]).alias("sign"), _shape(x["value"]).alias("shape")))
 
     seen = F.concat(*map(instances, (*KINDS, None)))
     return out.withColumn("seen", seen).drop("_other", *(f"_{k}" for k in KINDS))
@@ -130,8 +154,9 @@ def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     Pattern confidence: the mean confidence that its distinct instances are of the kind, at least min_seeds base
     entities among them. Instance confidence: 1 - the product of (1 - confidence) over its distinct patterns.
     """
-    at = found.select("key", F.explode("seen").alias("x")).select("key", "x.*").where("left <> '' or right <> ''")
-    contexts = F.array(F.when(F.col("left") != "", F.concat(F.lit("<"), "left")), F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws("|", "left", "right")))
+    at = found.select("key", F.explode("seen").alias("x")).select("key", "x.*")
+    left, right = F.concat("left", "sign"), F.col("right")
+    contexts = F.array(F.when(left != "", F.concat(F.lit("<"), left)), F.when((left != "") & (right != ""), F.concat(left, F.lit("|"), right)), F.when(right != "", F.concat(F.lit(">"), right)), F.when((F.col("sign") != "") & (F.col("shape") != ""), F.concat("sign", F.lit("#"), "shape")))
     at = at.withColumn("pattern", F.explode(F.array_compact(contexts)))
     edges = written(at.groupBy("pattern", "value").agg(F.min("kind").alias("kind")))  # a value is no entity in one place and a candidate in another
     seeds = edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("p", F.lit(1.0))
@@ -155,7 +180,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = base_entities(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("key", _row_key()).drop("text")
     found = written(found)
     added = _grouped(discover(found))
-    return found.join(added, "key", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    return found.join(added, "key", "left").select("doc_id", "base", _with_seeds().alias("added"))
+
+
+def _with_seeds() -> Column:
+    """Seeds that are no base entities, and what was discovered."""
+    return F.array_sort(F.array_distinct(F.concat("seeds", F.coalesce("added", F.array().cast(SPAN)))))
 
 
 def _grouped(spans: DataFrame) -> DataFrame:
@@ -172,11 +202,12 @@ def rendered(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every found span of text replaced by its kind in angle brackets; a null text stays null."""
     own = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    found = base_entities(own).withColumn("key", _row_key())
-    added = _grouped(discover(written(found.select("key", "seen"))))
+    # Rows and their spans are written together, so that texts are searched once.
+    found = written(base_entities(own).withColumn("key", _row_key()).drop("doc_id", "text"))
+    added = _grouped(discover(found))
     if added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         added = F.broadcast(added)
-    both = found.join(added, "key", "left").withColumn("_s", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))))
+    both = found.join(added, "key", "left").withColumn("_s", F.array_sort(F.concat("base", _with_seeds()))).withColumn("text", F.col("_row.text"))
     # Of spans that overlap, the first stays and grows over the others.
     zero = F.array().cast(SPAN)
     merged = F.aggregate("_s", zero, lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.element_at(acc, -1).withField("end", F.greatest(F.element_at(acc, -1)["end"], s["end"]))))).otherwise(F.concat(acc, F.array(s))))

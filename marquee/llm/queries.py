@@ -24,10 +24,10 @@ def op1_token_output(spark, sf_dir):
 
 
 def op2_pii(spark, sf_dir):
-    from .pii import KINDS, find_pii, of_kind, rendered
+    from .pii import BASE, find_pii, of_kind, rendered
 
     got = find_pii(_table(spark, sf_dir, "documents"))
-    counts = [F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(of_kind("base", k)).cast("long").alias(f"n_{k}") for k in BASE]
     return got.select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
