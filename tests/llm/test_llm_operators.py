@@ -114,6 +114,23 @@ def test_op2_patterns_learned_from_seeds_find_more(spark):
     assert by_id(pii.redact(spark.createDataFrame(rows, "doc_id long, text string")))[100].text == "the email: <EMAIL> and more"
 
 
+def test_op2_planted_identifiers(spark, texts):
+    """Seeds and identifiers of other forms planted in like contexts into all documents, every third with decoys."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for i, t in texts.items():
+        at = len(t or "") // 2
+        forms = [f"reach me at u{i}@mail.com or", f"reach me at jane.doe{i}@intranet or", f"my number: +49 30 555{i:05d} is", f"my number: 030 {i:03d} 45 67 is", f"password={rng.getrandbits(72):018x} was", f'token = "{rng.getrandbits(160):040x}" was', f"version v{i}.2.30-rc1 of", f"in the year 19{i % 100:02d} of"]
+        form = forms[i % 8] if i % 3 else forms[i % 2 * 2]
+        rows.append((i, f"{(t or '')[:at]} {form} {(t or '')[at:]}"))
+        value = {1: f"jane.doe{i}@intranet", 3: f"030 {i:03d} 45 67", 4: form[9:27], 5: form[9:49]}.get(forms.index(form))
+        if value:
+            a = rows[-1][1].index(value)
+            want.add((i, a, a + len(value)))
+    got = {(r.doc_id, s.start, s.end) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.added}
+    assert len(want) > 40 and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_op2_awkward_and_empty(awkward, empty):
     rows = pii.find_pii(awkward).collect()
     assert Counter((r.doc_id, len(r.base)) for r in rows) == Counter((i, len([x for x in base_spans(t or "").split(",") if x])) for i, t in AWKWARD)
@@ -144,6 +161,26 @@ def test_op3_containment_is_exact(spark, docs, texts):
     assert got == want and (5000, 900, 1) in got
 
 
+def test_op3_finds_every_item_at_the_bound(spark):
+    """Items of many sizes, documents that hold just enough of them, or one shingle less, in pieces among other words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, docs = [], []
+    for j, n in enumerate([1, 2, 3, 5, 8, 13, 40, 100, 333]):
+        w = [word() for _ in range(n + 4)]
+        items.append((j, " ".join(w)))
+        for short in (0, 1):
+            keep = -(-75 * n // 100) - short
+            a = keep // 2
+            parts = [w[: a + 4] if a else [], w[n - (keep - a) : n + 4] if keep - a else []]
+            docs.append((10 * j + short, " ".join([*(word() for _ in range(30)), *parts[0], *(word() for _ in range(3000)), *parts[1], word()])))
+    items.append((3, "another text under an id that is taken already by one"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in docs}
+    want = {(i, j) for i, s in sets.items() for j, x in items if 100 * len(shingles(x) & s) >= 75 * len(shingles(x))}
+    assert got == want and {j for _, j in want} == set(range(9))
+
+
 def test_op3_awkward_and_empty(spark, awkward, empty):
     items = spark.createDataFrame([(1, "b c d e f g")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.find_contained(awkward, items).collect()] == [(6, 1)]
