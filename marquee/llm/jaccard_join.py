@@ -31,7 +31,9 @@ LOCAL = 8  # documents of one slice that hold a shingle, beyond which the slice
 MOST_SHARED = 4  # most shared prefix shingles that a document asks for
 BROADCAST_ROWS = 1_000_000  # candidates (24 bytes each) up to which they are broadcast; beyond, a shuffled join
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 8_000_000  # of one block of a candidate group
-BUCKETS = 4  # of hashes, for each shuffle partition: a bucket is in memory at once
+BUCKETS = 4  # of hashes, for each partition: a bucket is in memory at once
+PART_BYTES = 16_000_000  # of text for each partition, where that makes more of them than spark.sql.shuffle.partitions
+COPIES = 100  # rows with equal sets from which on their class is broadcast to them
 MANY = np.uint32(0xFFFFFFFF)
 
 DOCS = "doc_id long, n int, h1 long, h2 long, need int, prefix array<long>"
@@ -159,12 +161,19 @@ def _prefixes(percent: int):
     return run
 
 
+def _parts(docs: DataFrame) -> int:
+    """Partitions by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def document_prefixes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """DOCS: each document's set size, set hash, shared shingles to ask for, and prefix."""
-    buckets = BUCKETS * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(docs)
+    buckets = BUCKETS * parts
     blobs = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _spread(width, buckets), _BLOBS)
-    shared = blobs.groupBy("to").applyInPandas(_shared, _BLOBS)
-    return shared.groupBy("unit").applyInPandas(_prefixes(percent), DOCS)
+    shared = blobs.repartition(parts, "to").groupBy("to").applyInPandas(_shared, _BLOBS)
+    return shared.repartition(parts, "unit").groupBy("unit").applyInPandas(_prefixes(percent), DOCS)
 
 
 class _Forest:
@@ -258,7 +267,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, block
     """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) for docs(doc_id, text)."""
     table = written(document_prefixes(docs, width, percent))
     key = ["h1", "h2", "n"]
-    classes = table.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "need", "prefix")).alias("rep")).select(*key, "rep.*")
+    classes = table.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "need", "prefix")).alias("rep"), F.count("*").alias("members")).select(*key, "rep.*", "members")
     postings = classes.where(F.size("prefix") > 0).select("doc_id", F.explode("prefix").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("held")).where("held > 1").select("token", "hub")
     groups = components(postings.join(hubs, "token").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
@@ -296,5 +305,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, block
         single = first.join(large.select(F.col("doc_id").alias("node")).distinct(), "node", "left_anti")
         first = single.union(roots)
     roots = first.groupBy(F.col("node").alias("doc_id")).agg(F.min("root").alias("root"))
-    of_class = classes.select(*key, "doc_id").join(roots, "doc_id", "left").select(*key, F.coalesce("root", "doc_id").alias("component"))
-    return table.join(of_class, key, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    of_class = written(classes.select(*key, "doc_id", "members").join(roots, "doc_id", "left").select(*key, "members", F.coalesce("root", "doc_id").alias("component")))
+    # A class that many rows share would meet them all in one task: such classes go to their rows. There are fewer than BROADCAST_ROWS.
+    copies = max(COPIES, table.count() // BROADCAST_ROWS)
+    met = table.drop("need", "prefix").join(F.broadcast(of_class.where(F.col("members") > copies).drop("members")), key, "left")
+    others = met.where("component is null").drop("component").join(of_class.where(F.col("members") <= copies).drop("members"), key, "left")
+    return met.where("component is not null").unionByName(others).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
