@@ -23,7 +23,8 @@ EMBED, FILTERS, WIDTH, STRIDE = 8, 24, 8, 2
 CHUNK, HOP, BLOCK = 64, 56, 8  # filter positions of a chunk, from one chunk to the next, and of what both are made of
 LAGS = range(2, 40)
 PAD = 48
-EPOCHS, BATCH, CHUNKS = 8, 32, 12  # CHUNKS: of a training text, drawn anew each epoch
+EPOCHS, BATCH = 12, 32
+CHUNKS = 256  # of a training text, about 28 KB; of a longer one, one from each of as many equal runs, drawn anew each epoch
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +120,9 @@ class Network:
         at, owner, valid = [], [], []
         for k, i in enumerate(rows):
             starts = np.arange(0, positions[i], HOP)
-            starts = starts[: max(1, len(starts))] if len(starts) <= CHUNKS else np.sort(rng.choice(starts, CHUNKS, replace=False))
+            if len(starts) > CHUNKS:  # chunks from all over the text
+                edges = np.linspace(0, len(starts), CHUNKS + 1)
+                starts = starts[(edges[:-1] + rng.random(CHUNKS) * np.diff(edges)).astype(int)]
             at.append(first[i] + starts * STRIDE)
             owner.append(np.full(len(starts), k))
             valid.append(np.minimum(positions[i] - starts, CHUNK))

@@ -6,16 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import on_workers
 
-#: Bounds of the labelled sample: rows of each class, and bytes of a text that trains.
-PER_CLASS = 2000
-MOST_BYTES = 32_768
+#: Bounds of the labelled sample: rows of each class, and bytes of all their texts together.
+PER_CLASS, CLASS_BYTES = 2000, 16_000_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> pd.DataFrame:
-    """text, y, weight: at most per_class texts of each class of labels(doc_id, label), those of the least hashes of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> pd.DataFrame:
+    """text, y, weight (and lang, where docs have it) of a sample of each class of labels(doc_id, label).
+
+    The sample is the run of least hashes of doc_id with at most per_class rows and class_bytes of whole texts (one text
+    at least); no text is left out for its own size.
 
     A class's weights add up to its share of all labels (1 on average), however many of its texts are in the sample.
     """
@@ -23,12 +26,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(*by).limit(per_class).union(known.where("y = 1").orderBy(*by).limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= MOST_BYTES)
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+    before = Window.partitionBy("y").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows only
+    sized = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    got = sized.where((F.col("before") == 0) | (F.col("before") + F.octet_length("text") <= class_bytes)).select("doc_id", "text", "lang", "y").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     weight = got["y"].map(counts) / got.groupby("y")["y"].transform("size")
-    return got.assign(weight=weight / weight.mean())[["text", "y", "weight"]]
+    return got.assign(weight=weight / weight.mean())[["text", "lang", "y", "weight"]]
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
