@@ -24,6 +24,7 @@ from .arrow import map_batches
 
 ORDER = 3
 PER_LANGUAGE = 400
+MOST_GRAMS = 1_000_000
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -69,6 +70,54 @@ class Trees:
         return bits + 8.0 * open_
 
 
+class Scorer:
+    """Code lengths of texts under trees; a gram's cost is worked out once, for up to MOST_GRAMS grams."""
+
+    def __init__(self, trees: Trees):
+        self.trees = trees
+        self._clear()
+
+    def _clear(self):
+        self.keys, self.cost = np.empty(0, np.int64), np.empty((0, len(self.trees.languages)))
+
+    def _costs(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.keys) > MOST_GRAMS:
+            self._clear()
+        at = np.searchsorted(self.keys, grams)
+        new = np.ones(len(grams), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != grams[inside]
+        if new.any():
+            fresh = np.sort(grams[new])
+            where = np.searchsorted(self.keys, fresh)
+            self.keys, self.cost = np.insert(self.keys, where, fresh), np.insert(self.cost, where, self.trees.costs(fresh), axis=0)
+            at = np.searchsorted(self.keys, grams)
+        return self.cost[at]
+
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(bits of each text for each language, its bytes). Texts are summed apart: equal texts have equal bits in any batch."""
+        code, cut = _grams(texts)
+        codes, distinct = pd.factorize(code)
+        table = self._costs(distinct)
+        filled = np.flatnonzero(np.diff(cut))
+        bits = np.zeros((len(texts), len(self.trees.languages)))
+        for k in range(len(self.trees.languages)) if len(filled) else ():
+            bits[filled, k] = np.add.reduceat(table[:, k][codes], cut[filled])
+        return bits, np.diff(cut)
+
+
+def counted(texts: list[str], langs: list[str | None]) -> Trees:
+    """Trees from texts with languages (null: left out)."""
+    languages = sorted({x for x in langs if x is not None})
+    parts = []
+    for k, lang in enumerate(languages):
+        gram, n = np.unique(_grams([t for t, x in zip(texts, langs, strict=True) if x == lang])[0], return_counts=True)
+        parts.append((np.full(len(gram), k), gram, n.astype(np.float64)))
+    if not parts:
+        return Trees([], *(np.empty(0, np.int64) for _ in range(3)))
+    return Trees(languages, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where((keys[at] == wanted)[:, None], values[at], 0.0)
@@ -107,34 +156,15 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
 
     def make():
         trees = shared.value
-        known = {"keys": np.empty(0, np.int64), "cost": np.empty((0, len(trees.languages)))}
-
-        def costs(grams: np.ndarray) -> np.ndarray:
-            if len(known["keys"]) > 1_000_000:
-                known.update(keys=np.empty(0, np.int64), cost=np.empty((0, len(trees.languages))))
-            at = np.searchsorted(known["keys"], grams)
-            new = (at == len(known["keys"])) | (known["keys"][np.minimum(at, max(len(known["keys"]) - 1, 0))] != grams) if len(known["keys"]) else np.ones(len(grams), bool)
-            if new.any():
-                fresh = np.sort(grams[new])
-                where = np.searchsorted(known["keys"], fresh)
-                known.update(keys=np.insert(known["keys"], where, fresh), cost=np.insert(known["cost"], where, trees.costs(fresh), axis=0))
-                at = np.searchsorted(known["keys"], grams)
-            return known["cost"][at]
+        scorer = Scorer(trees)
 
         def step(batch):
             raw = batch["text"].to_pylist()
             texts = [t or "" for t in raw]
             lang, score = [UND] * len(texts), np.zeros(len(texts))
             if trees.languages:
-                code, cut = _grams(texts)
-                codes, distinct = pd.factorize(code)
-                table = costs(distinct)
-                # Each text is summed by itself, so that equal costs are equal whatever stands beside it in the batch.
-                filled = np.flatnonzero(np.diff(cut))
-                bits = np.zeros((len(texts), len(trees.languages)))
-                for k in range(len(trees.languages)) if len(filled) else ():
-                    bits[filled, k] = np.add.reduceat(table[:, k][codes], cut[filled])
-                n = np.maximum(np.diff(cut), 1)[:, None]
+                bits, n = scorer.bits(texts)
+                n = np.maximum(n, 1)[:, None]
                 best = bits.argmin(1)
                 gap = (bits - bits.min(1, keepdims=True)) / n * np.minimum(n, 64)
                 top = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)

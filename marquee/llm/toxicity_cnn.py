@@ -4,7 +4,8 @@ A word (a run of letters, A-Z as a-z) is the sum of the vectors of its hash and
 inflected forms share strength. The first coordinate of a vector starts as the log-odds of its hash in one half of the
 training texts, 0 where fewer than three hold it; all coordinates, filters and weights learn on the other half. Then the
 log-odds are those of all texts, with what was learned added. Thresholds come from the half that did not train; they are
-calibrated by the text's language, told from its own letters: each language's cut is moved to 0.3.
+calibrated by the text's language, as byte context trees learned from the sample's texts tell it: each language's cut is
+moved to 0.3. A language with fewer than LEAST_TEXTS texts or LEAST_TOXIC toxic ones among them has the cut of all texts.
 
 Nulls: a null text is an empty one; a text without words gets the network's bias. Labels other than 0 and 1 train
 nothing; with one class or none in the sample every score is that class's share (0 without rows). Repeated rows stay; an
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
+from .langid_ppm import Scorer, counted
 from .textvec import _LOWER, U64, in_chunks, mix, span_hashes
 from .training import Adam, best_cut, calibrated, logistic, sample
 
@@ -30,32 +32,26 @@ CUT = 0.3
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: Languages by letters of their own (second byte after 0xC3); a text with few of them is "plain".
-GROUPS = {"plain": "", "romance_n": "ñóáíú¿", "romance_e": "éèêçàù", "germanic": "äöüß"}
-_GROUP = np.zeros(256, dtype=np.int64)
-for _i, _letters in enumerate(GROUPS.values()):
-    for _c in _letters:
-        for _x in (_c, _c.upper()):
-            if len(_x) == 1 and _x.encode()[0] == 0xC3:
-                _GROUP[_x.encode()[1]] = _i
-
-
-def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row numbers in the table of each word: whole and beginnings, words before each text, language group of each text)."""
+LEAST_TEXTS, LEAST_TOXIC = 40, 8
+#: Blocks of UTF-8 without letters: (lead byte, second bytes, bytes of a character): U+0080-00BF, U+2000-207F, U+3000-303F
+NO_LETTERS = ((0xC2, range(0x80, 0xC0), 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3))
+
+
+def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers in the table of each word: whole and beginnings, words before each text)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     b = np.frombuffer(b"\0".join([b"", *raw, b""]), dtype=np.uint8)
     edges = np.cumsum([1, *(len(t) + 1 for t in raw)])
     letter = _LETTER[b]
+    for lead, seconds, n in NO_LETTERS:
+        at = np.flatnonzero(b == lead)
+        at = at[np.isin(b[at + 1], seconds)]  # a lead byte is never the last
+        for i in range(n):
+            letter[at + i] = False
     start, end = np.flatnonzero(~letter[:-1] & letter[1:]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
     low = _LOWER[b]
     ids = np.stack([(mix(span_hashes(low, start, np.minimum(end, start + n)) + U64(n)) >> U64(46)).astype(np.int64) for n in (64, *BEGINNINGS)], axis=1)
-    which = np.searchsorted(edges, np.flatnonzero(b == 0xC3), side="right") - 1
-    kind = _GROUP[b[np.flatnonzero(b == 0xC3) + 1]]
-    votes = np.bincount(which * len(GROUPS) + kind, minlength=len(texts) * len(GROUPS)).reshape(len(texts), -1) if len(texts) else np.zeros((0, len(GROUPS)), np.int64)
-    votes[:, 0] = 0
-    cut = np.searchsorted(start, edges)
-    group = np.where(votes.max(1) * 20 > np.diff(cut), votes.argmax(1), 0)
-    return ids, cut, group
+    return ids, np.searchsorted(start, edges)
 
 
 class Network:
@@ -68,7 +64,8 @@ class Network:
             self.p[f"filters{w}"], self.p[f"offset{w}"] = f, np.zeros(FILTERS)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.constant: float | None = None
-        self.cuts = np.full(len(GROUPS), 0.5)
+        self.trees = counted([], [])
+        self.cuts = np.full(1, 0.5)  # of all texts, then of each language
 
     def _vectors(self, ids: np.ndarray) -> np.ndarray:
         """A word's vector; a row of zeros after a text's last words lets wide filters see its end."""
@@ -88,18 +85,24 @@ class Network:
             at.append(best)
         return np.concatenate(top), at
 
-    def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, cut, group = word_ids(texts)
+    def raw(self, texts: list[str]) -> np.ndarray:
+        ids, cut = word_ids(texts)
         z = np.stack([self._pooled(self._vectors(ids[a:b]), b - a)[0] for a, b in zip(cut[:-1], cut[1:], strict=True)]) if texts else np.zeros((0, FILTERS * len(WIDTHS)))
-        return logistic(np.maximum(z, 0) @ self.p["out"] + self.p["bias"]), group
+        return logistic(np.maximum(z, 0) @ self.p["out"] + self.p["bias"])
+
+    def groups(self, texts: list[str], scorer: Scorer | None = None) -> np.ndarray:
+        """The number of each text's language, from 1; 0 where none is learned."""
+        if not self.trees.languages:
+            return np.zeros(len(texts), dtype=np.int64)
+        scorer = scorer or Scorer(self.trees)
+        return np.concatenate([1 + scorer.bits(texts[a:b])[0].argmin(1) for a, b in in_chunks(texts)] or [np.empty(0, np.int64)])
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], scorer: Scorer | None = None) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        got, group = self.raw(texts)
-        return np.clip(calibrated(got.astype(np.float64), self.cuts[group], CUT), 0, 1)
+        return np.clip(calibrated(self.raw(texts).astype(np.float64), self.cuts[self.groups(texts, scorer)], CUT), 0, 1)
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 3, weight: np.ndarray | None = None):
+    def fit(self, texts: list[str], y: np.ndarray, seed: int = 3, weight: np.ndarray | None = None, langs: list[str | None] | None = None):
         if len(y) == 0 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.0
             return self
@@ -109,7 +112,8 @@ class Network:
         parts = [word_ids(texts[a:b]) for a, b in in_chunks(texts)]
         ids = np.concatenate([p[0].astype(np.int32) for p in parts])
         cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-        group = np.concatenate([p[2] for p in parts])
+        self.trees = counted(texts, langs or [None] * len(texts))
+        group = self.groups(texts)
         half = rng.permutation(len(y)) % 2 == 0
         half = half if 0 < y[half].sum() < y.sum() else np.ones(len(y), bool)
         self._start(ids, cut, y, half)
@@ -134,12 +138,14 @@ class Network:
             self.p["embed"][:, 0] += learned
             rest = np.flatnonzero((part == k) & judged)
             if len(rest):
-                got[rest] = self.raw([texts[i] for i in rest])[0]
+                got[rest] = self.raw([texts[i] for i in rest])
         self.p["embed"] = final
         whole = best_cut(got[judged], y[judged], weight_false=2.0, weight=weight[judged])
-        for g in range(len(GROUPS)):
+        self.cuts = np.full(1 + len(self.trees.languages), whole)
+        for g in range(1, len(self.cuts)):
             own = (group == g) & judged
-            self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole, weight=weight[own]) if own.sum() >= 40 and y[own].sum() >= 8 else whole
+            if own.sum() >= LEAST_TEXTS and y[own].sum() >= LEAST_TOXIC:
+                self.cuts[g] = best_cut(got[own], y[own], weight_false=2.0, default=whole, weight=weight[own])
         return self
 
     def _start(self, ids, cut, y, rows):
@@ -186,7 +192,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
     """A network from labels(doc_id, label) and docs(doc_id, text): a bounded sample of them."""
     rows = sample(docs, labels, label)
-    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64), weight=rows["weight"].to_numpy())
+    return Network().fit(rows["text"].tolist(), rows["y"].to_numpy(np.int64), weight=rows["weight"].to_numpy(), langs=rows["lang"].tolist())
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:
@@ -195,9 +201,10 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
 
     def make():
         network = shared.value
+        scorer = Scorer(network.trees)
 
         def step(batch):
-            yield {"doc_id": batch["doc_id"], "score": network.score([x or "" for x in batch["text"].to_pylist()]).astype(float)}
+            yield {"doc_id": batch["doc_id"], "score": network.score([x or "" for x in batch["text"].to_pylist()], scorer).astype(float)}
 
         return step
 

@@ -369,6 +369,96 @@ def test_op7_rejects_what_lies_far_out_among_its_like(spark):
     assert not any(got[i].kept for i, *_ in few)
 
 
+FEW = ["", "a", "x" * 130, "one two three four " * 40, "naïve Ω 日本語 🎉 " * 30 + "end", "ab" * 5000]
+
+
+def test_op5_scores_are_a_plain_forward_pass():
+    """Every filter at every second byte, every chunk's maximum, mean and maximum over chunks, by loops."""
+    net, C = quality_cnn.Network(), quality_cnn
+    net.p["offset"] += np.linspace(-0.3, 0.3, C.FILTERS).astype(np.float32)
+    for t, got in zip(FEW, net.score(FEW), strict=True):
+        raw = t.encode()
+        b = bytes(C.PAD) + raw + bytes(C.PAD)
+        mark = [any(b[i : i + 4] == b[i - lag : i - lag + 4] for lag in C.LAGS if i >= lag) for i in range(len(b) - 3)] + [False] * 3
+        n = max((len(raw) + C.STRIDE - 1) // C.STRIDE, 1)
+        h = []
+        for p in range(n):
+            seen = [x for j in range(C.WIDTH) for i in [C.PAD + p * C.STRIDE + j] for x in (*net.p["embed"][b[i]], float(mark[i]))]
+            h.append(np.array(seen) @ net.p["filters"])
+        chunks = [np.maximum(np.max(h[a : a + C.CHUNK], axis=0) + net.p["offset"], 0) for a in range(0, n, C.HOP)]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        assert math.isclose(got, 1 / (1 + math.exp(-(z @ net.p["out"] + net.p["bias"][0]))), abs_tol=1e-4)
+
+
+def test_op10_scores_are_a_plain_forward_pass():
+    net, T = toxicity_cnn.Network(), toxicity_cnn
+    for t, got in zip(FEW, net.score(FEW), strict=True):
+        words = re.findall(r"[A-Za-z\u00c0-\uffff\U00010000-\U0010ffff]+", t)
+        ids, _ = T.word_ids([t])
+        assert len(words) == len(ids)
+        x = [net.p["embed"][row].sum(0) for row in ids] + [np.zeros(T.DIM)] * 3
+        z = []
+        for w in T.WIDTHS:
+            seen = [np.concatenate(x[p : p + w]) @ net.p[f"filters{w}"] + net.p[f"offset{w}"] for p in range(max(len(words), 1))]
+            z.extend(np.maximum(np.max(seen, axis=0), 0))
+        p = 1 / (1 + math.exp(-(np.array(z) @ net.p["out"] + net.p["bias"][0])))
+        assert math.isclose(got, 0.6 * p if p < 0.5 else 0.3 + 1.4 * (p - 0.5), abs_tol=1e-4)
+
+
+def test_op10_cuts_belong_to_learned_languages():
+    rng = random.Random(1)
+    words = {"en": "the of and to in is that for".split(), "fr": "le la les et des est que pour".split()}
+    rows = [(" ".join(rng.choice(words[g]) for _ in range(20)) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0), g) for i in range(400) for g in words]
+    net = toxicity_cnn.Network().fit([t for t, _, _ in rows], np.array([y for _, y, _ in rows]), langs=[g for *_, g in rows])
+    assert net.trees.languages == ["en", "fr"] and len(net.cuts) == 3
+    assert net.groups([t for t, *_ in rows]).tolist() == [1 if g == "en" else 2 for *_, g in rows]
+    assert toxicity_cnn.Network().fit([t for t, _, _ in rows], np.array([y for _, y, _ in rows])).groups(["x"]).tolist() == [0]
+
+
+def test_samples_are_bounded_in_rows_and_bytes_whatever_a_text_is_long(spark):
+    docs = spark.range(60).selectExpr("id doc_id", "repeat('x', int(id % 3) * 50000 + 10) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) toxic")
+    got = training.sample(docs, labels, "toxic", per_class=20, class_bytes=400_000)
+    size = got.text.str.len()
+    assert (got.groupby("y").size() <= 20).all() and (size.groupby(got.y).sum() <= 400_000).all() and size.max() == 100_010
+    assert len(training.sample(docs, labels, "toxic", per_class=20, class_bytes=1)) == 2
+
+
+def ppm_by_force(counts, text, order=3):
+    """Bits of a text: counts maps a context (bytes) to a Counter of next bytes."""
+    b, bits = bytes(order) + text.encode(), 0.0
+    for i in range(order, len(b)):
+        for k in range(order, -1, -1):
+            c = counts.get(b[i - k : i])
+            if c is None:
+                continue
+            total, kinds = sum(c.values()), len(c)
+            bits -= math.log2((c[b[i]] or kinds) / (total + kinds))
+            if c[b[i]]:
+                break
+        else:
+            bits += 8
+    return bits
+
+
+def test_op8_code_lengths_of_whole_texts(texts, docs):
+    rows = [(r.text, r.lang) for r in docs.where("text is not null and lang is not null").orderBy("doc_id").limit(60).collect()]
+    trees = langid_ppm.counted([t for t, _ in rows], [x for _, x in rows])
+    counts = {x: defaultdict(Counter) for x in trees.languages}
+    for t, x in rows:
+        b = bytes(3) + t.encode()
+        for i in range(3, len(b)):
+            for k in range(4):
+                counts[x][b[i - k : i]][b[i]] += 1
+    some = [t for t in list(texts.values())[60:80] if t] + ["", "é", "zzz qqq \x00 €"]
+    bits, n = langid_ppm.Scorer(trees).bits(some)
+    for t, row, size in zip(some, bits, n, strict=True):
+        want = [ppm_by_force(counts[x], t) for x in trees.languages]
+        assert size == len(t.encode()) and np.allclose(row, want, rtol=1e-9, atol=1e-6) and (not t or row.argmin() == int(np.argmin(want)))
+    alone, _ = langid_ppm.Scorer(trees).bits(some[3:4])
+    assert (alone[0] == bits[3]).all()
+
+
 def test_op8_costs_are_the_definition():
     grams, _ = langid_ppm._grams(["abab", "abba"])
     code, n = np.unique(grams, return_counts=True)
