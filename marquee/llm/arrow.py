@@ -69,13 +69,23 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marquee-checkpoints"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset and the master local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/marquee-checkpoints"
     return f"{root.rstrip('/')}/marquee-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    path = shared_folder(df.sparkSession)
+    path = path or shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -63,8 +63,8 @@ def op6_jaccard_join(spark, sf_dir):
 def op7_fertility(spark, sf_dir):
     from .fertility import fertility_rules
 
-    got = fertility_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("entropy", 6).alias("entropy"))
+    got = fertility_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), _tokenizer())
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("entropy", 6).alias("entropy"), F.round("chars_per_token_2", 6).alias("chars_per_token_2"))
 
 
 def op8_language_id(spark, sf_dir):

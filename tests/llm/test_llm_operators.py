@@ -341,7 +341,7 @@ def test_op7_counts_and_measures(spark, texts, awkward, empty):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    got = by_id(fertility.fertility_rules(spark.read.parquet(f"{SMALL}/documents.parquet"), P.path("piece_bpe_32k.model")))
+    got = by_id(fertility.fertility_rules(spark.read.parquet(f"{SMALL}/documents.parquet"), P.path("piece_bpe_32k.model"), BPE))
     for i, t in texts.items():
         r, n = got[i], rules_by_force(t or "")
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
@@ -349,9 +349,11 @@ def test_op7_counts_and_measures(spark, texts, awkward, empty):
         ids = [x for w in WORD.findall(t or "") for x in model.encode(w)]
         entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in Counter(ids).values()) if ids else 0
         assert r.n_tokens == len(ids) and math.isclose(r.entropy, entropy, abs_tol=1e-6)
-    rows = fertility.fertility_rules(awkward, P.path("piece_bpe_32k.model")).collect()
+        second = sum(len(x.ids) for x in load(BPE).encode_batch([" " + w for w in WORD.findall(t or "")], add_special_tokens=False)) if i < 40 else None
+        assert second is None or math.isclose(r.chars_per_token_2, n[1] / max(second, 1), abs_tol=1e-9)
+    rows = fertility.fertility_rules(awkward, P.path("piece_bpe_32k.model"), BPE).collect()
     assert Counter((r.doc_id, r.n_words) for r in rows) == Counter((i, len(WORD.findall(t or ""))) for i, t in AWKWARD)
-    assert fertility.fertility_rules(empty, P.path("piece_bpe_32k.model")).count() == 0
+    assert fertility.fertility_rules(empty, P.path("piece_bpe_32k.model"), BPE).count() == 0
 
 
 def test_op7_rejects_what_lies_far_out_among_its_like(spark):
@@ -362,7 +364,7 @@ def test_op7_rejects_what_lies_far_out_among_its_like(spark):
     rare = [(2000 + i, t, "xx") for i, (_, t, _) in enumerate(few)]
     copies = [(3000 + i, plain[0][1], "en") for i in range(600)]
     rows = spark.createDataFrame(plain + few + rare + copies, "doc_id long, text string, lang string")
-    got = by_id(fertility.fertility_rules(rows, P.path("piece_bpe_32k.model")))
+    got = by_id(fertility.fertility_rules(rows, P.path("piece_bpe_32k.model"), BPE))
     assert len(got) == len(plain) + 5 + 5 + 600
     assert not any(got[i].base_failed for i, *_ in plain + few + rare + copies)
     assert sum(got[i].kept for i, *_ in plain) >= 199 and all(got[i].kept for i, *_ in rare + copies)
