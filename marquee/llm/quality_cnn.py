@@ -23,8 +23,8 @@ EMBED, FILTERS, WIDTH, STRIDE = 8, 24, 8, 2
 CHUNK, HOP, BLOCK = 64, 56, 8  # filter positions of a chunk, from one chunk to the next, and of what both are made of
 LAGS = range(2, 40)
 PAD = 48
-EPOCHS, BATCH = 12, 32
-CHUNKS = 256  # of a training text, about 28 KB; of a longer one, one from each of as many equal runs, drawn anew each epoch
+EPOCHS, BATCH = 8, 32
+CHUNKS = 32  # of a training text, about 4 KB; of a longer one, one from each of as many equal runs, drawn anew each epoch
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
