@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import on_workers
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marquee-checkpoints").rstrip("/")
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset and the master local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (root or f"file://{tempfile.gettempdir()}/marquee-checkpoints").rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -22,6 +28,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_walk(rows: DataFrame, keys: list[str], order: list, step: Callable, schema: str) -> DataFrame:
+    """Each key's rows in order, through step(rows of one key in one batch, state) -> (rows out, state).
+
+    State starts as None for each key; step(None, state) ends a key. Rows are streamed, so a key with any number of them
+    takes the memory of a batch and of the state.
+    """
+    on_workers(rows.sparkSession)
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            for k, part in pdf.groupby(keys, sort=False):
+                if k != key and key is not None:
+                    yield step(None, state)[0]
+                    state = None
+                key = k
+                out, state = step(part, state)
+                yield out
+        if key is not None:
+            yield step(None, state)[0]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """node, root (the least node of its component) of pairs(a, b).
 

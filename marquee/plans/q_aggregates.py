@@ -214,7 +214,7 @@ _SHOW = "regexp_replace(lower(title), '[^a-z0-9]', '', 'g')"
 _PLACE = "regexp_replace(lower(coalesce(venue_name, '')), '[^a-z0-9]', '', 'g')"
 
 
-@query("d3_collapsed", f"WITH g AS (SELECT *, {_SHOW} AS skey, {_PLACE} AS place FROM listings_v WHERE status = 'active'), f AS (SELECT skey, place, min_by(id, (start_at, id)) AS id, min(start_at) AS start_at, count(*) AS occurrences FROM g WHERE start_at >= {NOW} GROUP BY ALL), l AS (SELECT skey, place, max_by(id, (start_at, id)) AS id, max(start_at) AS start_at, count(*) AS occurrences FROM g GROUP BY ALL), n AS (SELECT skey, place, list_sort(list(DISTINCT g.start_at)) AS later FROM g JOIN f USING (skey, place) WHERE g.start_at > f.start_at GROUP BY ALL) SELECT coalesce(f.id, l.id) AS id, coalesce(f.start_at, l.start_at) AS start_at, coalesce(f.occurrences, l.occurrences) AS occurrences, CAST(coalesce(least(len(n.later), 3), 0) AS INTEGER) AS n_next, n.later[1] AS next1, n.later[3] AS next3 FROM l LEFT JOIN f USING (skey, place) LEFT JOIN n USING (skey, place)")
+@query("d3_collapsed", f"WITH g AS (SELECT *, {_SHOW} AS skey, {_PLACE} AS place FROM listings_v WHERE status = 'active'), f AS (SELECT skey, place, min_by(id, (start_at, id)) AS id, min(start_at) AS start_at, count(*) AS occurrences FROM g WHERE start_at >= {NOW} GROUP BY ALL), l AS (SELECT skey, place, max_by(id, (start_at, id)) AS id, max(start_at) AS start_at, count(*) AS occurrences FROM g GROUP BY ALL), n AS (SELECT skey, place, list_sort(list(DISTINCT g.start_at)) AS later FROM g JOIN f USING (skey, place) WHERE g.start_at > f.start_at GROUP BY ALL) SELECT coalesce(f.id, l.id) AS id, coalesce(f.start_at, l.start_at) AS start_at, coalesce(f.occurrences, l.occurrences) AS occurrences, CAST(least(coalesce(len(n.later), 0), 3) AS INTEGER) AS n_next, n.later[1] AS next1, n.later[3] AS next3 FROM l LEFT JOIN f USING (skey, place) LEFT JOIN n USING (skey, place)")
 def d3(spark, sf_dir):
     rows = feed.collapse(listings(spark, sf_dir).where("status = 'active'"), AS_OF)
     nth = lambda i: F.get("next_dates", F.lit(i))

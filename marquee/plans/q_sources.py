@@ -162,11 +162,16 @@ def n19(spark, sf_dir):
     return listings(spark, sf_dir).select("id", n.organizer_id(url).alias("organizer"))
 
 
-@query("s3_json_ld", "SELECT page_id, CAST(2 AS INTEGER) AS events, 7.5 AS lowest FROM pages")
+@query("s3_json_ld", "SELECT page_id, CAST(1 + CAST(page_id % 2 = 0 AS INTEGER) AS INTEGER) AS events, CAST(CASE WHEN page_id % 2 = 0 THEN least(least(12, 7.5 + page_id % 9), page_id % 13) ELSE least(12, 7.5 + page_id % 9) END AS DOUBLE) AS lowest, url AS name, CAST(40 + (page_id % 50) / 100.0 AS DOUBLE) AS lat, CASE WHEN length(url) > 20 THEN concat('A page of listings with a long text: ', url) END AS meta FROM pages")
 def s3(spark, sf_dir):
-    block = F.lit('<script type="application/ld+json">{"@type":"MusicEvent","name":"x","offers":[{"price":"12"},{"price":"7.5"}]}</script><script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@type":"Event","name":"y","offers":[{"price":"9"}]},{"@type":"Place"}]</script>')
-    found = p.json_ld_events(F.concat("html", block))
-    return view(spark, sf_dir, "pages").select("page_id", found.alias("e")).select("page_id", F.size("e").alias("events"), F.array_min(F.transform("e", lambda e: p.lowest_offer(e["offers"]))).alias("lowest"))
+    k = F.col("page_id")
+    offers = F.concat(F.lit('[{"price":"12"},{"price":'), (7.5 + k % 9).cast("string"), F.lit("}]"))
+    first = F.concat(F.lit('<script type="application/ld+json">{"@type":"MusicEvent","name":'), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2), F.lit(',"location":{"geo":{"latitude":"'), (40 + k % 50 / 100).cast("string"), F.lit('"}},"offers":'), offers, F.lit("}</script>"))
+    second = F.concat(F.lit('<script type="application/ld+json">[{"@type":"'), F.when(k % 2 == 0, "Event").otherwise("Place"), F.lit('","name":"y","offers":{"price":"'), (k % 13).cast("string"), F.lit('"}}]</script>'))
+    meta = F.when(F.length("url") > 20, F.concat(F.lit('<meta name="description" content="A page of listings with a long text: '), "url", F.lit('">'))).otherwise('<meta name="description" content="short">')
+    html = F.concat(meta, "html", first, F.lit('<script type="application/ld+json">{bad</script>'), second)
+    rows = view(spark, sf_dir, "pages").select("page_id", p.json_ld_events(html).alias("e"), p.meta_description(html).alias("meta"))
+    return rows.select("page_id", F.size("e").alias("events"), F.array_min(F.transform("e", lambda e: p.lowest_offer(e["offers"]))).alias("lowest"), F.col("e")[0]["name"].alias("name"), F.col("e")[0]["location"]["geo"]["latitude"].cast("double").alias("lat"), "meta")
 
 
 @query("s4_page_state", "SELECT page_id, page_id AS k FROM pages")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 URL = "$.feedUrl"
+MOST_RULES = 10_000  # every source is compared with every rule
 
 
 def seed_actions(known: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -16,7 +17,9 @@ def seed_actions(known: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def paused(sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """sources with those paused whose feed URL is like a pattern of rules(pattern, reason); a hand-kept list, broadcast."""
+    """sources with those paused whose feed URL is like a pattern of rules(pattern, reason), a hand-kept list of MOST_RULES at most."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     url = F.get_json_object("config", URL)
     hit = sources.select("id", url.alias("url")).join(F.broadcast(rules), F.expr("url LIKE pattern")).groupBy("id").agg(F.min("reason").alias("_r"))
     rows = sources.join(hit, "id", "left")

@@ -243,10 +243,11 @@ def calendar_image(block: Column) -> Column:
 def recurrences(start: Column, rule: Column, as_of: str, days: int = 60) -> Column:
     """N14. Starts within [now, now + days] of DAILY, WEEKLY (with BYDAY) and MONTHLY rules with INTERVAL, COUNT and UNTIL.
 
-    Null where the rule has anything else: those rows belong in the reject table.
+    Null where the rule has anything else, or an interval below 1: those rows belong in the reject table.
     """
     part = lambda n: blank_null(F.regexp_extract(rule, rf"(?:^|;){n}=([^;]+)", 1))
-    freq, every, count = part("FREQ"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), part("COUNT").try_cast("int")
+    asked = part("INTERVAL").try_cast("int")
+    freq, every, count = part("FREQ"), F.greatest(F.coalesce(asked, F.lit(1)), F.lit(1)), part("COUNT").try_cast("int")
     until = F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
     now, last = dates.at(as_of), dates.at(as_of) + dates.hours(24 * days)
     span = F.greatest(F.datediff(last, start), F.lit(0))
@@ -259,7 +260,7 @@ def recurrences(start: Column, rule: Column, as_of: str, days: int = 60) -> Colu
     weekly = F.filter(F.array_sort(F.flatten(F.transform(weeks, lambda w: F.transform(week_days, lambda d: start + step(w * every * 7 + number(d) - monday))))), lambda t: t >= start)
     clock = start - F.date_trunc("day", start).cast("timestamp_ntz")
     months = F.filter(F.transform(F.sequence(F.lit(0), (span / (every * 28)).cast("int") + 1), lambda m: F.add_months(start.cast("date"), m * every).cast("timestamp_ntz") + clock), lambda t: F.dayofmonth(t) == F.dayofmonth(start))
-    plain = ~rule.rlike("BYSETPOS|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYHOUR|BYMONTH|BYDAY=[^;]*[0-9]") & (part("BYDAY").isNull() | (freq == "WEEKLY"))
+    plain = (part("INTERVAL").isNull() | F.coalesce(asked >= 1, F.lit(False))) & ~rule.rlike("BYSETPOS|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYHOUR|BYMONTH|BYDAY=[^;]*[0-9]") & (part("BYDAY").isNull() | (freq == "WEEKLY"))
     all_ = F.when(plain & (freq == "DAILY"), daily).when(plain & (freq == "WEEKLY"), weekly).when(plain & (freq == "MONTHLY"), months)
     some = F.when(count.isNotNull(), F.slice(all_, 1, F.greatest(count, F.lit(1)))).otherwise(all_)
     return F.filter(some, lambda t: (t >= now) & (t <= last) & (until.isNull() | (t <= until)))
@@ -376,10 +377,15 @@ def card_date(text: Column, as_of: str) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), F.lpad(clock, 5, "0")), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
 
 
+CARD_COLUMNS = ("title", "ticketUrl", "imageUrl", "dateStr", "venueName", "priceStr", "address")
+
+
 def cards(rows: DataFrame, details: DataFrame, as_of: str) -> DataFrame:
-    """N11. Cards merged by id (first title and image that are not empty) with details(ticketUrl, start_at, end_at, description, price, lat, lng) of their pages."""
-    text = lambda c: F.min(blank_null(F.col(c))).alias(c)  # noqa: E731  of several cards of an id any value will do: the least
-    merged = rows.where("coalesce(title, '') <> 'Unknown Event'").groupBy("externalId").agg(*(text(c) for c in ("title", "ticketUrl", "imageUrl", "dateStr", "venueName", "priceStr", "address")))
+    """N11. Cards merged by id (in each column the first value that is not empty, in order of `pulled` where rows have it,
+    else of the cards' own columns) with details(ticketUrl, start_at, end_at, description, price, lat, lng) of their pages."""
+    order = F.struct(*(["pulled"] if "pulled" in rows.columns else []), *CARD_COLUMNS)
+    text = lambda c: F.min_by(c, F.when(blank_null(F.col(c)).isNotNull(), order)).alias(c)
+    merged = rows.where("coalesce(title, '') <> 'Unknown Event'").groupBy("externalId").agg(*map(text, CARD_COLUMNS))
     d = details.select("ticketUrl", *(F.col(c).alias(f"d_{c}") for c in ("start_at", "end_at", "description", "price", "lat", "lng"))).dropDuplicates(["ticketUrl"])
     rows = dated(merged.join(d, "ticketUrl", "left"), as_of, F.coalesce("d_start_at", card_date(F.col("dateStr"), as_of)), F.col("d_end_at"))
     title = titled(F.col("title"))

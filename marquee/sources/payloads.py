@@ -37,7 +37,7 @@ MEETUP = (
 CONCERT = "songkickId string, title string, artistNames array<string>, dateText string, venueName string, venueAddress string, ticketUrl string, imageUrl string, description string, lat double, lng double"
 EXTRACTED = "events array<struct<title:string,description:string,date:string,startTime:string,endTime:string,isFree:boolean,priceMin:double,priceMax:double>>"
 SUBMISSION = "title string, venueName string, address string, startAt string, ticketUrl string, submitterEmail string"
-JSON_LD = "`@type` string, name string, description string, startDate string, endDate string, location struct<name:string,geo:struct<latitude:string,longitude:string>>, offers array<struct<price:string>>"
+JSON_LD = "`@type` string, name string, description string, startDate string, endDate string, location struct<name:string,geo:struct<latitude:string,longitude:string>>, offers string"
 
 
 def read_pages(spark: SparkSession, path: str, schema: str, envelope: str) -> DataFrame:
@@ -63,7 +63,10 @@ def json_ld_events(html: Column) -> Column:
 
 
 def lowest_offer(offers: Column) -> Column:
-    return F.array_min(F.transform(offers, lambda o: o["price"].try_cast("double")))
+    """The least price of an offer or an array of offers, as JSON text."""
+    several = F.from_json(offers, "array<struct<price:string>>")
+    one = F.array(F.from_json(offers, "struct<price:string>"))
+    return F.array_min(F.transform(F.when(F.trim(offers).startswith("["), several).otherwise(one), lambda o: o["price"].try_cast("double")))
 
 
 def meta_description(html: Column) -> Column:
