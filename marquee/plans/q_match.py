@@ -102,6 +102,12 @@ def d2(spark, sf_dir):
     return merge.deduplicate(listings(spark, sf_dir).where(live(AS_OF))).select("id", "title", "confidence_score")
 
 
+@query("j14_comparison")
+def j14_comparison(spark, sf_dir):
+    out = merge.same_day_comparison(listings(spark, sf_dir))
+    return out.select("id", "shown", F.size("tickets").alias("tickets"))
+
+
 @query("d4_batch_merge")
 def d4(spark, sf_dir):
     out = merge.batch_merge(listings(spark, sf_dir), ["title", "start_at", "source_type", "external_id"])

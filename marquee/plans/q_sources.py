@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import normalize as n
 from ..sources import payloads as p
 from .q_filters import NOW, listings
-from .registry import query
+from .registry import BODIES, query
 from .testviews import AS_OF, view
 
 _VALID = f"start_at >= {NOW} - INTERVAL 24 HOUR"
@@ -36,9 +36,13 @@ def payload_a(spark, sf_dir):
 _A = "CASE WHEN id % 9 <> 0 THEN start_at ELSE date_trunc('day', start_at) END"
 
 
+def listed_a(spark, sf_dir):
+    return n.api_a(payload_a(spark, sf_dir), AS_OF)
+
+
 @query("n1_ticketing_a", f"SELECT external_id, 'music' AS category, s AS start_at, s + INTERVAL 3 HOUR AS end_at, coalesce(description, '') AS description, coalesce(price_min = 0 AND price_max = 0, FALSE) AS is_free, CASE WHEN status = 'cancelled' THEN 'cancelled' ELSE 'active' END AS status FROM (SELECT *, {_A} AS s FROM listings_v) WHERE s >= {NOW} - INTERVAL 24 HOUR")
 def n1(spark, sf_dir):
-    return n.api_a(payload_a(spark, sf_dir), AS_OF).select("external_id", "category", "start_at", "end_at", F.coalesce("description", F.lit("")).alias("description"), "is_free", "status")
+    return listed_a(spark, sf_dir).select("external_id", "category", "start_at", "end_at", F.coalesce("description", F.lit("")).alias("description"), "is_free", "status")
 
 
 @query("n2_best_image", "SELECT external_id, concat(image_url, '_TABLET_LANDSCAPE_16_9.jpg') AS image FROM listings_v WHERE image_url IS NOT NULL")
@@ -46,30 +50,42 @@ def n2(spark, sf_dir):
     return payload_a(spark, sf_dir).select(F.col("id").alias("external_id"), n.best_image(F.col("images")).alias("image")).where("image is not null")
 
 
-@query("n3_ticketing_b", f"SELECT external_id, start_at, end_at, is_free OR price_min = 0 AS is_free, CASE WHEN NOT (is_free OR price_min = 0) THEN price_min END AS price_min FROM listings_v WHERE id % 4 <> 0 AND lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004 AND {_VALID}")
-def n3(spark, sf_dir):
+def listed_b(spark, sf_dir):
     text = lambda c: F.struct(F.col(c).cast("string").alias("text"))
     iso = lambda c: F.struct(F.date_format(c, ISO).alias("utc"))
     price = lambda c: F.struct(F.col(c).cast("string").alias("major_value"))
     venue = F.struct(F.col("venue_name").alias("name"), F.struct(F.col("lat").cast("string").alias("latitude"), F.col("lng").cast("string").alias("longitude")).alias("address"))
     body = F.struct(F.col("external_id").alias("id"), text("title").alias("name"), text("description").alias("description"), iso("start_at").alias("start"), iso("end_at").alias("end"), F.lit("live").alias("status"), "is_free", (F.col("id") % 4 == 0).alias("online_event"), venue.alias("venue"), F.struct(price("price_min").alias("minimum_ticket_price"), price("price_max").alias("maximum_ticket_price")).alias("ticket_availability"))
-    return n.api_b(parsed(listings(spark, sf_dir), p.API_B, body), AS_OF).select("external_id", "start_at", "end_at", "is_free", "price_min")
+    return n.api_b(parsed(listings(spark, sf_dir), p.API_B, body), AS_OF)
 
 
-@query("n4_ticketing_c", f"SELECT CAST(id AS VARCHAR) AS external_id, start_at, concat('1 Main St, ', venue_name, ', NY 10001') AS address, price_min FROM listings_v WHERE {_VALID}")
-def n4(spark, sf_dir):
+@query("n3_ticketing_b", f"SELECT external_id, start_at, end_at, is_free OR price_min = 0 AS is_free, CASE WHEN NOT (is_free OR price_min = 0) THEN price_min END AS price_min FROM listings_v WHERE id % 4 <> 0 AND lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004 AND {_VALID}")
+def n3(spark, sf_dir):
+    return listed_b(spark, sf_dir).select("external_id", "start_at", "end_at", "is_free", "price_min")
+
+
+def listed_c(spark, sf_dir):
     venue = F.struct(F.col("venue_name").alias("name"), F.lit("1 Main St").alias("address"), F.col("venue_name").alias("city"), F.lit("NY").alias("state"), F.lit("10001").alias("postal_code"), F.struct("lat", F.col("lng").alias("lon")).alias("location"))
     body = F.struct("id", "title", F.date_format("start_at", ISO).alias("datetime_utc"), venue.alias("venue"), F.struct(F.col("price_min").alias("lowest_price"), F.col("price_max").alias("highest_price")).alias("stats"))
-    return n.api_c(parsed(listings(spark, sf_dir), p.API_C, body), AS_OF).select("external_id", "start_at", "address", "price_min")
+    return n.api_c(parsed(listings(spark, sf_dir), p.API_C, body), AS_OF)
 
 
-@query("n5_parks", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CASE WHEN id % 3 = 0 THEN coalesce(venue_name, 'NYC Park') ELSE 'Great Lawn' END AS venue_name, id % 5 <> 1 AS is_free FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
-def n5(spark, sf_dir):
+@query("n4_ticketing_c", f"SELECT CAST(id AS VARCHAR) AS external_id, start_at, concat('1 Main St, ', venue_name, ', NY 10001') AS address, price_min FROM listings_v WHERE {_VALID}")
+def n4(spark, sf_dir):
+    return listed_c(spark, sf_dir).select("external_id", "start_at", "address", "price_min")
+
+
+def listed_parks(spark, sf_dir):
     rows = listings(spark, sf_dir)
     e = rows.select(F.col("external_id").alias("event_id"), "title", F.date_format("start_at", "yyyy-MM-dd").alias("date"), F.date_format("start_at", "HH:mm").alias("start_time"), F.lit(None).cast("string").alias("end_time"), F.lit("Great Lawn").alias("location_description"), "description", F.lit(None).cast("string").alias("snippet"), F.when(F.col("id") % 5 == 0, "1").alias("cost_free"), F.when(F.col("id") % 5 <= 1, "$5").alias("cost_description"), F.col("external_id").alias("url"))
     places = rows.where("id % 3 = 0").select(F.col("external_id").alias("event_id"), F.col("venue_name").alias("name"), F.col("lat").cast("string").alias("lat"), F.col("lng").cast("string").alias("long"), F.lit(None).cast("string").alias("address"), F.lit("B").alias("borough"))
     images = rows.where("image_url is not null").select(F.col("external_id").alias("event_id"), F.struct(F.col("image_url").alias("url")).alias("path"), F.lit(None).cast("struct<url:string>").alias("path_2"))
-    return n.parks(e, places, images, AS_OF).select("external_id", "start_at", "venue_name", "is_free")
+    return n.parks(e, places, images, AS_OF)
+
+
+@query("n5_parks", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CASE WHEN id % 3 = 0 THEN coalesce(venue_name, 'NYC Park') ELSE 'Great Lawn' END AS venue_name, id % 5 <> 1 AS is_free FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
+def n5(spark, sf_dir):
+    return listed_parks(spark, sf_dir).select("external_id", "start_at", "venue_name", "is_free")
 
 
 _TYPES = ["Farmers Market", "Block Party", "Athletic Race / Tour", "Construction"]
@@ -89,28 +105,40 @@ def n7(spark, sf_dir):
     return listings(spark, sf_dir).select("id", n.permit_address(place, F.lit("Bronx")).alias("address"))
 
 
-@query("n8_clubs", f"SELECT external_id, start_at, end_at, coalesce(venue_name, 'TBA') AS venue_name, 'https://ra.co/e' AS ticket_url FROM listings_v l LEFT JOIN (SELECT name, min(lat) AS glat, min(lng) AS glng FROM venues_v GROUP BY name) v ON v.name = l.venue_name WHERE {_VALID} AND (glat IS NULL OR (glat BETWEEN 40.4774 AND 40.9176 AND glng BETWEEN -74.2591 AND -73.7004))")
-def n8(spark, sf_dir):
+def listed_clubs(spark, sf_dir):
     geocoded = view(spark, sf_dir, "venues_v").groupBy(F.col("name").alias("venue_name")).agg(F.min("lat").alias("lat"), F.min("lng").alias("lng")).withColumn("place_name", F.lit(None).cast("string"))
     event = F.struct(F.col("external_id").alias("id"), "title", F.date_format("start_at", "yyyy-MM-dd").alias("date"), F.date_format("start_at", ISO).alias("startTime"), F.date_format("end_at", ISO).alias("endTime"), F.lit("/e").alias("contentUrl"), F.struct(F.col("venue_name").alias("name")).alias("venue"))
     body = F.struct(F.col("external_id").alias("id"), event.alias("event"))
-    return n.clubs(parsed(listings(spark, sf_dir), p.CLUB, body), AS_OF, geocoded).select("external_id", "start_at", "end_at", "venue_name", "ticket_url")
+    return n.clubs(parsed(listings(spark, sf_dir), p.CLUB, body), AS_OF, geocoded)
 
 
-@query("n9_meetups", f"SELECT external_id, start_at, price_min IS NULL OR id % 2 = 0 AS is_free, image_url FROM listings_v WHERE {_VALID} AND id % 5 <> 0 AND NOT (lat IS NOT NULL AND NOT (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004))")
-def n9(spark, sf_dir):
+@query("n8_clubs", f"SELECT external_id, start_at, end_at, coalesce(venue_name, 'TBA') AS venue_name, 'https://ra.co/e' AS ticket_url FROM listings_v l LEFT JOIN (SELECT name, min(lat) AS glat, min(lng) AS glng FROM venues_v GROUP BY name) v ON v.name = l.venue_name WHERE {_VALID} AND (glat IS NULL OR (glat BETWEEN 40.4774 AND 40.9176 AND glng BETWEEN -74.2591 AND -73.7004))")
+def n8(spark, sf_dir):
+    return listed_clubs(spark, sf_dir).select("external_id", "start_at", "end_at", "venue_name", "ticket_url")
+
+
+def listed_meetups(spark, sf_dir):
     rows = listings(spark, sf_dir)
     photos = rows.where("image_url is not null").select(F.concat(F.lit("PhotoInfo:"), "id").alias("ref"), F.col("image_url").alias("photo_url"))
     venue = F.struct(F.col("venue_name").alias("name"), F.lit("1 Main St").alias("address"), F.lit("US").alias("country"), "lat", "lng")
     fee = F.when(F.col("id") % 2 != 0, F.struct(F.col("price_min").alias("amount")))
     body = F.struct(F.col("external_id").alias("id"), "title", F.date_format("start_at", ISO).alias("dateTime"), F.when(F.col("id") % 5 == 0, "ONLINE").otherwise("PHYSICAL").alias("eventType"), F.col("ticket_url").alias("eventUrl"), "description", fee.alias("feeSettings"), venue.alias("venue"), F.struct(F.concat(F.lit("PhotoInfo:"), "id").alias("__ref")).alias("featuredEventPhoto"))
-    return n.meetups(parsed(rows, p.MEETUP, body), photos, AS_OF).select("external_id", "start_at", "is_free", "image_url")
+    return n.meetups(parsed(rows, p.MEETUP, body), photos, AS_OF)
+
+
+@query("n9_meetups", f"SELECT external_id, start_at, price_min IS NULL OR id % 2 = 0 AS is_free, image_url FROM listings_v WHERE {_VALID} AND id % 5 <> 0 AND NOT (lat IS NOT NULL AND NOT (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004))")
+def n9(spark, sf_dir):
+    return listed_meetups(spark, sf_dir).select("external_id", "start_at", "is_free", "image_url")
+
+
+def listed_concerts(spark, sf_dir):
+    body = F.struct("title", F.array(F.lit("The Headliner"), F.lit("The Opener")).alias("artistNames"), F.date_format("start_at", ISO).alias("dateText"), F.col("venue_name").alias("venueName"), F.concat(F.lit("/concerts/"), "id", F.lit("-x")).alias("ticketUrl"), "description")
+    return n.concerts(parsed(listings(spark, sf_dir), p.CONCERT, body), AS_OF)
 
 
 @query("n12_concerts", f"SELECT CAST(id AS VARCHAR) AS external_id, concat('https://www.songkick.com/concerts/', CAST(id AS VARCHAR), '-x') AS ticket_url, coalesce(nullif(description, ''), 'Featuring: The Headliner, The Opener') AS description FROM listings_v WHERE {_VALID}")
 def n12(spark, sf_dir):
-    body = F.struct("title", F.array(F.lit("The Headliner"), F.lit("The Opener")).alias("artistNames"), F.date_format("start_at", ISO).alias("dateText"), F.col("venue_name").alias("venueName"), F.concat(F.lit("/concerts/"), "id", F.lit("-x")).alias("ticketUrl"), "description")
-    return n.concerts(parsed(listings(spark, sf_dir), p.CONCERT, body), AS_OF).select("external_id", "ticket_url", "description")
+    return listed_concerts(spark, sf_dir).select("external_id", "ticket_url", "description")
 
 
 def calendar_text(spark, sf_dir):
@@ -132,13 +160,17 @@ def n14(spark, sf_dir):
     return view(spark, sf_dir, "events").select("event_id", F.size(n.recurrences(F.col("ts"), F.lit("FREQ=DAILY;INTERVAL=2"), AS_OF)).alias("occurrences"))
 
 
-@query("n16_extracted", f"SELECT concat('llm_hall_', strftime(start_at, '%Y-%m-%d'), '_', substring(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 1, 40)) AS external_id, date_trunc('minute', start_at) AS start_at, date_trunc('minute', start_at) + INTERVAL 1 HOUR AS end_at FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR AND id % 4 <> 0")
-def n16(spark, sf_dir):
+def listed_extracted(spark, sf_dir):
     later = F.date_format(F.col("start_at") + n.dates.hours(1), "HH:mm")
     event = F.struct(F.when(F.col("id") % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.date_format("start_at", "yyyy-MM-dd").alias("date"), F.date_format("start_at", "HH:mm").alias("startTime"), later.alias("endTime"))
     answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(event).alias("events"))), F.lit("\n```"))
     rows = listings(spark, sf_dir).select(F.lit("Hall").alias("venue"), F.lit("hall").alias("slug"), answer.alias("answer"))
-    return n.extracted(rows, AS_OF).select("external_id", "start_at", "end_at")
+    return n.extracted(rows, AS_OF)
+
+
+@query("n16_extracted", f"SELECT concat('llm_hall_', strftime(start_at, '%Y-%m-%d'), '_', substring(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 1, 40)) AS external_id, date_trunc('minute', start_at) AS start_at, date_trunc('minute', start_at) + INTERVAL 1 HOUR AS end_at FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR AND id % 4 <> 0")
+def n16(spark, sf_dir):
+    return listed_extracted(spark, sf_dir).select("external_id", "start_at", "end_at")
 
 
 @query("n17_submissions", "SELECT id, concat_ws(',', CASE WHEN id % 4 = 0 THEN 'title' END, CASE WHEN id % 3 = 0 THEN 'startAt' END, CASE WHEN id % 5 = 0 THEN 'submitterEmail' END) AS errors FROM listings_v")
@@ -200,12 +232,16 @@ def s11(spark, sf_dir):
     return f.select("id", at(0).alias("x"), at(1).alias("y"))
 
 
-@query("n10_page_events", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CASE WHEN id % 2 = 0 THEN 'music' ELSE 'comedy' END AS category, coalesce(description, 'short') AS description FROM listings_v WHERE id % 4 <> 3 AND venue_name IS NOT NULL AND (lat IS NULL OR (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004)) AND date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
-def n10(spark, sf_dir):
+def listed_page_events(spark, sf_dir):
     venue = F.struct(F.col("venue_name").alias("name"), F.struct(F.col("lat").cast("string").alias("latitude"), F.col("lng").cast("string").alias("longitude")).alias("address"))
     tags = F.array(F.struct(F.lit("EventbriteFormat").alias("prefix"), F.lit("Comedy show").alias("display_name")), F.struct(F.when(F.col("id") % 2 == 0, "EventbriteCategory").otherwise("Other").alias("prefix"), F.lit("Music").alias("display_name")))
     body = F.struct(F.col("external_id").alias("eid"), F.col("title").alias("name"), F.col("description").alias("full_description"), F.lit("short").alias("summary"), F.date_format("start_at", "yyyy-MM-dd").alias("start_date"), F.date_format("start_at", "HH:mm").alias("start_time"), venue.alias("primary_venue"), tags.alias("tags"), (F.col("id") % 4 == 3).alias("is_cancelled"))
-    return n.page_events(parsed(listings(spark, sf_dir), p.PAGE_EVENT, body), AS_OF).select("external_id", "start_at", "category", "description")
+    return n.page_events(parsed(listings(spark, sf_dir), p.PAGE_EVENT, body), AS_OF)
+
+
+@query("n10_page_events", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CASE WHEN id % 2 = 0 THEN 'music' ELSE 'comedy' END AS category, coalesce(description, 'short') AS description FROM listings_v WHERE id % 4 <> 3 AND venue_name IS NOT NULL AND (lat IS NULL OR (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004)) AND date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
+def n10(spark, sf_dir):
+    return listed_page_events(spark, sf_dir).select("external_id", "start_at", "category", "description")
 
 
 @query("n11_cards", f"SELECT external_id, date_trunc('minute', start_at) AS start_at, CAST(CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN 12.5 ELSE 9 END AS DOUBLE) AS price_min, id % 3 = 0 AS is_free FROM listings_v WHERE date_trunc('minute', start_at) >= {NOW} - INTERVAL 24 HOUR")
@@ -236,3 +272,71 @@ def s2(spark, sf_dir):
     path = f"{shared_root(spark)}/pages-{uuid.uuid4().hex}"
     pages.select("value").write.text(path)
     return p.read_pages(spark, path, p.API_A, "_embedded.events").select("id", F.col("name").alias("title"))
+
+
+@query("n15_extracted_events", "SELECT id, trim(title) AS title, CASE WHEN id % 6 <> 3 THEN strftime(start_at, '%H:%M') END AS starts, CASE WHEN id % 4 <> 1 THEN price_min END AS price_min, id % 2 = 0 AS is_free FROM listings_v WHERE id % 5 <> 0 AND id % 7 <> 0")
+def n15(spark, sf_dir):
+    """A fifth without a title, a seventh without a date; times without a leading zero, prices as text, flags as text."""
+    k = F.col("id")
+    title = F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "title", F.lit(" ")))
+    day = F.when(k % 7 == 0, "soon").otherwise(F.date_format("start_at", "yyyy-MM-dd"))
+    clock = F.when(k % 6 == 3, "8pm").otherwise(F.date_format("start_at", "HH:mm"))
+    price = F.when(k % 4 == 1, '"about 10"').otherwise(F.coalesce(F.col("price_min").cast("string"), F.lit("null")))
+    free = F.when(k % 2 == 0, "true").when(k % 3 == 0, '"true"').otherwise("null")
+    fields = F.to_json(F.struct(title.alias("title"), day.alias("date"), clock.alias("startTime")))
+    event = F.concat(fields.substr(F.lit(1), F.length(fields) - 1), F.lit(',"priceMin":'), price, F.lit(',"isFree":'), free, F.lit("}"))
+    rows = listings(spark, sf_dir).select("id", F.concat(F.lit('```json\n{"events":['), event, F.lit("]}\n```")).alias("answer"))
+    return n.extracted_events(rows).select("id", "title", F.col("startTime").alias("starts"), F.col("priceMin").alias("price_min"), F.col("isFree").alias("is_free"))
+
+
+_NORMALIZED = {"n1_ticketing_a": listed_a, "n3_ticketing_b": listed_b, "n4_ticketing_c": listed_c, "n5_parks": listed_parks, "n8_clubs": listed_clubs, "n9_meetups": listed_meetups, "n12_concerts": listed_concerts, "n16_extracted": listed_extracted, "n10_page_events": listed_page_events}
+_SOURCE_OF = {"n1_ticketing_a": "ticketmaster_api", "n3_ticketing_b": "eventbrite_api", "n4_ticketing_c": "seatgeek_api", "n5_parks": "nyc_parks_api", "n8_clubs": "ra_scrape", "n9_meetups": "meetup_scrape", "n12_concerts": "songkick_scrape", "n16_extracted": "llm_extraction", "n10_page_events": "eventbrite_scrape"}
+
+
+@query("u1_normalizers", " UNION ALL ".join(f"SELECT '{_SOURCE_OF[name]}' AS source_type, count(*) AS n, count(DISTINCT external_id) AS ids FROM ({BODIES[name]}) HAVING count(*) > 0" for name in _NORMALIZED))
+def u1_normalizers(spark, sf_dir):
+    rows = n.united(*(listed(spark, sf_dir) for listed in _NORMALIZED.values()))
+    return rows.groupBy("source_type").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"))
+
+
+@query("s4_state_events", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ['a', 'b', 'c'] WHEN page_id % 3 = 1 THEN ['a', 'c'] ELSE ['a', 'b'] END AS slots, url AS name FROM pages")
+def s4_events(spark, sf_dir):
+    """Events a and c under `events` and `promoted_results`, b at depth 12 or 13; one of c has no address, which is none."""
+    page = lambda slot, url: F.to_json(F.struct(F.concat(F.lit(slot), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("name"), F.lit("2024-02-01").alias("start_date"), F.lit("20:00").alias("start_time"), url.alias("url")))
+    k = F.col("page_id")
+    deep = F.concat(F.repeat(F.lit('{"x":'), F.lit(10)), F.when(k % 3 == 1, F.lit('[{"results":[')).otherwise(F.lit('{"results":[')), page("b", F.lit("u")), F.when(k % 3 == 1, F.lit("]}]")).otherwise(F.lit("]}")), F.repeat(F.lit("}"), F.lit(10)))
+    state = F.concat(F.lit('{"list":{"events":['), page("a", F.lit("u")), F.lit(',7,{"name":"n"}]},"more":[{"promoted_results":['), page("c", F.when(k % 3 != 2, "u")), F.lit(']}],"deep":['), deep, F.lit("]}"))
+    html = F.concat("html", F.lit("<script>window.__SERVER_DATA__ = "), state, F.lit(";</script>"))
+    rows = view(spark, sf_dir, "pages").select("page_id", p.state_events(p.server_state(html)).alias("e"))
+    return rows.select("page_id", F.array_sort(F.transform("e", lambda e: e["id"].substr(1, 1))).alias("slots"), F.col("e")[0]["name"].alias("name"))
+
+
+@query("s4_cached_meetups", f"SELECT external_id, start_at, image_url FROM listings_v WHERE {_VALID} AND id % 5 <> 0 AND NOT (lat IS NOT NULL AND NOT (lat BETWEEN 40.4774 AND 40.9176 AND lng BETWEEN -74.2591 AND -73.7004))")
+def s4_meetups(spark, sf_dir):
+    """A saved page for each listing: its cache holds the event, its photo and an object of another kind."""
+    photo = F.struct(F.lit("PhotoInfo").alias("__typename"), F.col("image_url").alias("highResUrl"))
+    venue = F.struct(F.col("venue_name").alias("name"), F.lit("1 Main St").alias("address"), F.lit("US").alias("country"), "lat", "lng")
+    event = F.struct(F.lit("Event").alias("__typename"), F.col("external_id").alias("id"), "title", F.date_format("start_at", ISO).alias("dateTime"), F.when(F.col("id") % 5 == 0, "ONLINE").otherwise("PHYSICAL").alias("eventType"), venue.alias("venue"), F.struct(F.lit("PhotoInfo:1").alias("__ref")).alias("displayPhoto"))
+    group = F.struct(F.lit("Group").alias("__typename"), F.lit("g").alias("title"))
+    cache = F.concat(F.lit('{"props":{"pageProps":{"__APOLLO_STATE__":{"Event:1":'), F.to_json(event), F.lit(',"PhotoInfo:1":'), F.to_json(photo), F.lit(',"Group:1":'), F.to_json(group), F.lit("}}}}"))
+    html = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), cache, F.lit("</script></html>"))
+    rows = listings(spark, sf_dir).select(F.explode(p.cached_meetups(html)).alias("e")).select("e.*")
+    return n.meetups(rows, None, AS_OF).select("external_id", "start_at", "image_url")
+
+
+@query("s10_export", "SELECT f.filter, count(*) AS count, count(*) FILTER (WHERE status = 'error') AS errors FROM verification_v JOIN (SELECT unnest(['all', 'error']) AS filter) f ON f.filter = 'all' OR f.filter = status GROUP BY f.filter")
+def s10_export(spark, sf_dir):
+    """Logs exported for all statuses and for one, and read back."""
+    import uuid
+
+    from ..operators.graph import shared_root
+    from ..sources.exports import export_logs
+
+    logs, root = view(spark, sf_dir, "verification_v"), f"{shared_root(spark)}/exports-{uuid.uuid4().hex}"
+    for chosen in ("all", "error"):
+        export_logs(logs, f"{root}/{chosen}", AS_OF, chosen)
+    read = lambda what, schema: spark.read.schema(schema).json([f"{root}/{c}/{what}" for c in ("all", "error")])
+    envelopes = read("summary", "`filter` string, `count` long, stats map<string,long>")
+    rows = read("rows", "status string").withColumn("filter", F.regexp_extract(F.input_file_name(), r"/(\w+)/rows/", 1))
+    counted = rows.groupBy("filter").agg(F.count("*").alias("n"))
+    return envelopes.join(counted, "filter").where("n = `count`").select("filter", "count", F.coalesce(F.try_element_at("stats", F.lit("error")), F.lit(0).cast("long")).alias("errors"))

@@ -24,6 +24,18 @@ def t1(spark, sf_dir):
     return latest(view(spark, sf_dir, "events"), ["user_id"], F.desc("ts"), F.col("event_id")).select("user_id", "event_type")
 
 
+@query("t1_upserted_batch", "SELECT user_id, coalesce(max(event_type) FILTER (WHERE k = 1 AND NOT old), max(event_type) FILTER (WHERE k = 1 AND old)) AS event_type, coalesce(max(event_id) FILTER (WHERE k = 1 AND old), max(event_id) FILTER (WHERE k = 1 AND NOT old)) AS event_id FROM (SELECT *, event_id % 3 = 0 AS old, row_number() OVER (PARTITION BY user_id, event_id % 3 = 0 ORDER BY ts DESC, event_id) AS k FROM events) GROUP BY user_id")
+def t1_batch(spark, sf_dir):
+    """One batch of the ingest job over a table of earlier pulls: the type follows the last pull, the id stays."""
+    from ..operators.tables import latest
+
+    e = view(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").alias("pulled_at"))
+    old = latest(e.where("event_id % 3 = 0"), ["user_id"], F.desc("pulled_at"), F.col("event_id")).drop("pulled_at")
+    out: list = []
+    jobs.upsert_each(["user_id"], lambda: old, out.append, changed=["event_type"])(e.where("event_id % 3 <> 0"), 0)
+    return out[0]
+
+
 @query("t2_fresh_pulls", "SELECT user_id, min(ts) AS pulled_at FROM events WHERE event_id % 4 <> 0 GROUP BY user_id")
 def t2(spark, sf_dir):
     e = view(spark, sf_dir, "events")

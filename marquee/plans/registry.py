@@ -6,6 +6,8 @@ from .testviews import with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: The oracles without the views' text.
+BODIES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -14,7 +16,7 @@ def query(name: str, oracle: str | None = None):
     def put(f):
         QUERIES[name] = f
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name], BODIES[name] = with_views(oracle), oracle
         return f
 
     return put

@@ -17,6 +17,11 @@ def geojson_features(listings: DataFrame) -> DataFrame:
 def export_logs(logs: DataFrame, path: str, as_of: str, chosen: str = "all") -> None:
     """logs(status, ...) of a status (or all) as JSON lines under path/rows, with a one-row envelope under path/summary."""
     rows = logs if chosen == "all" else logs.where(F.col("status") == chosen)
-    stats = rows.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("stats"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
     rows.write.mode("overwrite").json(f"{path}/rows")
-    stats.select(F.lit(as_of).alias("exported_at"), F.lit(chosen).alias("filter"), "count", "stats").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    summary(rows, as_of, chosen).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def summary(rows: DataFrame, as_of: str, chosen: str = "all") -> DataFrame:
+    """The envelope of an export: when, which status, how many rows, and how many of each status."""
+    stats = rows.groupBy("status").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("stats"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    return stats.select(F.lit(as_of).alias("exported_at"), F.lit(chosen).alias("filter"), "count", "stats")

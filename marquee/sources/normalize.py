@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,12 +189,17 @@ def clubs(rows: DataFrame, as_of: str, geocoded: DataFrame) -> DataFrame:
     )
 
 
-def meetups(rows: DataFrame, photos: DataFrame, as_of: str) -> DataFrame:
-    """N9. In-person events with a venue in the city; photos(ref, photo_url) by reference; no fee means free."""
+def meetups(rows: DataFrame, photos: DataFrame | None, as_of: str) -> DataFrame:
+    """N9. In-person events with a venue in the city; no fee means free.
+
+    Photos come by reference from photos(ref, photo_url), or stand in rows as photo_url where photos is None.
+    """
     v = F.col("venue")
     outside = v["lat"].isNotNull() & v["lng"].isNotNull() & ~in_box(v["lat"], v["lng"])
     rows = rows.where((F.col("eventType") == "PHYSICAL") & (F.coalesce(v["name"], F.lit("")) != "") & ~outside)
-    rows = dated(rows, as_of, when_utc(F.col("dateTime"))).withColumn("ref", F.coalesce("featuredEventPhoto.__ref", "displayPhoto.__ref")).join(photos, "ref", "left")
+    rows = dated(rows, as_of, when_utc(F.col("dateTime")))
+    if photos is not None:
+        rows = rows.withColumn("ref", F.coalesce("featuredEventPhoto.__ref", "displayPhoto.__ref")).join(photos, "ref", "left")
     title, fee = titled(F.col("title")), F.col("feeSettings.amount")
     country = F.when(v["country"] == "US", "USA").otherwise(v["country"])
     return shaped(
@@ -288,16 +295,28 @@ def calendars(texts: DataFrame, as_of: str, venue: str) -> tuple[DataFrame, Data
     return listings, rejects
 
 
-def extracted(rows: DataFrame, as_of: str) -> DataFrame:
-    """N15, N16. rows(venue, slug, answer): a model's JSON answer, in code fences or not; bad events are dropped."""
+def extracted_events(rows: DataFrame) -> DataFrame:
+    """N15. Events of rows(..., answer), a model's JSON answer in code fences or not, with rows' other columns.
+
+    Titles, dates and descriptions are trimmed; an event without title or a date like 2024-01-31 is dropped; times that are
+    no HH:mm and prices that are no numbers become null, isFree is true only where the answer says so.
+    """
     from .payloads import EXTRACTED
 
     plain = F.trim(F.regexp_replace("answer", r"(?m)^```[a-z]*\s*$|```", ""))
-    e = rows.select("venue", "slug", F.explode(F.from_json(plain, EXTRACTED)["events"]).alias("e")).select("venue", "slug", "e.*")
-    e = e.where((F.trim("title") != "") & F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    others = [c for c in rows.columns if c != "answer"]
+    e = rows.select(*others, F.explode(F.from_json(plain, EXTRACTED)["events"]).alias("e")).select(*others, "e.*")
     clock = lambda c: F.when(F.col(c).rlike(r"^\d{2}:\d{2}$"), F.col(c))
-    start = dates.on_clock(F.col("date"), F.coalesce(clock("startTime"), F.lit("00:00")))
-    end = dates.on_clock(F.col("date"), clock("endTime"))
+    trimmed = {c: F.trim(c) for c in ("title", "date", "description")}
+    e = e.withColumns(trimmed | {"startTime": clock("startTime"), "endTime": clock("endTime"), "isFree": F.coalesce("isFree", F.lit(False))})
+    return e.where((F.col("title") != "") & F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+
+
+def extracted(rows: DataFrame, as_of: str) -> DataFrame:
+    """N16. Listings of extracted_events over rows(venue, slug, answer)."""
+    e = extracted_events(rows.select("venue", "slug", "answer"))
+    start = dates.on_clock(F.col("date"), F.coalesce("startTime", F.lit("00:00")))
+    end = dates.on_clock(F.col("date"), F.col("endTime"))
     end = F.when(end <= start, end + dates.hours(24)).otherwise(end)
     e = dated(e, as_of, start, end)
     title = titled(F.trim("title"))
@@ -396,3 +415,8 @@ def cards(rows: DataFrame, details: DataFrame, as_of: str) -> DataFrame:
         end_at=F.coalesce("end_at", dates.estimated_end(F.col("start_at"), category)), venue_name=F.col("venueName"), address=F.col("address"), lat=F.col("d_lat"), lng=F.col("d_lng"), is_free=F.coalesce(price == 0, F.lit(False)), price_min=price,
         ticket_url=F.col("ticketUrl"), platform="Dice", confidence_score=0.7, status="active",
     )
+
+
+def united(*pulls: DataFrame) -> DataFrame:
+    """U1. Listings of several normalizers as one table; what a pull lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pulls)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ MEETUP = (
     "id string, title string, dateTime string, eventType string, eventUrl string, description string, feeSettings struct<amount:double>, "
     "venue struct<name:string,address:string,city:string,state:string,country:string,lat:double,lng:double>, featuredEventPhoto struct<__ref:string>, displayPhoto struct<__ref:string>"
 )
+CACHED = MEETUP + ", __typename string, highResUrl string"
 CONCERT = "songkickId string, title string, artistNames array<string>, dateText string, venueName string, venueAddress string, ticketUrl string, imageUrl string, description string, lat double, lng double"
 EXTRACTED = "events array<struct<title:string,description:string,date:string,startTime:string,endTime:string,isFree:boolean,priceMin:double,priceMax:double>>"
 SUBMISSION = "title string, venueName string, address string, startAt string, ticketUrl string, submitterEmail string"
@@ -81,6 +85,53 @@ def server_state(html: Column, name: str = "__SERVER_DATA__") -> Column:
     return F.when(found != "", found)
 
 
+# Keys whose arrays hold events, fields that an event must have as strings, depth of the walk.
+EVENT_KEYS = ("events", "results", "promoted_results")
+EVENT_FIELDS = ("name", "start_date", "start_time", "url")
+DEEPEST = 12
+
+
+def state_events(state: Column, deepest: int = DEEPEST) -> Column:
+    """Array of PAGE_EVENT structs: what lies under EVENT_KEYS of any object down to a depth, if it looks like an event.
+
+    Shallow ones come first, within a level in the order of keys, as objects keep no order of their own. Bad JSON gives none.
+    """
+    none = F.array().cast("array<variant>")
+    items = lambda v, at="$": F.coalesce(F.try_variant_get(v, at, "array<variant>"), none)
+    fields = lambda v: F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none)
+    is_text = lambda v, f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) == "STRING", F.lit(False))
+    looks = lambda e: reduce(and_, (is_text(e, f) for f in EVENT_FIELDS)) & (is_text(e, "id") | is_text(e, "eid"))
+
+    def step(seen, _):
+        found = F.flatten(F.transform(seen["at"], lambda o: F.concat(*(items(o, f"$.{k}") for k in EVENT_KEYS))))
+        below = F.flatten(F.transform(seen["at"], lambda o: F.concat(fields(o), items(o))))
+        return F.struct(below.alias("at"), F.concat(seen["found"], F.filter(found, looks)).alias("found"))
+
+    top = F.filter(F.array(F.try_parse_json(state)), lambda v: v.isNotNull())
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(deepest)), F.struct(top.alias("at"), none.alias("found")), step, lambda seen: seen["found"])
+    return F.transform(found, lambda e: F.from_json(F.to_json(e), PAGE_EVENT))
+
+
+def next_cache(html: Column, path: str = "$.props.pageProps.__APOLLO_STATE__") -> Column:
+    """The map of objects by reference that a page's __NEXT_DATA__ block holds; null if none."""
+    block = F.regexp_extract(html, r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+    return F.from_json(F.get_json_object(F.when(block != "", block), path), f"map<string,struct<{_fields(CACHED)}>>")
+
+
+def cached_meetups(html: Column) -> Column:
+    """Array of in-person events of the page's cache, as MEETUP structs with photo_url from the object that they refer to."""
+    cache = next_cache(html)
+    whole = lambda e: (e["__typename"] == "Event") & e["title"].isNotNull() & e["dateTime"].isNotNull() & (e["eventType"] == "PHYSICAL")
+    events = F.filter(F.map_values(cache), whole)
+
+    def with_photo(e):
+        o = F.try_element_at(cache, F.coalesce(e["featuredEventPhoto"]["__ref"], e["displayPhoto"]["__ref"]))
+        photo = F.when(o["__typename"] == "PhotoInfo", o["highResUrl"])
+        return F.struct(*(e[f].alias(f) for f in StructType.fromDDL(MEETUP).fieldNames()), photo.alias("photo_url"))
+
+    return F.coalesce(F.transform(events, with_photo), F.array())
+
+
 def calendar_events(text: Column) -> Column:
     """Array of VEVENT blocks of a calendar's unfolded text; null for what is no calendar."""
     unfolded = F.regexp_replace(text, r"\r?\n[ \t]", "")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
 from .. import on_workers
@@ -25,7 +26,8 @@ def upsert_each(keys: list[str], read: Callable[[], DataFrame], write: Callable[
     """A foreachBatch function: of a batch the last pull of each key goes into the table that read() gives."""
 
     def batch(df: DataFrame, _: int) -> None:
-        new = latest(df, keys, F.desc("pulled_at")).drop("pulled_at")
+        ties = [F.col(c) for c in df.columns if c not in (*keys, "pulled_at") and isinstance(df.schema[c].dataType, AtomicType)]
+        new = latest(df, keys, F.desc("pulled_at"), *ties).drop("pulled_at")
         write(upsert(read(), new, keys, changed))
 
     return batch

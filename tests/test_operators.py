@@ -54,7 +54,11 @@ def test_best_match_order(spark):
 
 
 def greedy(rows):
-    """The query-time merge as a plain loop over rows in (start, id) order."""
+    return {r.id for r in grouped(rows)}
+
+
+def grouped(rows):
+    """The query-time merge as a plain loop over rows in (start, id) order: the shown rows in order of groups."""
     key = lambda s: "".join(c for c in (s or "").lower() if c.isalnum())
     groups = []
     for r in sorted(rows, key=lambda r: (r.start_at, r.id)):
@@ -71,7 +75,7 @@ def greedy(rows):
             score = lambda z: 1.0 if z.confidence_score is None else z.confidence_score
             if score(r) > score(home[0]):
                 home[0] = r
-    return {g[0].id for g in groups}
+    return [g[0] for g in groups]
 
 
 def test_query_time_dedup_is_the_greedy_loop(spark):
@@ -81,6 +85,40 @@ def test_query_time_dedup_is_the_greedy_loop(spark):
     assert got == greedy(rows.collect())
 
 
+def test_same_day_comparison_is_a_loop_over_days(spark):
+    rng = random.Random(4)
+    rows = listing(spark, [(rng.choice(["ical", "rss"]), rng.choice(["Jazz", "jazz", "Jazz Night", "Poetry"]), rng.randrange(0, 4 * 1440, 40), rng.choice(["Hall", "The Hall", "Bar", None]), rng.choice([None, 40.7, 40.7005]), rng.choice([None, 0.5, 0.9])) for _ in range(150)])
+    rows = rows.withColumn("status", F.lit("active"))
+    day, key = lambda r: r.start_at.date(), lambda r: (r.title.lower(), (r.venue_name or "").lower())
+    data, want = rows.collect(), {}
+    for d in {day(r) for r in data}:
+        today = [r for r in data if day(r) == d]
+        shown = grouped(today)
+        for r in today:
+            want[r.id] = next((g.id for g in shown if g.id == r.id or key(g) == key(r)), r.id)
+    got = {r.id: r.shown for r in merge.same_day_comparison(rows).collect()}
+    assert got == want and any(i != s for i, s in got.items())
+
+
+def test_page_state_walk(spark):
+    """Depth, shape and bad JSON; keys of a cached object that another kind holds in another form."""
+    import json
+
+    from marquee.sources import payloads as p
+
+    event = {"id": "1", "name": "x", "start_date": "2024-01-01", "start_time": "20:00", "url": "u"}
+    at = lambda d: json.dumps(eval("[" * d + "o" + "]" * d, {"o": {"results": [event]}}))
+    nameless = json.dumps({"events": [event | {"name": 5}, {k: v for k, v in event.items() if k != "id"}, None, [], event | {"eid": "2", "id": 3}]})
+    states = [(0, at(12)), (1, at(13)), (2, nameless), (3, "{bad"), (4, None), (5, json.dumps({"events": {"events": [event]}, "results": "no"}))]
+    got = {r.i: r.n for r in spark.createDataFrame(states, "i int, s string").select("i", F.size(p.state_events(F.col("s"))).alias("n")).collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+    cache = {"Event:1": {"__typename": "Event", "id": "1", "title": "t", "dateTime": "2024-02-01T20:00:00Z", "eventType": "PHYSICAL", "featuredEventPhoto": {"__ref": "P:1"}}, "P:1": {"__typename": "PhotoInfo", "highResUrl": "h"}, "Event:2": {"__typename": "Event", "title": {"a": 1}, "dateTime": "d", "eventType": "PHYSICAL"}, "Event:3": {"__typename": "Event", "title": "gone", "dateTime": "d", "eventType": "PHYSICAL", "displayPhoto": {"__ref": "P:9"}}}
+    html = lambda c: '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"__APOLLO_STATE__": c}}}) + "</script>"
+    pages = spark.createDataFrame([(html(cache),), ("<html>",), (None,), (html({}),)], "h string")
+    got = [[(e.title, e.photo_url) for e in r.e] for r in pages.select(p.cached_meetups(F.col("h")).alias("e")).collect()]
+    assert got == [[("t", "h"), ('{"a":1}', None), ("gone", None)], [], [], []]
+
+
 def test_batch_merge_folds_once(spark):
     rows = listing(spark, [("ticketmaster_api", "Jazz Night", 0, "Hall", None, 0.9), ("ical", "Jazz Night", 10, "Hall", None, 0.5), ("dice_scrape", "Jazz Night", 20, "Hall", None, 0.5), ("rss", "Other Thing", 0, "Hall", None, 0.5)])
     out = {r.id: r for r in merge.batch_merge(rows, ["title", "start_at"]).collect()}
