@@ -13,17 +13,17 @@ from .testviews import AS_OF, view
 FOLD = "lower(strip_accents({c}))"
 
 
-def short_texts(spark, sf_dir):
-    """Documents' first lines, which have accents; keys and tokens are per title-like string."""
-    return view(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(F.split("text", "\n"), F.lit(0)), F.lit("")).alias("line"))
+def texts(spark, sf_dir):
+    """Documents' whole texts, which have accents."""
+    return view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
 
 
-_LINE = "(SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)"
+_LINE = "(SELECT doc_id, coalesce(text, '') AS line FROM documents)"
 
 
 @query("k1_comparison_key", f"SELECT doc_id, regexp_replace({FOLD.format(c='line')}, '[^a-z0-9]', '', 'g') AS key FROM {_LINE}")
 def k1(spark, sf_dir):
-    return short_texts(spark, sf_dir).select("doc_id", text.comparison_key(F.col("line")).alias("key"))
+    return texts(spark, sf_dir).select("doc_id", text.comparison_key(F.col("line")).alias("key"))
 
 
 @query("k2_venue_key", "SELECT venue_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), '\\b(the|a|an)\\b', ' ', 'g'), ' +', ' ', 'g')) AS key FROM venues_v")
@@ -33,7 +33,7 @@ def k2(spark, sf_dir):
 
 @query("k3_title_tokens", f"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex({FOLD.format(c='line')}, '[^a-z0-9]+'), lambda w: len(w) > 1))) AS INTEGER) AS tokens FROM {_LINE}")
 def k3(spark, sf_dir):
-    return short_texts(spark, sf_dir).select("doc_id", F.size(text.title_tokens(F.col("line"))).alias("tokens"))
+    return texts(spark, sf_dir).select("doc_id", F.size(text.title_tokens(F.col("line"))).alias("tokens"))
 
 
 _A, _B = ("list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: len(w) > 1)".format(c) for c in ("a.p_name", "b.p_name"))

@@ -45,8 +45,8 @@ SELECT e.event_id AS id,
             WHEN 3 THEN CAST(0.7 AS DOUBLE) WHEN 4 THEN CAST(0.5 AS DOUBLE) ELSE NULL END AS confidence_score,
        CASE WHEN e.event_id % 11 = 0 THEN 'draft' WHEN e.event_id % 13 = 0 THEN 'cancelled' ELSE 'active' END AS status
 FROM events e
-JOIN part p ON p.p_partkey = (e.event_id * 7) % 16
-JOIN venues_v v ON v.venue_id = e.user_id % 9
+JOIN part p ON p.p_partkey = (e.user_id * 13 + day(e.ts) % 13) % (SELECT count(*) FROM part)
+JOIN venues_v v ON v.venue_id = e.user_id % (SELECT count(*) FROM supplier)
 """,
     "verification_v": """
 SELECT e.event_id AS event_id, e.ts + INTERVAL '24' HOUR AS checked_at,
@@ -74,7 +74,7 @@ FROM events
 }
 
 #: Tables and views that each view reads.
-_READS = {"venues_v": ("supplier",), "listings_v": ("events", "part", "venues_v"), "verification_v": ("events",), "sources_v": ("nation",), "requests_v": ("events",)}
+_READS = {"venues_v": ("supplier",), "listings_v": ("events", "part", "supplier", "venues_v"), "verification_v": ("events",), "sources_v": ("nation",), "requests_v": ("events",)}
 
 
 def _register(spark: SparkSession, sf_dir: str, name: str) -> None:
