@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import MILES, haversine, nine_cells
 from ..functions.text import comparison_key, jaccard, share_identity, similarity, title_tokens, trigrams
 from ..schemas import DEFAULT_TRUST, TRUST
+from .graph import checkpointed
 
 CLOSE_MILES = 0.1
 CELL = 0.003  # degrees; over 0.1 mile in latitude, and in longitude up to 60 degrees north
@@ -44,7 +45,8 @@ def venue_pairs(listings: DataFrame) -> DataFrame:
     Containment of names has no equi-join: names that share a trigram of their keys are compared, in the rarest
     trigrams of the shorter one; places meet in neighbouring cells.
     """
-    v = listings.select("place", "venue_name", "lat", "lng").distinct().withColumn("key", comparison_key(F.col("venue_name")))
+    # Written once: the listings are read for their venues a single time, not for each of the joins below.
+    v = checkpointed(listings.select("place", "venue_name", "lat", "lng").distinct().withColumn("key", comparison_key(F.col("venue_name"))))
     grams = F.when(F.length("key") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 2, F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(3)))).otherwise(F.array("key"))
     named = v.where("key <> ''")
     exploded = named.select("place", "key", F.explode(F.array_distinct(grams)).alias("gram"))
