@@ -92,6 +92,14 @@ def op10_toxicity(spark, sf_dir):
     return predict(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def op13_sentence_pieces(spark, sf_dir):
+    from .sentence_pieces import encode
+
+    got = encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return got.select("doc_id", "n_tokens", F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
