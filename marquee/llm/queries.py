@@ -92,6 +92,12 @@ def op10_toxicity(spark, sf_dir):
     return predict(docs, network).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def op12_conversation_trie(spark, sf_dir):
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_sentence_pieces(spark, sf_dir):
     from .sentence_pieces import encode
 
@@ -116,6 +122,20 @@ ORACLES = {
         SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared
         FROM s JOIN t USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
     """,
+    "op12_conversation_trie": """
+        WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list(turn ORDER BY i) AS turns FROM o GROUP BY conv_id),
+        h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM c),
+        s AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 20),
+        p AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) = d AS ends FROM s, unnest(range(0, len(turns) + 1)) AS u(d)),
+        n AS (SELECT p, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM p GROUP BY p),
+        k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(string_split_regex(n.p[d].t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS saved FROM n LEFT JOIN k USING (p)),
+        t AS (SELECT f.p[1:u.d] AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM f, unnest(range(0, f.d + 1)) AS u(d) GROUP BY ALL)
+        SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, CASE WHEN f.d > 0 THEN q.conv_id END AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+        FROM f JOIN t USING (p) LEFT JOIN n AS q ON q.p = f.p[1:f.d - 1]
+    """,
 }
 
 
