@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import calendars as c
 from ..sources import normalize as n
 from ..sources import payloads as p
 from .q_filters import NOW, listings
@@ -160,6 +161,25 @@ def n14(spark, sf_dir):
     return view(spark, sf_dir, "events").select("event_id", F.size(n.recurrences(F.col("ts"), F.lit("FREQ=DAILY;INTERVAL=2"), AS_OF)).alias("occurrences"))
 
 
+def zoned_calendars(spark, sf_dir):
+    """A calendar for each row of events: a series in New York or UTC with two dates taken out, one moved and one cancelled."""
+    i, s = F.col("event_id"), F.date_trunc("second", "ts").cast("timestamp_ntz")
+    zone = F.when(i % 2 == 0, ";TZID=America/New_York:").otherwise(":")
+    every = F.when(i % 3 == 0, 5).otherwise(7)
+    rule = F.when(i % 3 == 0, "FREQ=DAILY;INTERVAL=5;COUNT=14").when(i % 3 == 1, "FREQ=WEEKLY;COUNT=10").otherwise("FREQ=DAILY;INTERVAL=7;UNTIL=20240310T120000Z")
+    at = lambda k, hours=0: F.concat(F.date_format(s + F.make_dt_interval(every * k, F.lit(hours), F.lit(0), F.lit(0).cast("decimal(18,6)")), "yyyyMMdd'T'HHmmss"), F.when(i % 2 == 0, "").otherwise("Z"))
+    series = F.concat(F.lit("BEGIN:VEVENT\nUID:e"), i, F.lit("\nDTSTART"), zone, at(0), F.lit("\nRRULE:"), rule, F.lit("\nEXDATE"), zone, at(2), F.lit(","), at(5), F.lit("\nEND:VEVENT\n"))
+    moved = F.concat(F.lit("BEGIN:VEVENT\nUID:e"), i, F.lit("\nRECURRENCE-ID"), zone, at(3), F.lit("\nDTSTART"), zone, at(3, 5), F.lit("\nEND:VEVENT\n"))
+    cancelled = F.concat(F.lit("BEGIN:VEVENT\nUID:e"), i, F.lit("\nRECURRENCE-ID"), zone, at(4), F.lit("\nDTSTART"), zone, at(4), F.lit("\nSTATUS:CANCELLED\nEND:VEVENT\n"))
+    return view(spark, sf_dir, "events").select(F.lit("Feed").alias("feed_title"), F.lit("text/calendar; charset=utf-8").alias("content_type"), F.concat(series, moved, cancelled).alias("text"))
+
+
+@query("n14_calendar_instances", f"WITH e AS (SELECT event_id, date_trunc('second', ts) AS s, CASE WHEN event_id % 3 = 0 THEN 5 ELSE 7 END AS step, CASE event_id % 3 WHEN 0 THEN 14 WHEN 1 THEN 10 ELSE 60 END AS n FROM events), w AS (SELECT event_id, k, s + INTERVAL 1 DAY * (step * k) AS own, s + INTERVAL 1 DAY * (step * k) + CASE WHEN k = 3 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS wall FROM e, unnest(generate_series(0, 59)) AS u(k) WHERE k < n AND k NOT IN (2, 4, 5)), z AS (SELECT event_id, k, CASE WHEN event_id % 2 = 0 THEN timezone('UTC', timezone('America/New_York', own)) ELSE own END AS own, CASE WHEN event_id % 2 = 0 THEN timezone('UTC', timezone('America/New_York', wall)) ELSE wall END AS start_at FROM w) SELECT concat('e', event_id) AS uid, start_at, TRUE AS recurring FROM z WHERE start_at >= {NOW} AND start_at <= {NOW} + INTERVAL 60 DAY AND (event_id % 3 <> 2 OR k = 3 OR own <= TIMESTAMP '2024-03-10 12:00:00')")
+def n14_instances(spark, sf_dir):
+    rows, _ = c.instances(c.events_of(zoned_calendars(spark, sf_dir)), AS_OF)
+    return rows.select("uid", F.col("at").alias("start_at"), "recurring")
+
+
 def listed_extracted(spark, sf_dir):
     later = F.date_format(F.col("start_at") + n.dates.hours(1), "HH:mm")
     event = F.struct(F.when(F.col("id") % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.date_format("start_at", "yyyy-MM-dd").alias("date"), F.date_format("start_at", "HH:mm").alias("startTime"), later.alias("endTime"))
@@ -215,7 +235,7 @@ def s4(spark, sf_dir):
 @query("s5_calendar_feed", "SELECT external_id AS uid, title AS summary, date_trunc('second', start_at) AS starts FROM listings_v")
 def s5(spark, sf_dir):
     b = calendar_text(spark, sf_dir).select(F.explode(p.calendar_events(F.col("text"))).alias("b"))
-    return b.select(p.calendar_field(F.col("b"), "UID").alias("uid"), p.calendar_field(F.col("b"), "SUMMARY").alias("summary"), p.calendar_time(F.col("b"), "DTSTART").alias("starts"))
+    return b.select(p.calendar_field(F.col("b"), "UID").alias("uid"), p.calendar_field(F.col("b"), "SUMMARY").alias("summary"), c.utc_of(c.stamp(F.col("b"), "DTSTART", c.known_zones())).alias("starts"))
 
 
 @query("s10_export_summary", "SELECT status, count(*) AS n FROM verification_v GROUP BY status")

@@ -13,7 +13,8 @@ from ..functions.geo import in_box
 from ..functions.text import clean_title
 from ..operators.enrich import title_is_venue
 from ..schemas import LISTING
-from .payloads import calendar_events, calendar_field, calendar_time
+from .calendars import blank_null, events_of, instances, recurrences  # noqa: F401
+from .payloads import calendar_field
 
 
 def when_utc(c: Column) -> Column:
@@ -21,10 +22,6 @@ def when_utc(c: Column) -> Column:
     return F.try_to_timestamp(c).cast("timestamp_ntz")
 
 
-def blank_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def shaped(rows: DataFrame, **columns) -> DataFrame:
     """rows as LISTING, missing columns null."""
     from pyspark.sql.types import StructType
@@ -247,48 +244,18 @@ def calendar_image(block: Column) -> Column:
     return F.coalesce(F.when(calendar_field(block, "IMAGE").startswith("http"), calendar_field(block, "IMAGE")), F.regexp_extract(good, r":(http.*)$", 1), F.when(custom.startswith("http"), custom), blank_null(tag))
 
 
-def recurrences(start: Column, rule: Column, as_of: str, days: int = 60) -> Column:
-    """N14. Starts within [now, now + days] of DAILY, WEEKLY (with BYDAY) and MONTHLY rules with INTERVAL, COUNT and UNTIL.
-
-    Null where the rule has anything else, or an interval below 1: those rows belong in the reject table.
-    """
-    part = lambda n: blank_null(F.regexp_extract(rule, rf"(?:^|;){n}=([^;]+)", 1))
-    asked = part("INTERVAL").try_cast("int")
-    freq, every, count = part("FREQ"), F.greatest(F.coalesce(asked, F.lit(1)), F.lit(1)), part("COUNT").try_cast("int")
-    until = F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
-    now, last = dates.at(as_of), dates.at(as_of) + dates.hours(24 * days)
-    span = F.greatest(F.datediff(last, start), F.lit(0))
-    step = lambda n: F.make_dt_interval(n.cast("int"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(18,6)"))
-    daily = F.transform(F.sequence(F.lit(0), (span / every).cast("int")), lambda i: start + step(i * every))
-    week_days = F.coalesce(F.split(part("BYDAY"), ","), F.array(F.get(F.array(*map(F.lit, ("SU", "MO", "TU", "WE", "TH", "FR", "SA"))), F.dayofweek(start) - 1)))
-    monday = F.weekday(start)
-    number = lambda d: F.array_position(F.array(*map(F.lit, ("MO", "TU", "WE", "TH", "FR", "SA", "SU"))), d) - 1
-    weeks = F.sequence(F.lit(0), (span / (every * 7)).cast("int") + 1)
-    weekly = F.filter(F.array_sort(F.flatten(F.transform(weeks, lambda w: F.transform(week_days, lambda d: start + step(w * every * 7 + number(d) - monday))))), lambda t: t >= start)
-    clock = start - F.date_trunc("day", start).cast("timestamp_ntz")
-    months = F.filter(F.transform(F.sequence(F.lit(0), (span / (every * 28)).cast("int") + 1), lambda m: F.add_months(start.cast("date"), m * every).cast("timestamp_ntz") + clock), lambda t: F.dayofmonth(t) == F.dayofmonth(start))
-    plain = (part("INTERVAL").isNull() | F.coalesce(asked >= 1, F.lit(False))) & ~rule.rlike("BYSETPOS|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYHOUR|BYMONTH|BYDAY=[^;]*[0-9]") & (part("BYDAY").isNull() | (freq == "WEEKLY"))
-    all_ = F.when(plain & (freq == "DAILY"), daily).when(plain & (freq == "WEEKLY"), weekly).when(plain & (freq == "MONTHLY"), months)
-    some = F.when(count.isNotNull(), F.slice(all_, 1, F.greatest(count, F.lit(1)))).otherwise(all_)
-    return F.filter(some, lambda t: (t >= now) & (t <= last) & (until.isNull() | (t <= until)))
-
-
 def calendars(texts: DataFrame, as_of: str, venue: str) -> tuple[DataFrame, DataFrame]:
-    """N13, N14. (listings, rejects(uid, rule)) of texts(feed_title, text): one listing for each occurrence, without EXDATEs."""
-    b = texts.select("feed_title", F.explode(calendar_events(F.col("text"))).alias("b"))
+    """N13, N14. (listings, rejects(uid, rule)) of texts(feed_title, text), with content_type or without: a listing for each instance."""
+    rows, rejects = instances(events_of(texts), as_of)
     field = lambda n: calendar_field(F.col("b"), n)
-    e = b.select("feed_title", "b", field("UID").alias("uid"), field("SUMMARY").alias("summary"), field("DESCRIPTION").alias("about"), field("LOCATION").alias("location"), field("URL").alias("url"), field("RRULE").alias("rule"), calendar_time(F.col("b"), "DTSTART").alias("s"), calendar_time(F.col("b"), "DTEND").alias("t"))
-    gone = F.transform(F.regexp_extract_all("b", F.lit(r"(?m)^EXDATE[^:\r\n]*:([^\r\n]*)"), F.lit(1)), lambda d: F.coalesce(F.try_to_timestamp(F.regexp_replace(d, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(d, F.lit("yyyyMMdd"))).cast("timestamp_ntz"))
-    e = e.where("s is not null and uid is not null").withColumn("starts", F.when(F.col("rule").isNull(), F.array("s")).otherwise(F.array_except(recurrences(F.col("s"), F.col("rule"), as_of), gone)))
-    rejects = e.where("starts is null").select("uid", "rule")
-    rows = e.where("starts is not null").select("*", F.explode("starts").alias("at"))
-    rows = dated(rows, as_of, F.col("at"), F.col("at") + (F.col("t") - F.col("s")))
+    rows = rows.withColumns({"summary": field("SUMMARY"), "about": field("DESCRIPTION"), "location": field("LOCATION"), "url": field("URL")})
+    rows = dated(rows, as_of, F.col("at"), F.col("ends"))
     name = F.trim(first(F.split("location", ",")))
     likely = (F.length(name) > 0) & (F.length(name) < 60) & ~name.rlike(r"^\d")
     title = titled(F.coalesce("summary", F.lit("Untitled Event")))
     iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     listings = shaped(
-        rows, external_id=F.when(F.col("rule").isNull(), F.col("uid")).otherwise(F.concat_ws("_", "uid", iso)), source_type="ical", title=title, description=F.col("about"), category=classify(F.lit(None).cast("string"), title, F.col("about")),
+        rows, external_id=F.when(F.col("recurring"), F.concat_ws("_", "uid", iso)).otherwise(F.col("uid")), source_type="ical", title=title, description=F.col("about"), category=classify(F.lit(None).cast("string"), title, F.col("about")),
         image_url=calendar_image(F.col("b")), start_at=F.col("start_at"), end_at=F.col("end_at"), venue_name=F.when(F.coalesce(likely, F.lit(False)), name).otherwise(venue), address=F.col("location"), is_free=False, currency="USD", ticket_url=F.col("url"),
         platform=F.coalesce("feed_title", F.lit(venue)), confidence_score=0.5, status="active",
     )

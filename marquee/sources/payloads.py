@@ -132,11 +132,12 @@ def cached_meetups(html: Column) -> Column:
     return F.coalesce(F.transform(events, with_photo), F.array())
 
 
-def calendar_events(text: Column) -> Column:
-    """Array of VEVENT blocks of a calendar's unfolded text; null for what is no calendar."""
+def calendar_events(text: Column, typed: Column | None = None) -> Column:
+    """Array of VEVENT blocks of a calendar's unfolded text; null for what is no calendar by its start, nor typed as one."""
     unfolded = F.regexp_replace(text, r"\r?\n[ \t]", "")
     blocks = F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\s(.*?)END:VEVENT"), F.lit(1))
-    return F.when(F.ltrim(text).startswith("BEGIN:VCALENDAR"), blocks)
+    calendar = F.ltrim(text).startswith("BEGIN:VCALENDAR")
+    return F.when(calendar if typed is None else calendar | F.coalesce(typed, F.lit(False)), blocks)
 
 
 def calendar_field(block: Column, name: str) -> Column:
@@ -146,12 +147,6 @@ def calendar_field(block: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-def calendar_time(block: Column, name: str) -> Column:
-    """A DATE or DATE-TIME property, without zone."""
-    v = F.regexp_replace(calendar_field(block, name), "Z$", "")
-    return F.coalesce(F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(v, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
-
-
 PAGE_EVENT = (
     "id string, eid string, eventbrite_event_id string, name string, summary string, full_description string, start_date string, start_time string, end_date string, end_time string, url string, tickets_url string, "
     "primary_venue struct<name:string,address:struct<latitude:string,longitude:string,localized_address_display:string,address_1:string,city:string,region:string,postal_code:string>>, "
