@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import on_workers
 from ..functions.geo import METRES, haversine, nine_cells, valid_location
 from ..functions.text import share_identity, venue_key, venue_tokens
-from .graph import components
+from .graph import checkpointed, greedy_heads
 from .tables import first_alias, minus
 
 PROXIMITY = 150.0  # metres
 CELL = 0.0027  # degrees: over 150 m in latitude, and in longitude up to 60 degrees
 SHARED = 0.5
+#: Titles of permits that stand where a venue's name should.
+PERMIT_TITLE = r"(?i)block party|family (and friends )?day|farmers? market|open streets?"
 
 
 def keyed(venues: DataFrame) -> DataFrame:
@@ -39,10 +39,11 @@ def resolve(names: DataFrame, venues: DataFrame, aliases: DataFrame, geocoded: D
     unusable. Of several venues: fewest tokens, then nearest, then least id. Placeholder and empty names resolve to null.
     Created rows have a null venue_id and are grouped by key in `new_key`.
     """
-    own = names.groupBy("name").agg(F.min(F.struct("lat", "lng")).alias("p")).select("name", "p.lat", "p.lng")
     ok = valid_location(F.col("lat"), F.col("lng"))
+    placed = F.min(F.when(ok, F.struct("lat", "lng"))).alias("p")  # of a name's places the least usable one
+    own = names.groupBy("name").agg(placed).select("name", "p.lat", "p.lng")
     if geocoded is not None:
-        g = geocoded.groupBy("name").agg(F.min(F.struct("lat", "lng")).alias("g"))
+        g = geocoded.groupBy("name").agg(placed.alias("g"))
         own = own.join(g, "name", "left").select("name", F.when(ok, F.col("lat")).otherwise(F.col("g.lat")).alias("lat"), F.when(ok, F.col("lng")).otherwise(F.col("g.lng")).alias("lng"))
     own = keyed(own.select("name", F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lng")).alias("lng")))
     usable = (F.col("key") != "") & (F.lower(F.trim("name")) != "unknown venue")
@@ -70,54 +71,36 @@ def backfilled(venues: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.withColumns({"lat": F.when(empty & F.col("p").isNotNull(), F.col("p.lat")).otherwise(F.col("lat")), "lng": F.when(empty & F.col("p").isNotNull(), F.col("p.lng")).otherwise(F.col("lng"))}).select(venues.columns)
 
 
-def fold_pairs(venues: DataFrame, metres: float, cell: float, least: int, strict: bool, identical: bool) -> DataFrame:
-    """small, large: venue ids where small's tokens lie within large's (and both are near), or are the same anywhere."""
+def fold_pairs(venues: DataFrame, metres: float, cell: float, least: int, strict: bool) -> DataFrame:
+    """small, large: venue ids where small's tokens lie within large's, and both are near."""
     k = keyed(venues.select("venue_id", "name", "lat", "lng"))
-    a = k.select("venue_id", "tokens", "lat", "lng").where(F.size("tokens") >= least)
+    a = k.select("venue_id", "name", "tokens", "lat", "lng").where(F.size("tokens") >= least)
     b = k.select(F.col("venue_id").alias("id_b"), F.col("tokens").alias("tokens_b"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
     near = _near(a, b, metres, cell).where("venue_id <> id_b")
     inside = F.size(F.array_intersect("tokens", "tokens_b")) == F.size("tokens")
     size = F.size("tokens") < F.size("tokens_b") if strict else F.size("tokens") <= F.size("tokens_b")
-    pairs = near.where(inside & size).select(F.col("venue_id").alias("small"), F.col("id_b").alias("large"))
-    if not identical:
-        return pairs
-    # Same token sets: each venue with the first of its set, so a common name makes as many pairs as venues.
-    same = k.where(F.size("tokens") > 0).withColumn("set", F.array_join(F.array_sort("tokens"), " "))
-    first = same.groupBy("set").agg(F.min("venue_id").alias("small"))
-    return pairs.union(same.join(first, "set").where("venue_id <> small").select("small", F.col("venue_id").alias("large")))
-
-
-def assign(venues: DataFrame, pairs: DataFrame) -> DataFrame:
-    """duplicate, canonical: stars in order of token count, then id; whoever is a duplicate takes no duplicates of its own."""
-    roots = components(pairs.select(F.col("small").alias("a"), F.col("large").alias("b")))
-    k = keyed(venues.select("venue_id", "name")).select("venue_id", F.size("tokens").alias("n"), F.array_join(F.array_sort("tokens"), " ").alias("set"))
-    out = pairs.groupBy(F.col("small").alias("venue_id")).agg(F.collect_set("large").alias("large"))
-    rows = k.join(roots.withColumnRenamed("node", "venue_id"), "venue_id").join(out, "venue_id", "left")
-
-    def stars(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "venue_id"])
-        size, alike = dict(zip(g.venue_id, g.n, strict=True)), g.groupby("set").venue_id.apply(list).to_dict()
-        into: dict[int, int] = {}
-        for i, s, large in zip(g.venue_id, g.set, g.large, strict=True):
-            if i in into:
-                continue
-            for j in [*(large if large is not None else []), *(alike[s] if s else [])]:
-                if j != i and j not in into and size.get(j, -1) >= size[i]:
-                    into[j] = i
-        return pd.DataFrame({"duplicate": list(into), "canonical": list(into.values())})
-
-    on_workers(venues.sparkSession)
-    return rows.groupBy("root").applyInPandas(stars, "duplicate long, canonical long")
+    return near.where(inside & size).select(F.col("name").alias("small_name"), F.col("venue_id").alias("small"), F.col("id_b").alias("large"))
+
+
+def assign(venues: DataFrame, pairs: DataFrame, same_set: bool) -> DataFrame:
+    """duplicate, canonical: in order of token count, then id, each venue takes those of its pairs(small, large) that none
+    has taken, and with same_set those of its token set; whoever is taken takes none."""
+    k = checkpointed(keyed(venues.select("venue_id", "name")).select(F.col("venue_id").alias("id"), F.struct(F.size("tokens").alias("n"), "venue_id").alias("place"), F.when(F.size("tokens") > 0, F.array_join(F.array_sort("tokens"), " ")).alias("group")))
+    nodes = k if same_set else k.withColumn("group", F.lit(None).cast("string"))
+    ranked = pairs.join(k.select(F.col("id").alias("small"), F.col("place").alias("p")), "small").join(k.select(F.col("id").alias("large"), F.col("place").alias("q")), "large").where("p < q")
+    got = greedy_heads(nodes, ranked.select(F.col("small").alias("u"), F.col("large").alias("v")))
+    return got.where("id <> head").select(F.col("id").alias("duplicate"), F.col("head").alias("canonical"))
 
 
 def dedupe_by_tokens(venues: DataFrame) -> DataFrame:
     """Same tokens anywhere, or contained within 150 m."""
-    return assign(venues, fold_pairs(venues, PROXIMITY, CELL, 1, strict=False, identical=True))
+    return assign(venues, fold_pairs(venues, PROXIMITY, CELL, 1, strict=False), same_set=True)
 
 
 def dedupe_by_name(venues: DataFrame) -> DataFrame:
-    """Strictly contained names of three tokens or more within 500 m."""
-    return assign(venues, fold_pairs(venues, 500.0, 0.009, 3, strict=True, identical=False))
+    """Strictly contained names of three tokens or more within 500 m; a permit's generic title takes no other venue."""
+    pairs = fold_pairs(venues, 500.0, 0.009, 3, strict=True).where(~F.col("small_name").rlike(PERMIT_TITLE))
+    return assign(venues, pairs, same_set=False)
 
 
 def merge_into(listings: DataFrame, venues: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
