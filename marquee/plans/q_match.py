@@ -17,8 +17,14 @@ _TRUST = "CASE {} WHEN 'ticketmaster_api' THEN 1.0 WHEN 'eventbrite_api' THEN 0.
 _BOTH = "len(list_intersect(a.t, b.t))"
 _VENUE = f"CASE WHEN a.venue_id IS NOT NULL AND b.venue_id IS NOT NULL THEN a.venue_id = b.venue_id ELSE contains(a.k, b.k) OR contains(b.k, a.k) OR coalesce({_MI} <= 0.1, FALSE) END"
 _TITLE = f"({_BOTH} / greatest(len(a.t) + len(b.t) - {_BOTH}, 1.0) >= 0.55 OR {_BOTH} = least(len(a.t), len(b.t)))"
-_ROWS = f"rows_ AS (SELECT *, {_TOKENS.format('title')} AS t, {_KEY.format('venue_name')} AS k FROM listings_v WHERE status = 'active')"
-_PAIRS = f"pairs AS (SELECT a.id AS a, b.id AS b, a.start_at AS sa, b.start_at AS sb, {_TRUST.format('b.source_type')} AS trust FROM rows_ a JOIN rows_ b ON a.source_type <> b.source_type AND b.start_at BETWEEN a.start_at - INTERVAL 30 MINUTE AND a.start_at + INTERVAL 30 MINUTE AND ({_VENUE}) AND {_TITLE})"
+_ROWS = f"rows_ AS MATERIALIZED (SELECT *, {_TOKENS.format('title')} AS t, {_KEY.format('venue_name')} AS k, CAST(floor(epoch(start_at) / 1800) AS BIGINT) AS h FROM listings_v WHERE status = 'active')"
+_PAIRS = f"pairs AS (SELECT a.id AS a, b.id AS b, a.start_at AS sa, b.start_at AS sb, {_TRUST.format('b.source_type')} AS trust FROM rows_ a JOIN (SELECT *, unnest([h - 1, h, h + 1]) AS near FROM rows_) b ON a.h = b.near AND a.source_type <> b.source_type AND b.start_at BETWEEN a.start_at - INTERVAL 30 MINUTE AND a.start_at + INTERVAL 30 MINUTE AND ({_VENUE}) AND {_TITLE})"
+
+
+#: Greedy passes as rounds: o is the place in order; a row is a head (1) once all edges before it come from folded ones (2).
+_ROUNDS = 40
+_HEADS = f"""r(step, o, s) AS (SELECT 0, o, 0 FROM n UNION ALL SELECT step + 1, o, s FROM (SELECT r.step, r.o, CASE WHEN r.s <> 0 THEN r.s WHEN bool_or(p.s = 1) THEN 2 WHEN bool_or(p.s = 0) THEN 0 ELSE 1 END AS s FROM r LEFT JOIN e ON e.v = r.o LEFT JOIN r AS p ON p.o = e.u GROUP BY r.step, r.o, r.s) WHERE step < {_ROUNDS}),
+folded AS (SELECT f.o, min(h.o) AS head FROM r AS f JOIN e ON e.v = f.o JOIN r AS h ON h.o = e.u WHERE f.step = {_ROUNDS} AND h.step = {_ROUNDS} AND f.s = 2 AND h.s = 1 GROUP BY f.o)"""
 
 
 @query("j7_cross_platform", f"WITH {_ROWS}, {_PAIRS} SELECT a, b FROM pairs")
@@ -78,7 +84,7 @@ def j11(spark, sf_dir):
     return tables.first_alias(keys, F.col("venue_id")).select(F.col("normalized_alias").alias("key"), "venue_id")
 
 
-@query("d1_merged")
+@query("d1_merged", f"WITH m AS (SELECT id - id % 10 AS c, max_by(struct_pack(title := title, source_type := source_type), ({_TRUST.format('source_type')}, -id)) AS best, max({_TRUST.format('source_type')}) AS trust, count(*) AS sources FROM listings_v WHERE id % 10 <> 0 GROUP BY 1), p AS (SELECT id - id % 10 AS c, count(DISTINCT lower(coalesce(platform, 'unknown'))) AS tickets FROM listings_v GROUP BY 1) SELECT l.id, CASE WHEN m.trust > {_TRUST.format('l.source_type')} THEN best.title ELSE l.title END AS title, CASE WHEN m.trust > {_TRUST.format('l.source_type')} THEN best.source_type ELSE l.source_type END AS source_type, coalesce(m.trust > {_TRUST.format('l.source_type')}, FALSE) AS promoted, CAST(p.tickets AS INTEGER) AS tickets, CAST(coalesce(m.sources, 0) AS INTEGER) AS sources FROM listings_v l LEFT JOIN m ON m.c = l.id JOIN p ON p.c = l.id WHERE l.id % 10 = 0")
 def d1(spark, sf_dir):
     rows = listings(spark, sf_dir)
     incoming = rows.where("id % 10 <> 0").withColumn("canonical_id", F.col("id") - F.col("id") % 10)
@@ -102,13 +108,22 @@ def d2(spark, sf_dir):
     return merge.deduplicate(listings(spark, sf_dir).where(live(AS_OF))).select("id", "title", "confidence_score")
 
 
+@query("d2_united_tickets")
+def d2_tickets(spark, sf_dir):
+    from ..functions.dates import live
+    from .testviews import AS_OF
+
+    out = merge.deduplicate(listings(spark, sf_dir).where(live(AS_OF)))
+    return out.select("id", F.size("ticket_sources").alias("tickets"), F.array_join(F.transform("ticket_sources", lambda t: t["platform"]), ",").alias("platforms"))
+
+
 @query("j14_comparison")
 def j14_comparison(spark, sf_dir):
     out = merge.same_day_comparison(listings(spark, sf_dir))
     return out.select("id", "shown", F.size("tickets").alias("tickets"))
 
 
-@query("d4_batch_merge")
+@query("d4_batch_merge", f"WITH RECURSIVE {_ROWS}, {_PAIRS}, ord AS (SELECT id, platform, row_number() OVER (ORDER BY {_TRUST.format('source_type')} DESC, start_at, id) AS o FROM listings_v), e AS MATERIALIZED (SELECT x.o AS u, y.o AS v FROM pairs JOIN ord AS x ON x.id = a JOIN ord AS y ON y.id = b WHERE x.o < y.o), n AS (SELECT u AS o FROM e UNION SELECT v FROM e), {_HEADS}, m AS (SELECT coalesce(f.head, ord.o) AS o, count(*) - 1 AS sources, count(DISTINCT lower(coalesce(platform, 'unknown'))) AS tickets FROM ord LEFT JOIN folded f ON f.o = ord.o GROUP BY 1) SELECT l.id, l.source_type, FALSE AS promoted, CAST(m.tickets AS INTEGER) AS tickets, CAST(m.sources AS INTEGER) AS sources FROM listings_v l JOIN ord USING (id) JOIN m ON m.o = ord.o WHERE l.status = 'active' AND ord.o NOT IN (SELECT o FROM folded)")
 def d4(spark, sf_dir):
     out = merge.batch_merge(listings(spark, sf_dir), ["title", "start_at", "source_type", "external_id"])
     return out.select("id", "source_type", "promoted", F.size("ticket_urls").alias("tickets"), F.size("merged_source_ids").alias("sources"))
@@ -124,14 +139,29 @@ def d6(spark, sf_dir):
     return listings(spark, sf_dir).select("id", F.explode(merge.initial_tickets()).alias("t")).select("id", "t.platform", "t.url")
 
 
-@query("d7_dedupe_by_tokens")
+_M = _MI.replace("3958.8", "6371000")
+
+
+def _venue_pass(tokens: str, source: str, inside: str) -> str:
+    """The scripts' loop over venues of source(venue_id, name, lat, lng) in order of their number of tokens."""
+    return f"""WITH RECURSIVE k AS (SELECT *, {tokens} AS t FROM {source}), v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY len(t), venue_id) AS o FROM k),
+e AS MATERIALIZED (SELECT a.o AS u, b.o AS v FROM v AS a JOIN v AS b ON a.o < b.o WHERE {inside}), n AS (SELECT o FROM v), {_HEADS}
+SELECT d.venue_id AS duplicate, c.venue_id AS canonical FROM folded f JOIN v AS d ON d.o = f.o JOIN v AS c ON c.o = f.head"""
+
+
+@query("d7_dedupe_by_tokens", _venue_pass(_venue_token_sql("name"), "venues_v", f"len(a.t) > 0 AND len(list_intersect(a.t, b.t)) = len(a.t) AND (len(a.t) = len(b.t) OR coalesce({_M} <= 150, FALSE))"))
 def d7(spark, sf_dir):
     return venues.dedupe_by_tokens(view(spark, sf_dir, "venues_v"))
 
 
-@query("d8_dedupe_by_name")
+_PLAYHOUSES = "(SELECT venue_id, concat(name, CASE WHEN venue_id % 9 < 6 THEN ' Theatre' ELSE ' Block Party' END, CASE WHEN venue_id % 9 IN (1, 7) THEN ' Annex' ELSE '' END) AS name, lat, lng FROM venues_v)"
+
+
+@query("d8_dedupe_by_name", _venue_pass(_venue_token_sql("name"), _PLAYHOUSES, f"len(a.t) >= 3 AND len(a.t) < len(b.t) AND len(list_intersect(a.t, b.t)) = len(a.t) AND coalesce({_M} <= 500, FALSE) AND NOT contains(lower(a.name), 'block party')"))
 def d8(spark, sf_dir):
-    return venues.dedupe_by_name(view(spark, sf_dir, "venues_v"))
+    i = F.col("venue_id") % 9
+    named = F.concat("name", F.when(i < 6, " Theatre").otherwise(" Block Party"), F.when(i.isin(1, 7), " Annex").otherwise(""))
+    return venues.dedupe_by_name(view(spark, sf_dir, "venues_v").withColumn("name", named))
 
 
 @query("d9_merge_venues", "SELECT CASE WHEN venue_id % 3 = 1 THEN venue_id - 1 ELSE venue_id END AS venue_id, count(*) AS events FROM listings_v WHERE venue_id IS NOT NULL GROUP BY 1")

@@ -95,4 +95,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """Oracle SQL that may read VIEWS."""
     body = ", ".join(f"{name} AS ({text})" for name, text in VIEWS.items())
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body}, {sql.lstrip()[15:]}"
     return f"WITH {body} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {body}, {sql.lstrip()[5:]}"
