@@ -132,7 +132,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
     if not languages:
         return Trees([], *(np.empty(0, np.int64) for _ in range(3)))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))))
-    sample = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    sample = known.where((F.pmod(drawn, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
 
     def make():
         def step(batch):

@@ -52,13 +52,29 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+BLOCK = 128  # elements or spans that are taken at once, so that long arrays and texts cost little more than their length
+
+
+def _running(values: Column, combine) -> Column:
+    """combine over the values up to each place (whole numbers from 0 on), by blocks and then over the blocks."""
+
+    def scan(x: Column, start: Column) -> Column:
+        return F.aggregate(x, start, lambda acc, v: F.array_append(acc, combine(v, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
+
+    none = F.array().cast("array<int>")
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: scan(F.slice(x, k * BLOCK + 1, BLOCK), none))
+    tails = lambda of: scan(F.transform(of, lambda c: F.get(c, F.size(c) - 1)), F.array(F.lit(0)))
+    shifted = lambda of: _let(tails(of), lambda before: F.flatten(F.transform(of, lambda c, k: F.transform(c, lambda v: combine(v, F.get(before, k))))))
+    return _let(values, lambda x: F.when(F.size(x) > 0, _let(blocks(x), shifted)).otherwise(none))
+
+
 def _matches(text: Column, pattern: str, hint: str | None) -> Column:
     """FOUND: the pattern's matches with the text around each. The gaps between matches give positions and contexts."""
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
     def starts(m: Column, g: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(m)), F.array(F.length(F.get(g, F.lit(0)))), lambda acc, i: F.array_append(acc, F.get(acc, i - 1) + F.length(F.get(m, i - 1)) + F.length(F.get(g, i))))
+        return _running(F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)), lambda x, y: x + y)
 
     def located(m: Column, g: Column, at: Column) -> Column:
         return F.transform(m, lambda x, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(x)).alias("end"), x.alias("value"), F.substring(F.get(g, i), -NEAR, NEAR).alias("before"), F.substring(F.get(g, i + 1), 1, NEAR).alias("after")))
@@ -133,8 +149,11 @@ def base_entities(docs: DataFrame) -> DataFrame:
         return F.transform(f"_{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
     def free(of: str, taken: str) -> Column:
-        apart = F.filter(of, lambda x: ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        return F.when(F.size(of) > 0, apart).otherwise(F.col(of))
+        meets = lambda x: lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+        block = lambda c: F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("start"), F.array_max(F.transform(c, lambda b: b["end"])).alias("end"), c.alias("spans"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(taken) - 1) / BLOCK).cast("int")), lambda k: _let(F.slice(taken, k * BLOCK + 1, BLOCK), block))
+        apart = lambda held: F.filter(of, lambda x: ~F.exists(held, lambda c: meets(x)(c) & F.exists(c["spans"], meets(x))))
+        return F.when((F.size(of) > 0) & (F.size(taken) > 0), _let(blocks, apart)).otherwise(F.col(of))
 
     out = out.withColumn("base", F.array_sort(F.concat(*map(spans, BASE)))).withColumn("_secret", free("_secret", "base"))
     out = out.withColumn("seeds", spans("secret")).withColumn("_other", free("_other", "base")).withColumn("_other", free("_other", "seeds"))
@@ -210,12 +229,22 @@ def redact(docs: DataFrame) -> DataFrame:
     if added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         added = F.broadcast(added)
     both = found.join(added, "key", "left").withColumn("_s", F.array_sort(F.concat("base", _with_seeds()))).withColumn("text", F.col("_row.text"))
-    # Of spans that overlap, the first stays and grows over the others.
-    zero = F.array().cast(SPAN)
-    merged = F.aggregate("_s", zero, lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.element_at(acc, -1).withField("end", F.greatest(F.element_at(acc, -1)["end"], s["end"]))))).otherwise(F.concat(acc, F.array(s))))
-    both = both.withColumn("_s", F.when(F.size("_s") > 0, merged).otherwise(F.col("_s")))
-    gap = lambda s, i: F.when(i == 0, 0).otherwise(F.get(F.col("_s"), i - 1)["end"])
-    parts = F.transform("_s", lambda s, i: F.concat(F.substring(F.col("text"), gap(s, i) + 1, s["start"] - gap(s, i)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    rest = F.substring(F.col("text"), F.element_at("_s", -1)["end"] + 1, F.length("text"))
+    # Of spans that overlap, the first stays and grows over the others. _m: the greatest end up to each span.
+    both = both.withColumn("_m", _running(F.transform("_s", lambda s: s["end"]), F.greatest))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get(F.col("_s"), i)["start"] >= F.get(F.col("_m"), i - 1)))
+    both = both.withColumn("_h", F.when(F.size("_s") > 0, heads))
+    one = lambda i, k: F.struct(F.get(F.col("_s"), i)["start"].alias("start"), F.get(F.col("_m"), F.coalesce(F.get(F.col("_h"), k + 1), F.size("_s")) - 1).alias("end"), F.get(F.col("_s"), i)["kind"].alias("kind"))
+    both = both.withColumn("_g", F.transform("_h", one))
+    end = lambda i: F.when(i < 0, 0).otherwise(F.get(F.col("_g"), i)["end"])
+
+    def cut(k: Column) -> Column:
+        """The text from span k * BLOCK - 1 on up to the end of the block's last span, with its spans replaced."""
+        at, last = k * BLOCK, F.least((k + 1) * BLOCK, F.size("_g")) - 1
+        piece = F.substring(F.col("text"), end(at - 1) + 1, end(last) - end(at - 1))
+        part = lambda p: lambda s, i: F.concat(F.substring(p, end(at + i - 1) - end(at - 1) + 1, s["start"] - end(at + i - 1)), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return _let(piece, lambda p: F.array_join(F.transform(F.slice("_g", at + 1, BLOCK), part(p)), ""))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_g") - 1) / BLOCK).cast("int")), cut)
+    rest = F.substring(F.col("text"), end(F.size("_g") - 1) + 1, F.length("text"))
     text = F.when(F.size("_s") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("text"))
     return both.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")

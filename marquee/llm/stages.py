@@ -34,11 +34,12 @@ def keep_quality(spark, docs, sf_dir):
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """Of each group of linked documents the one with the least doc_id; of repeated rows one."""
+    """Of each group of linked documents the one with the least doc_id; of rows with equal doc_id and text one. Different
+    texts under one doc_id stay or go together, as links name documents by their id."""
     found = jaccard_join.jaccard_components(docs)
     kept = _without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
     repeated = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if repeated else kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null")) if repeated else kept
 
 
 def drop_contaminated(spark, docs, sf_dir):

@@ -18,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     """text, y, weight (and lang, where docs have it) of a sample of each class of labels(doc_id, label).
 
     The sample is the run of least hashes of doc_id with at most per_class rows and class_bytes of whole texts (one text
-    at least); no text is left out for its own size.
+    at least); no text is left out for its own size. Of different texts under one doc_id the least counts.
 
     A class's weights add up to its share of all labels (1 on average), however many of its texts are in the sample.
     """
@@ -28,10 +28,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
     chosen = known.where("y = 0").orderBy(*by).limit(per_class).union(known.where("y = 1").orderBy(*by).limit(per_class))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    before = Window.partitionBy("y").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows only
+    before = Window.partitionBy("y").orderBy(*by, "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows only
     sized = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
     got = sized.where((F.col("before") == 0) | (F.col("before") + F.octet_length("text") <= class_bytes)).select("doc_id", "text", "lang", "y").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    got = got.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     weight = got["y"].map(counts) / got.groupby("y")["y"].transform("size")
     return got.assign(weight=weight / weight.mean())[["text", "lang", "y", "weight"]]
