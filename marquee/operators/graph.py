@@ -115,7 +115,7 @@ def _walked(open_: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(inner.toDF("a", "b").unionByName(star)).withColumnRenamed("node", "id")
     earlier = inner.groupBy(F.col("v").alias("id")).agg(F.collect_set("u").alias("earlier"))
     rows = open_.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(earlier, "id", "left")
-    got = sorted_walk(rows, "root", ["id", "group", "earlier"], ["place"], _Heads, "id long, state int")
+    got = sorted_walk(rows, "root", ["id", "group", "earlier"], ["place"], _Heads, f"id {open_.schema['id'].dataType.simpleString()}, state int")
     return open_.drop("state").join(got, "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES, haversine, nine_cells, valid_location
+from ..functions.geo import METRES, haversine, nine_cells, outside_city, valid_location
 from ..functions.text import share_identity, venue_key, venue_tokens
 from .graph import checkpointed, greedy_heads
 from .tables import first_alias, minus
@@ -36,14 +36,17 @@ def resolve(names: DataFrame, venues: DataFrame, aliases: DataFrame, geocoded: D
     """name, venue_id, matched_by for distinct names(name, lat, lng): exact key, alias, proximity with a shared name, else created.
 
     venues(venue_id, name, lat, lng); aliases(normalized_alias, venue_id); geocoded(name, lat, lng) fills places that are
-    unusable. Of several venues: fewest tokens, then nearest, then least id. Placeholder and empty names resolve to null.
-    Created rows have a null venue_id and are grouped by key in `new_key`.
+    unusable, unless names have an address that is out of the city. Of several venues: fewest tokens, then nearest, then
+    least id. Placeholder and empty names resolve to null. Names that nothing matches come in order of name: each becomes a
+    venue, or goes by proximity to one that an earlier name became. Their venue_id is null and new_key the new venue's key.
     """
     ok = valid_location(F.col("lat"), F.col("lng"))
     placed = F.min(F.when(ok, F.struct("lat", "lng"))).alias("p")  # of a name's places the least usable one
     own = names.groupBy("name").agg(placed).select("name", "p.lat", "p.lng")
     if geocoded is not None:
         g = geocoded.groupBy("name").agg(placed.alias("g"))
+        if "address" in names.columns:
+            g = g.join(names.where(outside_city(F.col("address"))).select("name").distinct(), "name", "left_anti")
         own = own.join(g, "name", "left").select("name", F.when(ok, F.col("lat")).otherwise(F.col("g.lat")).alias("lat"), F.when(ok, F.col("lng")).otherwise(F.col("g.lng")).alias("lng"))
     own = keyed(own.select("name", F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lng")).alias("lng")))
     usable = (F.col("key") != "") & (F.lower(F.trim("name")) != "unknown venue")
@@ -58,11 +61,27 @@ def resolve(names: DataFrame, venues: DataFrame, aliases: DataFrame, geocoded: D
     best = close.groupBy("name").agg(F.min_by("venue_id", F.struct(F.size("tokens_b"), "distance", "venue_id")).alias("near_id"))
     out = found.join(best, "name", "left")
     how = F.when(F.col("exact_id").isNotNull(), "exact_name").when(F.col("alias_id").isNotNull(), "alias").when(F.col("near_id").isNotNull(), "proximity").otherwise("created")
-    out = out.select("name", F.coalesce("exact_id", "alias_id", "near_id").alias("venue_id"), how.alias("matched_by"), F.when(how == "created", F.col("key")).alias("new_key"))
+    out = checkpointed(out.select("name", "key", "tokens", "lat", "lng", F.coalesce("exact_id", "alias_id", "near_id").alias("venue_id"), how.alias("matched_by")))
+    into = _among_new(out.where("matched_by = 'created'"))
+    how = F.when(F.col("near_key").isNotNull(), "proximity").otherwise(F.col("matched_by"))
+    new = F.when(F.col("matched_by") == "created", F.coalesce("near_key", "key"))
+    out = out.join(into, "key", "left").select("name", "venue_id", how.alias("matched_by"), new.alias("new_key"))
     none = unnamed.select("name", F.lit(None).cast("long").alias("venue_id"), F.lit(None).cast("string").alias("matched_by"), F.lit(None).cast("string").alias("new_key"))
     return out.union(none)
 
 
+def _among_new(created: DataFrame) -> DataFrame:
+    """key, near_key: names that become no venue, with the best of the new ones that come before them and match by proximity."""
+    ok = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng"))
+    new = checkpointed(created.groupBy("key").agg(F.min("name").alias("first"), F.min_by("tokens", "name").alias("tokens"), F.min_by(ok, F.when(ok.isNotNull(), F.col("name"))).alias("p")).select("key", "first", "tokens", "p.lat", "p.lng"))
+    before = new.select(F.col("key").alias("u"), F.col("first").alias("first_b"), F.col("tokens").alias("tokens_b"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
+    close = _near(new, before, PROXIMITY, CELL).where((F.col("first_b") < F.col("first")) & share_identity(F.col("tokens"), F.col("tokens_b"), SHARED))
+    edges = checkpointed(close.select("u", F.col("key").alias("v"), F.struct(F.size("tokens_b").alias("n"), "distance", "first_b").alias("rank")))
+    got = greedy_heads(new.select(F.col("key").alias("id"), F.struct("first").alias("place"), F.lit(None).cast("string").alias("group")), edges.select("u", "v"))
+    heads, folded = got.where("id = head").select(F.col("id").alias("u")), got.where("id <> head").select(F.col("id").alias("v"))
+    return edges.join(heads, "u").join(folded, "v").groupBy(F.col("v").alias("key")).agg(F.min_by("u", "rank").alias("near_key"))
+
+
 def backfilled(venues: DataFrame, matched: DataFrame) -> DataFrame:
     """venues with places from matched(venue_id, name, lat, lng) where they have none; the least name's valid place."""
     ok = matched.where(valid_location(F.col("lat"), F.col("lng"))).groupBy("venue_id").agg(F.min_by(F.struct("lat", "lng"), "name").alias("p"))

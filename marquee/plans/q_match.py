@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import match, merge, tables, venues
-from .q_filters import listings, sim
+from .q_filters import _GENERIC, BOX, listings, sim
 from .q_scalars import _venue_token_sql
 from .registry import query
 from .testviews import view
@@ -65,7 +65,21 @@ def registry(spark, sf_dir):
     return v, known, aliases
 
 
-@query("j9_resolve_venues")
+_METRES = _MI.replace("3958.8", "6371000")
+_SHARE = f"({_BOTH} / greatest(len(a.t) + len(b.t) - {_BOTH}, 1.0) >= 0.5 OR {_BOTH} = least(len(a.t), len(b.t)))"
+_VENUE_KEY = _venue_token_sql("name").removeprefix("list_distinct(list_filter(string_split(").split(", ' '), lambda")[0]
+#: Names in order; `a` asks, `b` is there. Places of askers count where they are valid.
+_RESOLVED = f"""k AS MATERIALIZED (SELECT venue_id, name, {_venue_token_sql('name')} AS t, {_VENUE_KEY} AS key, CASE WHEN {BOX} AND NOT ({_GENERIC}) THEN lat END AS lat, CASE WHEN {BOX} AND NOT ({_GENERIC}) THEN lng END AS lng, lat AS raw_lat, lng AS raw_lng FROM venues_v),
+known AS (SELECT venue_id, t, key, raw_lat AS lat, raw_lng AS lng FROM k WHERE venue_id % 3 = 0), near AS (SELECT a.name, arg_min(b.venue_id, (len(b.t), {_METRES}, b.venue_id)) AS id FROM k AS a JOIN known AS b ON {_METRES} <= 150 AND len(a.t) > 0 AND len(b.t) > 0 AND {_SHARE} GROUP BY a.name),
+x AS (SELECT key, min(venue_id) AS id FROM known GROUP BY key), l AS (SELECT key, min(venue_id - 1) AS id FROM k WHERE venue_id % 10 = 4 GROUP BY key),
+found AS MATERIALIZED (SELECT k.*, x.id AS exact_id, l.id AS alias_id, CASE WHEN x.id IS NULL AND l.id IS NULL THEN near.id END AS near_id FROM k LEFT JOIN x USING (key) LEFT JOIN l USING (key) LEFT JOIN near USING (name))"""
+
+
+@query("j9_resolve_venues", f"""WITH RECURSIVE {_RESOLVED}, v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY name) AS o FROM found WHERE coalesce(exact_id, alias_id, near_id) IS NULL),
+m AS MATERIALIZED (SELECT b.o AS u, a.o AS v, (len(b.t), {_METRES}, b.name) AS rank, b.key FROM v AS a JOIN v AS b ON b.o < a.o AND {_METRES} <= 150 AND {_SHARE}), e AS (SELECT u, v FROM m), n AS (SELECT o FROM v), {_HEADS},
+best AS (SELECT m.v AS o, arg_min(m.key, m.rank) AS key FROM m JOIN r ON r.o = m.u AND r.s = 1 AND r.step = {_ROUNDS} JOIN folded ON folded.o = m.v GROUP BY m.v)
+SELECT f.name, coalesce(f.exact_id, f.alias_id, f.near_id) AS venue_id, CASE WHEN f.exact_id IS NOT NULL THEN 'exact_name' WHEN f.alias_id IS NOT NULL THEN 'alias' WHEN f.near_id IS NOT NULL OR best.key IS NOT NULL THEN 'proximity' ELSE 'created' END AS matched_by, CASE WHEN v.o IS NOT NULL THEN coalesce(best.key, f.key) END AS new_key
+FROM found f LEFT JOIN v ON v.name = f.name LEFT JOIN best ON best.o = v.o""")
 def j9(spark, sf_dir):
     v, known, aliases = registry(spark, sf_dir)
     return venues.resolve(v.select("name", "lat", "lng"), known, aliases).select("name", "venue_id", "matched_by", "new_key")
@@ -196,7 +210,7 @@ def w4(spark, sf_dir):
     return rows.select("id", "candidate", F.row_number().over(top).cast("long").alias("rank"))
 
 
-@query("w5_best_venue")
+@query("w5_best_venue", f"WITH {_RESOLVED} SELECT name, near_id AS venue_id FROM found WHERE near_id IS NOT NULL")
 def w5(spark, sf_dir):
     v, known, aliases = registry(spark, sf_dir)
-    return venues.resolve(v.select("name", "lat", "lng"), known, aliases).where("matched_by = 'proximity'").select("name", "venue_id")
+    return venues.resolve(v.select("name", "lat", "lng"), known, aliases).where("matched_by = 'proximity' and venue_id is not null").select("name", "venue_id")

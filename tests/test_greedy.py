@@ -102,3 +102,15 @@ def test_united_tickets_and_a_null_place(spark):
     names = spark.createDataFrame([("Foo Hall Upstairs", 40.7306, -73.99), ("Foo Hall Upstairs", None, None), ("Foo Hall Upstairs", 0.0, 0.0)], "name string, lat double, lng double")
     none = spark.createDataFrame([], "normalized_alias string, venue_id long")
     assert [(r.venue_id, r.matched_by) for r in venues.resolve(names, known, none).collect()] == [(1, "proximity")]
+
+
+def test_new_venues_take_later_names_and_addresses_out_of_the_city(spark):
+    none = spark.createDataFrame([], "normalized_alias string, venue_id long")
+    known = spark.createDataFrame([(9, "Far Away", 40.80, -73.95)], "venue_id long, name string, lat double, lng double")
+    rows = [("Elsewhere", 40.7305, -73.99), ("Elsewhere Zone One", 40.7306, -73.99), ("Rooftop Elsewhere", 40.7305, -73.9901), ("Elsewhere, Far", 40.75, -73.97), ("ELSEWHERE", None, None), ("Zzz", None, None)]
+    names = spark.createDataFrame(rows, "name string, lat double, lng double")
+    got = {r.name: (r.matched_by, r.new_key) for r in venues.resolve(names, known, none).collect()}
+    assert got == {"Elsewhere": ("created", "elsewhere"), "ELSEWHERE": ("created", "elsewhere"), "Elsewhere Zone One": ("proximity", "elsewhere"), "Rooftop Elsewhere": ("proximity", "elsewhere"), "Elsewhere, Far": ("created", "elsewhere far"), "Zzz": ("created", "zzz")}
+    asked = spark.createDataFrame([("Far Away Annex", None, None, "1 Main St, Hoboken, NJ"), ("Far Away Too", None, None, "1 Main St, New York")], "name string, lat double, lng double, address string")
+    geo = spark.createDataFrame([("Far Away Annex", 40.80, -73.95), ("Far Away Too", 40.80, -73.95)], "name string, lat double, lng double")
+    assert {r.name: r.matched_by for r in venues.resolve(asked, known, none, geo).collect()} == {"Far Away Annex": "created", "Far Away Too": "proximity"}
