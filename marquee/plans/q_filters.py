@@ -69,7 +69,10 @@ def v6(spark, sf_dir):
     return addressed(spark, sf_dir).select("id", geo.outside_city(F.col("address")).alias("outside"))
 
 
-@query("v7_resolve_location")
+@query("v7_resolve_location", f"""WITH a AS (SELECT venue_id, lat, lng, {_ADDRESS} AS address, CASE WHEN venue_id % 5 <> 0 THEN lat + 0.001 END AS geo_lat, CASE WHEN venue_id % 5 <> 0 THEN lng END AS geo_lng FROM venues_v JOIN supplier ON s_suppkey = venue_id),
+o AS (SELECT venue_id, coalesce({BOX} AND NOT ({_GENERIC}), FALSE) AS own FROM venues_v), g AS (SELECT venue_id, coalesce({BOX} AND NOT ({_GENERIC}), FALSE) AS there FROM (SELECT venue_id, geo_lat AS lat, geo_lng AS lng FROM a)),
+c AS (SELECT a.*, CASE WHEN regexp_matches(lower(address), ', nj|,\\s*(hoboken|yonkers)(\\s*,|\\s+ny\\b|$)') THEN 'none' WHEN own AND address NOT IN ('Brooklyn, NY', 'Central Park', 'New York, NY, US', '') THEN 'own' WHEN there THEN 'geo' WHEN own THEN 'unsure' ELSE 'none' END AS how FROM a JOIN o USING (venue_id) JOIN g USING (venue_id))
+SELECT venue_id, round(CASE how WHEN 'geo' THEN geo_lat WHEN 'none' THEN NULL ELSE lat END, 6) AS lat, round(CASE how WHEN 'geo' THEN geo_lng WHEN 'none' THEN NULL ELSE lng END, 6) AS lng, how IN ('own', 'geo') AS is_verified FROM c""")
 def v7(spark, sf_dir):
     v = view(spark, sf_dir, "venues_v").join(addressed(spark, sf_dir), F.col("venue_id") == F.col("id"))
     geocoded = view(spark, sf_dir, "venues_v").where("venue_id % 5 <> 0").select(F.col("venue_id"), (F.col("lat") + 0.001).alias("geo_lat"), F.col("lng").alias("geo_lng"))

@@ -54,7 +54,10 @@ def t3_judged(spark, sf_dir):
     return jobs.judged_calls(view(spark, sf_dir, "requests_v"), api_keys(spark, sf_dir))
 
 
-@query("t4_submission_limit")
+@query("t4_submission_limit", """WITH RECURSIVE w(client_ip, opens) AS (SELECT client_ip, min(ts) FROM requests_v GROUP BY client_ip
+UNION ALL SELECT * FROM (SELECT w.client_ip, (SELECT min(c.ts) FROM requests_v c WHERE c.client_ip = w.client_ip AND c.ts > w.opens + INTERVAL 10 MINUTE) AS opens FROM w) WHERE opens IS NOT NULL),
+c AS (SELECT r.request_id, r.client_ip, r.ts, max(w.opens) AS opens FROM requests_v r JOIN w ON w.client_ip = r.client_ip AND w.opens <= r.ts GROUP BY ALL)
+SELECT request_id, row_number() OVER (PARTITION BY client_ip, opens ORDER BY ts, request_id) <= 5 AS allowed FROM c""")
 def t4(spark, sf_dir):
     return jobs.limited(view(spark, sf_dir, "requests_v").withColumn("ts", F.col("ts").cast("timestamp")))
 
