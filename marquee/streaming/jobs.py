@@ -74,7 +74,10 @@ def _next(state: tuple[float, int] | None, at: float) -> tuple[tuple[float, int]
 
 
 class SubmissionLimit(StatefulProcessor):
-    """The limit as state for each client; an hour without a call drops it."""
+    """The limit as state for each client; an hour without a call drops it.
+
+    A trigger's calls of one client are put in order, their times and ids alone; the source's trigger options bound them.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "ends double, calls int", ttlDurationMs=3_600_000)
@@ -82,7 +85,7 @@ class SubmissionLimit(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         state = self.window.get() if self.window.exists() else None
         state = tuple(state) if state else None
-        calls = pd.concat(list(rows)).sort_values(["ts", "request_id"])
+        calls = pd.concat([part[["ts", "request_id"]] for part in rows]).sort_values(["ts", "request_id"])
         verdicts = []
         for ts in calls.ts:
             state, allowed = _next(state, ts.timestamp())
