@@ -14,6 +14,7 @@ from .graph import checkpointed
 CLOSE_MILES = 0.1
 CELL = 0.003  # degrees; over 0.1 mile in latitude, and in longitude up to 60 degrees north
 TITLE = 0.55
+CELL_ROWS = 2_000  # rows on one side of a cell (time and venue, or time and trigram) that meet in one task
 
 
 def trust(source: Column) -> Column:
@@ -69,10 +70,60 @@ def venue_pairs(listings: DataFrame) -> DataFrame:
     return both.union(both.select("place_b", "place_a")).distinct()
 
 
-def cross_platform_pairs(listings: DataFrame, within: int = 30) -> DataFrame:
+def in_squares(left: DataFrame, right: DataFrame, keys: list[str], row_a: str, row_b: str, most: int) -> DataFrame:
+    """left joined with right on keys. A cell (rows of equal keys) of more than `most` rows on a side is cut into squares.
+
+    A square holds about `most` rows of either side, by the hash of `row_a` and `row_b`, and is a key of its own; so a task
+    holds no more than that of a cell, and no pair is lost or found twice.
+    """
+    both = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(*keys, F.lit(0), F.lit(1)))
+    sizes = both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where((F.greatest("l", "r") > most) & (F.least("l", "r") > 0))
+    large = checkpointed(sizes.select(*keys, F.ceil(F.col("l") / most).cast("int").alias("_l"), F.ceil(F.col("r") / most).cast("int").alias("_r")))
+    if large.isEmpty():
+        return left.join(right, keys)
+
+    def cut(df: DataFrame, row: str, own: str, other: str) -> DataFrame:
+        mine, theirs = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
+        placed = df.join(large, keys, "left").withColumn(f"{own}_at", F.pmod(F.xxhash64(row), mine).cast("int"))
+        return placed.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("_l", "_r")
+
+    return cut(left, row_a, "_l", "_r").join(cut(right, row_b, "_r", "_l"), [*keys, "_l_at", "_r_at"]).drop("_l_at", "_r_at")
+
+
+def by_title_in_heavy_cells(left: DataFrame, right: DataFrame, keys: list[str], most: int = CELL_ROWS) -> DataFrame:
+    """left (columns ending in _a) joined with right (_b) on keys, where each has id and tokens: pairs of a venue and a time.
+
+    In a cell of over `most` rows only titles that can match are met. Either overlap by TITLE or containment shares
+    2 TITLE / (1 + TITLE) of the shorter title's tokens; so one of its rarest ones, as many as may be missing and one more,
+    is in the longer title. That token is a further key; what is heavy even then is cut into squares.
+    """
+    heavy = checkpointed(right.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > most).select(*keys, F.lit(True).alias("_heavy")))
+    if heavy.isEmpty():
+        return left.join(right, keys)
+    titles = right.join(heavy, keys, "left_semi").select(F.col("tokens_b").alias("tokens")).union(left.join(heavy, keys, "left_semi").select("tokens_a")).distinct()
+    each = titles.select("tokens", F.explode("tokens").alias("token"))
+    ordered = each.join(each.groupBy("token").agg(F.count("*").alias("held")), "token").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("held", "token")))["token"].alias("by_rarity"))
+    needed = F.ceil(F.size("tokens") * (2 * TITLE / (1 + TITLE)) - 1e-9)
+    ordered = checkpointed(ordered.select("tokens", F.slice("by_rarity", 1, (F.size("tokens") - needed + 1).cast("int")).alias("rarest")))
+
+    def role(token: Column, shorter: int) -> Column:
+        return F.xxhash64(token, F.lit(shorter))
+
+    def keyed_side(df: DataFrame, side: str, own: int, other: int) -> DataFrame:
+        df = df.join(heavy, keys, "left").join(ordered.toDF(f"tokens_{side}", f"rarest_{side}"), f"tokens_{side}", "left")
+        tokens = F.concat(F.transform(f"rarest_{side}", lambda t: role(t, own)), F.transform(f"tokens_{side}", lambda t: role(t, other)))
+        return df.withColumn("sub", F.explode(F.when(F.col("_heavy"), tokens).otherwise(F.array(F.lit(0).cast("long")))))
+
+    met = in_squares(keyed_side(left, "a", 0, 1), keyed_side(right, "b", 1, 0).drop("_heavy"), [*keys, "sub"], "id_a", "id_b", most)
+    first = F.when(F.size("tokens_a") <= F.size("tokens_b"), role(F.get(F.array_intersect("rarest_a", "tokens_b"), F.lit(0)), 0)).otherwise(role(F.get(F.array_intersect("rarest_b", "tokens_a"), F.lit(0)), 1))
+    return met.where(F.col("_heavy").isNull() | (F.col("sub") == first)).drop("sub", "_heavy", "rarest_a", "rarest_b")
+
+
+def cross_platform_pairs(listings: DataFrame, within: int = 30, most: int = CELL_ROWS) -> DataFrame:
     """a, b: active listings of different sources, at most `within` minutes apart, at one venue, with similar titles.
 
-    Venue ids decide where both have one; else the venues' names and places.
+    Venue ids decide where both have one; else the venues' names and places. Cells of a venue and a time with over `most`
+    listings meet by their titles' rarest tokens.
     """
     rows = keyed(listings.where("status = 'active'"))
     own, around = buckets(F.col("start_at"), within)
@@ -82,9 +133,10 @@ def cross_platform_pairs(listings: DataFrame, within: int = 30) -> DataFrame:
     close = (F.abs(minutes(F.col("start_at_a")) - minutes(F.col("start_at_b"))) <= within) & (F.col("source_type_a") != F.col("source_type_b"))
     alike = share_identity(F.col("tokens_a"), F.col("tokens_b"), TITLE)
     ids = F.col("venue_id_a").isNotNull() & F.col("venue_id_b").isNotNull()
-    by_id = left.withColumn("venue_id", F.col("venue_id_a")).join(right.withColumn("venue_id", F.col("venue_id_b")), ["bucket", "venue_id"]).where(close & alike)
-    pairs = venue_pairs(rows)
-    by_place = left.join(pairs, "place_a").join(right, ["bucket", "place_b"]).where(~ids & close & alike)
+    with_id_a, with_id_b = (df.withColumn("venue_id", F.col(f"venue_id_{s}")).where("venue_id is not null") for df, s in ((left, "a"), (right, "b")))
+    by_id = by_title_in_heavy_cells(with_id_a, with_id_b, ["bucket", "venue_id"], most).where(close & alike)
+    near = left.join(venue_pairs(rows), "place_a")
+    by_place = by_title_in_heavy_cells(near, right, ["bucket", "place_b"], most).where(~ids & close & alike)
     return by_id.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(by_place.select("id_a", "id_b"))
 
 
@@ -96,28 +148,56 @@ def best_match(pairs: DataFrame, listings: DataFrame) -> DataFrame:
     return joined.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trust_b"), gap, "b")).alias("b"))
 
 
-def duplicate_candidates(listings: DataFrame, hours: int = 4, least: float = 0.3, most: int = 20) -> DataFrame:
-    """id, candidate, similarity: for each active listing the `most` most similar titles within `hours`, above `least`.
+def similar_titles(cells: DataFrame, least: float, most: int = CELL_ROWS) -> DataFrame:
+    """bucket, title_a, title_b, similarity of cells(bucket, title): titles above `least`, title_a in `bucket`, title_b there or in a
+    bucket next to it. Of two titles the one with fewer trigrams is title_a (then the lesser one); a title goes with itself.
 
-    Titles are compared once as distinct pairs: those that share one of their rarest trigrams, as many as a pair above
-    `least` must (a prefix filter), scored exactly. Equal titles are pairs too.
+    A prefix join inside time: titles are met in (bucket, trigram), by the rarest trigrams of each. Of n trigrams a shorter
+    title must share 2 least / (1 + least) with a longer one, the longer one `least` of its own; as many as may be missing,
+    and one more, are looked up. A first shared trigram so late that too few are left after it, or too different sizes, rule
+    a pair out before it is scored; what is left is scored once for each distinct pair.
     """
-    rows = listings.where("status = 'active'").select("id", "title", "start_at")
-    titles = rows.select("title").distinct().withColumn("grams", trigrams(F.col("title")))
+    titles = cells.select("title").distinct().withColumn("grams", trigrams(F.col("title")))
     each = titles.select("title", F.explode("grams").alias("gram"))
     held = each.groupBy("gram").agg(F.count("*").alias("held"))
-    ranked = each.join(held, "gram").groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "gram"))), lambda g: g["gram"]).alias("by_rarity"))
-    n = F.size("by_rarity")
-    prefix = ranked.select("title", F.explode(F.slice("by_rarity", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("gram"))
-    pairs = prefix.toDF("title_a", "gram").join(prefix.toDF("title_b", "gram"), "gram").select("title_a", "title_b").distinct()
-    scored = pairs.join(titles.toDF("title_a", "grams_a"), "title_a").join(titles.toDF("title_b", "grams_b"), "title_b")
-    scored = scored.withColumn("similarity", similarity(F.col("grams_a"), F.col("grams_b"))).where(F.col("similarity") > least).select("title_a", "title_b", "similarity")
+    titles = checkpointed(each.join(held, "gram").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("held", "gram")))["gram"].alias("grams")))
+    share = least / (1 + least)
+
+    def looked_up(at: DataFrame, part: float, side: str) -> DataFrame:
+        n = F.size("grams")
+        prefix = F.slice("grams", 1, (n - F.ceil(n * part - 1e-9) + 1).cast("int"))
+        return at.join(titles, "title").select("bucket", F.col("title").alias(f"title_{side}"), n.alias(f"n_{side}"), F.posexplode(prefix).alias(f"at_{side}", "gram"))
+
+    around = F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)
+    short = checkpointed(looked_up(cells.distinct(), 2 * share, "a"))
+    long = checkpointed(looked_up(cells.select(F.explode(around).alias("bucket"), "title").distinct(), least, "b"))
+    met = in_squares(short, long, ["bucket", "gram"], "title_a", "title_b", most)
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.struct("n_a", "title_a") <= F.struct("n_b", "title_b")) & (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (left >= share * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    pairs = checkpointed(met.where(fits).select("bucket", "title_a", "title_b").distinct())
+    once = pairs.select("title_a", "title_b").distinct().join(titles.toDF("title_a", "grams_a"), "title_a").join(titles.toDF("title_b", "grams_b"), "title_b")
+    scored = once.withColumn("similarity", similarity(F.col("grams_a"), F.col("grams_b"))).where(F.col("similarity") > least)
+    return pairs.join(scored.select("title_a", "title_b", "similarity"), ["title_a", "title_b"])
+
+
+def duplicate_candidates(listings: DataFrame, hours: int = 4, least: float = 0.3, most: int = 20) -> DataFrame:
+    """id, candidate, similarity: for each active listing the `most` most similar titles within `hours`, above `least`.
+
+    Titles are compared within neighbouring buckets of time alone (`similar_titles`), so work follows the listings that start
+    near one another, not the number of titles. Equal titles are pairs too.
+    """
     size = hours * 60
     own, around = buckets(F.col("start_at"), size)
-    left = rows.select(F.col("id"), F.col("title").alias("title_a"), F.col("start_at").alias("start_a"), own.alias("bucket"))
-    right = rows.select(F.col("id").alias("candidate"), F.col("title").alias("title_b"), F.col("start_at").alias("start_b"), F.explode(around).alias("bucket"))
+    rows = listings.where("status = 'active' and title is not null and start_at is not null").select("id", "title", "start_at", own.alias("bucket"), around.alias("around"))
+    alike = similar_titles(rows.select("bucket", "title"), least)
+    left = rows.select(F.col("id"), F.col("title").alias("title_a"), F.col("start_at").alias("start_a"), "bucket")
+    right = rows.select(F.col("id").alias("candidate"), F.col("title").alias("title_b"), F.col("start_at").alias("start_b"), F.explode("around").alias("bucket"))
     near = (F.abs(minutes(F.col("start_a")) - minutes(F.col("start_b"))) <= size) & (F.col("id") != F.col("candidate"))
-    found = left.join(scored, "title_a").join(right, ["bucket", "title_b"]).where(near)
+    found = left.join(alike, ["bucket", "title_a"]).join(right, ["bucket", "title_b"]).where(near)
+    # Rows of equal titles meet from both sides; of different ones the longer title's rows get theirs here.
+    one, other = F.struct("id", "candidate", "title_a", "title_b"), F.struct(F.col("candidate").alias("id"), F.col("id").alias("candidate"), F.col("title_b").alias("title_a"), F.col("title_a").alias("title_b"))
+    ways = F.when(F.col("title_a") == F.col("title_b"), F.array(one)).otherwise(F.array(one, other))
+    found = found.select("similarity", F.inline(ways))
     top = Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate")
     return found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most).select("id", "candidate", "title_a", "title_b", "similarity")
 

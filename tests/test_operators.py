@@ -1,6 +1,7 @@
 """Pairs, merges, registry and tables against brute force and on small literal frames."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -143,6 +144,57 @@ def test_duplicate_candidates_are_exact(spark):
     assert want and {p for p in got if p[0] in ids and p[1] in ids} == want
 
 
+def brute_titles(t, u, least):
+    grams = lambda x: {p[i : i + 3] for w in re.findall(r"[a-z0-9]+", x.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)}
+    a, b = grams(t), grams(u)
+    return bool(a | b) and len(a & b) / len(a | b) > least
+
+
+@pytest.mark.parametrize("most", [4, 2_000])
+def test_similar_titles_within_buckets(spark, most):
+    """Titles of all lengths, repeats and bare signs; with small squares, too."""
+    rng = random.Random(5)
+    words = ["jazz", "night", "live", "the", "tour", "of", "moon", "x"]
+    cells = [(rng.randrange(6), " ".join(rng.choices(words, k=rng.randint(0, 5)))) for _ in range(150)] + [(2, "!!"), (3, "!!"), (2, "jazz night"), (2, "jazz night")]
+    got = [(r.bucket, r.title_a, r.title_b) for r in match.similar_titles(spark.createDataFrame(cells, "bucket long, title string"), 0.3, most).collect()]
+    size = lambda t: len({p[i : i + 3] for w in t.split() for p in [f"  {w} "] for i in range(len(p) - 2)})
+    want = {(k, t, u) for k, t in cells for m, u in cells if abs(k - m) <= 1 and (size(t), t) <= (size(u), u) and brute_titles(t, u, 0.3)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_heavy_venue_hours_give_the_same_pairs(spark, most):
+    """A busy venue and hour, by id and by name, met through titles' rarest tokens and in squares."""
+    rng = random.Random(6)
+    words = ["jazz", "night", "live", "tour", "moon", "late", "show", "festival"]
+    sources = ["ical", "dice_scrape", "ticketmaster_api"]
+    rows = listing(spark, [(rng.choice(sources), " ".join(rng.choices(words, k=rng.randint(0, 5))), rng.randrange(50), rng.choice(["Hall", "The Hall", "Barn"]), None, None) for _ in range(160)])
+    rows = rows.withColumn("venue_id", F.when(F.col("id") % 3 != 0, F.col("id") % 2))
+    plain = match.cross_platform_pairs(rows, most=10**6).collect()
+    got = match.cross_platform_pairs(rows, most=most).collect()
+    assert len(got) == len(set(got)) and set(got) == set(plain) and len(plain) > 500
+
+
+def test_squares_are_bounded_and_whole(spark):
+    """A planted cell of 100,000 rows: every task holds a bounded part of it, and each pair comes once."""
+    left = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    right = spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    met = match.in_squares(left, right, ["k"], "a", "b", 2_000)
+    count, pairs = met.agg(F.count("*"), F.approx_count_distinct(F.struct("a", "b"))).first()
+    assert count == 300 * 100_000 and pairs > 0.9 * count
+
+
+def test_a_planted_venue_hour_of_many_listings(spark):
+    """100,000 listings of one venue and one hour, each title twice: pairs come from titles, not from all of the cell."""
+    rows = spark.range(100_000).select(
+        "id", F.concat(F.lit("Live Night "), F.sha1((F.col("id") / 2).cast("long").cast("string"))).alias("title"), F.when(F.col("id") % 2 == 0, "ical").otherwise("rss").alias("source_type"),
+        F.lit(T0).cast("timestamp_ntz").alias("start_at"), F.lit(7).cast("long").alias("venue_id"), F.lit("Hall").alias("venue_name"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.lit("active").alias("status"),
+    )
+    got = match.cross_platform_pairs(rows).agg(F.count("*").alias("n"), F.sum((F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2)).cast("int")).alias("wrong")).first()
+    # "Live", "Night" and a hash of its own: two of three tokens are 0.5 of four, not enough.
+    assert (got.n, got.wrong) == (100_000, 0)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
