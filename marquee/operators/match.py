@@ -125,18 +125,28 @@ def cross_platform_pairs(listings: DataFrame, within: int = 30, most: int = CELL
     Venue ids decide where both have one; else the venues' names and places. Cells of a venue and a time with over `most`
     listings meet by their titles' rarest tokens.
     """
-    rows = keyed(listings.where("status = 'active'"))
-    own, around = buckets(F.col("start_at"), within)
     cols = ["id", "source_type", "venue_id", "place", "start_at", "tokens"]
+    # Written once: both sides, the venues and the count of busy cells read it.
+    rows = checkpointed(keyed(listings.where("status = 'active'")).select(*cols, "venue_name", "lat", "lng"))
+    own, around = buckets(F.col("start_at"), within)
     left = rows.select(*cols).toDF(*(f"{c}_a" for c in cols)).withColumn("bucket", F.floor(minutes(F.col("start_at_a")) / within))
     right = rows.select(*cols, F.explode(around).alias("bucket")).toDF(*(f"{c}_b" for c in cols), "bucket")
     close = (F.abs(minutes(F.col("start_at_a")) - minutes(F.col("start_at_b"))) <= within) & (F.col("source_type_a") != F.col("source_type_b"))
     alike = share_identity(F.col("tokens_a"), F.col("tokens_b"), TITLE)
     ids = F.col("venue_id_a").isNotNull() & F.col("venue_id_b").isNotNull()
     with_id_a, with_id_b = (df.withColumn("venue_id", F.col(f"venue_id_{s}")).where("venue_id is not null") for df, s in ((left, "a"), (right, "b")))
-    by_id = by_title_in_heavy_cells(with_id_a, with_id_b, ["bucket", "venue_id"], most).where(close & alike)
     near = left.join(venue_pairs(rows), "place_a")
-    by_place = by_title_in_heavy_cells(near, right, ["bucket", "place_b"], most).where(~ids & close & alike)
+
+    def busy(venue: str) -> DataFrame:
+        """Cells of which three neighbours may hold over `most` listings."""
+        return rows.groupBy(own, venue).count().where((F.col("count") * 3 > most) & F.col(venue).isNotNull()).select("count")
+
+    if busy("venue_id").unionAll(busy("place")).isEmpty():
+        by_id, by_place = with_id_a.join(with_id_b, ["bucket", "venue_id"]), near.join(right, ["bucket", "place_b"])
+    else:
+        by_id = by_title_in_heavy_cells(with_id_a, with_id_b, ["bucket", "venue_id"], most)
+        by_place = by_title_in_heavy_cells(near, right, ["bucket", "place_b"], most)
+    by_id, by_place = by_id.where(close & alike), by_place.where(~ids & close & alike)
     return by_id.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(by_place.select("id_a", "id_b"))
 
 
@@ -148,34 +158,48 @@ def best_match(pairs: DataFrame, listings: DataFrame) -> DataFrame:
     return joined.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trust_b"), gap, "b")).alias("b"))
 
 
-def similar_titles(cells: DataFrame, least: float, most: int = CELL_ROWS) -> DataFrame:
-    """bucket, title_a, title_b, similarity of cells(bucket, title): titles above `least`, title_a in `bucket`, title_b there or in a
-    bucket next to it. Of two titles the one with fewer trigrams is title_a (then the lesser one); a title goes with itself.
-
-    A prefix join inside time: titles are met in (bucket, trigram), by the rarest trigrams of each. Of n trigrams a shorter
-    title must share 2 least / (1 + least) with a longer one, the longer one `least` of its own; as many as may be missing,
-    and one more, are looked up. A first shared trigram so late that too few are left after it, or too different sizes, rule
-    a pair out before it is scored; what is left is scored once for each distinct pair.
-    """
-    titles = cells.select("title").distinct().withColumn("grams", trigrams(F.col("title")))
-    each = titles.select("title", F.explode("grams").alias("gram"))
+def grams_by_rarity(titles: DataFrame) -> DataFrame:
+    """title, grams: the distinct titles with their trigrams, those that the fewest titles have first."""
+    each = titles.select("title").distinct().select("title", F.explode(trigrams(F.col("title"))).alias("gram"))
     held = each.groupBy("gram").agg(F.count("*").alias("held"))
-    titles = checkpointed(each.join(held, "gram").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("held", "gram")))["gram"].alias("grams")))
-    share = least / (1 + least)
+    return checkpointed(each.join(held, "gram").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("held", "gram")))["gram"].alias("grams")))
+
 
-    def looked_up(at: DataFrame, part: float, side: str) -> DataFrame:
+def _looked_up(cells: DataFrame, grams: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """What shorter titles (a) and longer ones (b, also in the buckets next to theirs) are looked up by: bucket, gram, place of it."""
+
+    def prefixes(at: DataFrame, part: float, side: str) -> DataFrame:
         n = F.size("grams")
         prefix = F.slice("grams", 1, (n - F.ceil(n * part - 1e-9) + 1).cast("int"))
-        return at.join(titles, "title").select("bucket", F.col("title").alias(f"title_{side}"), n.alias(f"n_{side}"), F.posexplode(prefix).alias(f"at_{side}", "gram"))
+        return at.join(grams, "title").select("bucket", F.col("title").alias(f"title_{side}"), n.alias(f"n_{side}"), F.posexplode(prefix).alias(f"at_{side}", "gram"))
 
     around = F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)
-    short = checkpointed(looked_up(cells.distinct(), 2 * share, "a"))
-    long = checkpointed(looked_up(cells.select(F.explode(around).alias("bucket"), "title").distinct(), least, "b"))
-    met = in_squares(short, long, ["bucket", "gram"], "title_a", "title_b", most)
+    return prefixes(cells, 2 * least / (1 + least), "a"), prefixes(cells.select(F.explode(around).alias("bucket"), "title").distinct(), least, "b")
+
+
+def gram_matches(cells: DataFrame, grams: DataFrame, least: float) -> int:
+    """How many pairs meet in similar_titles before its filters, from the counts of its keys."""
+    short, long = _looked_up(cells, grams, least)
+    both = short.select("bucket", "gram", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(long.select("bucket", "gram", F.lit(0), F.lit(1)))
+    return both.groupBy("bucket", "gram").agg((F.sum("l") * F.sum("r")).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def similar_titles(cells: DataFrame, grams: DataFrame, least: float, most: int = CELL_ROWS) -> DataFrame:
+    """bucket, title_a, title_b, similarity of distinct cells(bucket, title) with `grams_by_rarity`: titles above `least`, title_a in
+    `bucket`, title_b there or in a bucket next to it. Of two titles the one with fewer trigrams is title_a (then the lesser
+    one); a title goes with itself.
+
+    A prefix join inside time: titles are met in (bucket, trigram), by the rarest trigrams of each. Of n trigrams a shorter
+    title must share 2 least / (1 + least) with a longer one, the longer one `least` of its own; as many as may be missing,
+    and one more, are looked up. A first shared trigram so late that too few are left after it, or too different sizes, rule
+    a pair out before it is scored; what is left is scored once for each distinct pair.
+    """
+    met = in_squares(*_looked_up(cells, grams, least), ["bucket", "gram"], "title_a", "title_b", most)
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (F.struct("n_a", "title_a") <= F.struct("n_b", "title_b")) & (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (left >= share * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    enough = left >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    fits = (F.struct("n_a", "title_a") <= F.struct("n_b", "title_b")) & (F.col("n_a") >= least * F.col("n_b") - 1e-9) & enough
     pairs = checkpointed(met.where(fits).select("bucket", "title_a", "title_b").distinct())
-    once = pairs.select("title_a", "title_b").distinct().join(titles.toDF("title_a", "grams_a"), "title_a").join(titles.toDF("title_b", "grams_b"), "title_b")
+    once = pairs.select("title_a", "title_b").distinct().join(grams.toDF("title_a", "grams_a"), "title_a").join(grams.toDF("title_b", "grams_b"), "title_b")
     scored = once.withColumn("similarity", similarity(F.col("grams_a"), F.col("grams_b"))).where(F.col("similarity") > least)
     return pairs.join(scored.select("title_a", "title_b", "similarity"), ["title_a", "title_b"])
 
@@ -183,17 +207,22 @@ def similar_titles(cells: DataFrame, least: float, most: int = CELL_ROWS) -> Dat
 def duplicate_candidates(listings: DataFrame, hours: int = 4, least: float = 0.3, most: int = 20) -> DataFrame:
     """id, candidate, similarity: for each active listing the `most` most similar titles within `hours`, above `least`.
 
-    Titles are compared within neighbouring buckets of time alone (`similar_titles`), so work follows the listings that start
-    near one another, not the number of titles. Equal titles are pairs too.
+    Titles are compared within neighbouring buckets of time (`similar_titles`), so that work follows the listings that start
+    near one another. Where shows recur so often that comparing each title once, whatever its times, meets fewer pairs by
+    count of the keys, that is done: the rows are the same. Equal titles are pairs too.
     """
     size = hours * 60
     own, around = buckets(F.col("start_at"), size)
-    rows = listings.where("status = 'active' and title is not null and start_at is not null").select("id", "title", "start_at", own.alias("bucket"), around.alias("around"))
-    alike = similar_titles(rows.select("bucket", "title"), least)
+    rows = checkpointed(listings.where("status = 'active' and title is not null and start_at is not null").select("id", "title", "start_at", own.alias("bucket"), around.alias("around")))
+    cells = checkpointed(rows.select("bucket", "title").distinct())
+    timeless = cells.select(F.lit(0).cast("long").alias("bucket"), "title").distinct()
+    grams = grams_by_rarity(cells)
+    in_time = gram_matches(cells, grams, least) <= gram_matches(timeless, grams, least)
+    alike = similar_titles(cells, grams, least) if in_time else similar_titles(timeless, grams, least).drop("bucket")
     left = rows.select(F.col("id"), F.col("title").alias("title_a"), F.col("start_at").alias("start_a"), "bucket")
     right = rows.select(F.col("id").alias("candidate"), F.col("title").alias("title_b"), F.col("start_at").alias("start_b"), F.explode("around").alias("bucket"))
     near = (F.abs(minutes(F.col("start_a")) - minutes(F.col("start_b"))) <= size) & (F.col("id") != F.col("candidate"))
-    found = left.join(alike, ["bucket", "title_a"]).join(right, ["bucket", "title_b"]).where(near)
+    found = left.join(alike, ["bucket", "title_a"] if in_time else ["title_a"]).join(right, ["bucket", "title_b"]).where(near)
     # Rows of equal titles meet from both sides; of different ones the longer title's rows get theirs here.
     one, other = F.struct("id", "candidate", "title_a", "title_b"), F.struct(F.col("candidate").alias("id"), F.col("id").alias("candidate"), F.col("title_b").alias("title_a"), F.col("title_a").alias("title_b"))
     ways = F.when(F.col("title_a") == F.col("title_b"), F.array(one)).otherwise(F.array(one, other))

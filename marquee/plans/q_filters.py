@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text
 from ..functions.classify import from_keywords
 from ..operators import audit, tables
+from ..operators.graph import shared_root
 from ..schemas import NYC
 from .registry import query
 from .testviews import AS_OF, view
@@ -281,13 +284,28 @@ def j15(spark, sf_dir):
     return tables.upsert(rows, accepted.join(rows.select("id"), "id", "left_semi"), ["id"])
 
 
-@query("s6_upsert", "SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN 'active' ELSE status END AS status FROM listings_v WHERE id % 2 = 0 UNION ALL SELECT id, 'renamed', 'active' FROM listings_v WHERE id % 2 = 1 AND id % 5 = 0")
+_UPSERTED = "SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN 'active' ELSE status END AS status FROM listings_v WHERE id % 2 = 0 UNION ALL SELECT id, 'renamed', 'active' FROM listings_v WHERE id % 2 = 1 AND id % 5 = 0"
+
+
+@query("s6_upsert", _UPSERTED)
 def s6(spark, sf_dir):
     rows = listings(spark, sf_dir).select("external_id", "source_type", "id", "title", "status")
     new = rows.where("id % 5 = 0").withColumn("title", F.lit("renamed")).withColumn("status", F.lit("active"))
     return tables.upsert(rows.where("id % 2 = 0"), new, ["external_id", "source_type"]).select("id", "title", "status")
 
 
+@query("s6_touched_buckets", _UPSERTED)
+def s6_buckets(spark, sf_dir):
+    """The same upsert into a bucketed table, its second batch given twice."""
+    rows = listings(spark, sf_dir).select("external_id", "source_type", "id", "title", "status")
+    table = tables.BucketedTable(spark, f"{shared_root(spark)}/listings-{uuid.uuid4().hex}", rows.schema, ("external_id", "source_type"), 32)
+    table.upsert(rows.where("id % 2 = 0"), 0)
+    new = rows.where("id % 5 = 0").withColumn("title", F.lit("renamed")).withColumn("status", F.lit("active"))
+    for _ in range(2):
+        table.upsert(new, 1)
+    return table.read().select("id", "title", "status")
+
+
 @query("s7_latest_check", "SELECT user_id AS event_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1")
 def s7(spark, sf_dir):
     return tables.latest(view(spark, sf_dir, "events"), ["user_id"], F.desc("ts"), F.col("event_id")).select(F.col("user_id").alias("event_id"), F.col("event_type").alias("status"))

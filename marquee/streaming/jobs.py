@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import on_workers
 from ..functions.dates import overdue
-from ..operators.tables import latest, upsert
+from ..operators.tables import BucketedTable, latest, upsert
 
 WINDOW_SECONDS, MOST_IN_WINDOW = 600, 5
 DEFAULT_LIMIT = 100
@@ -26,9 +26,22 @@ def upsert_each(keys: list[str], read: Callable[[], DataFrame], write: Callable[
     """A foreachBatch function: of a batch the last pull of each key goes into the table that read() gives."""
 
     def batch(df: DataFrame, _: int) -> None:
-        ties = [F.col(c) for c in df.columns if c not in (*keys, "pulled_at") and isinstance(df.schema[c].dataType, AtomicType)]
-        new = latest(df, keys, F.desc("pulled_at"), *ties).drop("pulled_at")
-        write(upsert(read(), new, keys, changed))
+        write(upsert(read(), last_pulls(df, keys), keys, changed))
+
+    return batch
+
+
+def last_pulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The last pull of each key, without its time."""
+    ties = [F.col(c) for c in df.columns if c not in (*keys, "pulled_at") and isinstance(df.schema[c].dataType, AtomicType)]
+    return latest(df, keys, F.desc("pulled_at"), *ties).drop("pulled_at")
+
+
+def upsert_buckets(table: BucketedTable, changed: list[str] | None = None):
+    """A foreachBatch function: the last pull of each key goes into the buckets of the table that it falls in, once a batch."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        table.upsert(last_pulls(df, list(table.keys)), n, changed)
 
     return batch
 

@@ -156,13 +156,26 @@ def test_similar_titles_within_buckets(spark, most):
     rng = random.Random(5)
     words = ["jazz", "night", "live", "the", "tour", "of", "moon", "x"]
     cells = [(rng.randrange(6), " ".join(rng.choices(words, k=rng.randint(0, 5)))) for _ in range(150)] + [(2, "!!"), (3, "!!"), (2, "jazz night"), (2, "jazz night")]
-    got = [(r.bucket, r.title_a, r.title_b) for r in match.similar_titles(spark.createDataFrame(cells, "bucket long, title string"), 0.3, most).collect()]
+    table = spark.createDataFrame(cells, "bucket long, title string").distinct()
+    grams = match.grams_by_rarity(table)
+    got = [(r.bucket, r.title_a, r.title_b) for r in match.similar_titles(table, grams, 0.3, most).collect()]
+    assert match.gram_matches(table, grams, 0.3) >= len(got)
     size = lambda t: len({p[i : i + 3] for w in t.split() for p in [f"  {w} "] for i in range(len(p) - 2)})
     want = {(k, t, u) for k, t in cells for m, u in cells if abs(k - m) <= 1 and (size(t), t) <= (size(u), u) and brute_titles(t, u, 0.3)}
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("most", [1, 5, 40])
+def test_candidates_of_shows_that_recur_and_of_others(spark):
+    """The same rows whether titles are compared within time or once: few titles at many times, many titles at few times."""
+    for titles, days in ((4, 12), (40, 1)):
+        rng = random.Random(titles)
+        rows = [("ical", f"jazz night {rng.randrange(titles):02d} live", 1440 * rng.randrange(days) + rng.randrange(600), "Hall", None, None) for _ in range(60)]
+        got = {(r.id, r.candidate) for r in match.duplicate_candidates(listing(spark, rows), most=10**6).collect()}
+        want = {(i, j) for i, a in enumerate(rows, 1) for j, b in enumerate(rows, 1) if i != j and abs(a[2] - b[2]) <= 240 and brute_titles(a[1], b[1], 0.3)}
+        assert want and got == want
+
+
+@pytest.mark.parametrize("most", [1, 40])
 def test_heavy_venue_hours_give_the_same_pairs(spark, most):
     """A busy venue and hour, by id and by name, met through titles' rarest tokens and in squares."""
     rng = random.Random(6)

@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from marquee.operators import tables
 from marquee.plans.testviews import AS_OF, view
 from marquee.streaming import jobs
 
@@ -51,6 +53,58 @@ def test_upsert_and_expiry_batches(spark, tmp_path):
     assert len(out) == rows.where("status = 'active'").where(F.expr(f"end_at < timestamp_ntz '{AS_OF}' or (end_at is null and start_at < timestamp_ntz '{AS_OF}' - interval 6 hours)")).count()
 
 
+def files(path):
+    return {str(p) for p in (path / "data").rglob("*.parquet")}
+
+
+def test_bucketed_upserts_touch_their_buckets_alone(spark, tmp_path):
+    schema = "id long, kind string, n int, note string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    table = tables.BucketedTable(spark, str(tmp_path / "t"), frame([]).schema, ("id", "kind"), 16)
+    assert table.read().count() == 0
+    rows = {(i, "k"): (i, "k", i, "old") for i in range(200)} | {(None, None): (None, None, 0, "old")}
+    assert table.upsert(frame(list(rows.values())), 0)
+    before = files(tmp_path / "t")
+    new = [(7, "k", -7, "new"), (900, "k", 9, "new"), (None, None, 1, "new")]
+    assert table.upsert(frame(new), 1) and not table.upsert(frame([(7, "k", 5, "again")]), 1)
+    rows |= {r[:2]: r for r in new}
+    assert {tuple(r) for r in table.read().collect()} == set(rows.values())
+    assert before <= files(tmp_path / "t") and len({p.split("bucket=")[1].split("/")[0] for p in files(tmp_path / "t") - before}) <= 3
+    untouched = {p.split("/data/")[1] for p in before} & {p.split("/data/")[1] for p in table.read().inputFiles()}
+    assert len(untouched) >= 13  # of 16 buckets
+    assert table.upsert(frame([(8, "k", -8, "part")]), 2, ["n"]) and table.upsert(frame([]), 3) and not table.upsert(frame(new), 3)
+    assert {tuple(r) for r in table.read().where("id = 8").collect()} == {(8, "k", -8, "old")}
+    with pytest.raises(ValueError):
+        table.upsert(frame(new), -1)
+
+
+def test_bucketed_ingest_restarts_after_a_broken_batch(spark, tmp_path, monkeypatch):
+    """A batch breaks off between its data and its ledger entry: readers see the state before, the restarted stream the whole."""
+    pulls = "id long, note string, pulled_at int"
+    table = tables.BucketedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "id long, note string").schema, ("id",), 4)
+
+    def land(rows):
+        spark.createDataFrame(rows, pulls).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(pulls).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(jobs.upsert_buckets(table)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    land([(1, "a", 1), (1, "b", 2), (2, "c", 1)])
+    run()
+    land([(2, "d", 3), (3, "e", 3)])
+    with monkeypatch.context() as m:
+        m.setattr(tables.BucketedTable, "_record", broken)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert {tuple(r) for r in table.read().collect()} == {(1, "b"), (2, "c")}
+    run()
+    assert {tuple(r) for r in table.read().collect()} == {(1, "b"), (2, "d"), (3, "e")}
+
+
 def test_submission_limit_by_hand(spark):
     at = datetime(2024, 1, 1)
     seconds = [0, 1, 2, 3, 4, 5, 600, 601, 602]
