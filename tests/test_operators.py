@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import graph, match, merge, tables, venues, verify
+from marquee.operators import feed, graph, match, merge, tables, venues, verify
 from marquee.plans.testviews import view
 from marquee.schemas import NYC
 
@@ -208,6 +208,21 @@ def test_a_planted_venue_hour_of_many_listings(spark):
     assert (got.n, got.wrong) == (100_000, 0)
 
 
+def test_collapsed_shows_keep_a_few_dates(spark):
+    """Shows with many dates, repeated times, past ones only, and none: next row, count and the next three distinct dates."""
+    rng = random.Random(4)
+    rows = [("ical", t, 60 * rng.randrange(-40, n), "Hall", None, None) for t, n in (("One", 400), ("Two", 3), ("Three", -30)) for _ in range(120)]
+    table = listing(spark, rows).withColumn("start_at", F.when(F.col("id") % 50 != 0, F.col("start_at")))
+    got = {r.title: r for r in feed.collapse(table, str(T0)).collect()}
+    for title in ("One", "Two", "Three"):
+        mine = [(T0 + timedelta(minutes=m), i) for i, (_, t, m, *_) in enumerate(rows, 1) if t == title and i % 50]
+        missing = sum(t == title and i % 50 == 0 for i, (_, t, *_) in enumerate(rows, 1))
+        ahead = sorted(x for x in mine if x[0] >= T0)
+        assert got[title].id == (ahead[0] if ahead else max(mine))[1]
+        assert got[title].occurrences == (len(ahead) or len(mine) + missing)
+        assert got[title].next_dates == sorted({x[0] for x in ahead})[1:4]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
