@@ -105,6 +105,30 @@ def test_bucketed_ingest_restarts_after_a_broken_batch(spark, tmp_path, monkeypa
     assert {tuple(r) for r in table.read().collect()} == {(1, "b"), (2, "d"), (3, "e")}
 
 
+def test_submission_limit_as_a_stream(spark, tmp_path):
+    """Three runs from one checkpoint, a micro-batch each, give what the batch form gives of all calls.
+
+    Timers by processing time ask for a next batch without end, so batches without data are off here.
+    """
+    at, schema = datetime(2024, 1, 1), "request_id long, ts timestamp, client_ip string"
+    calls = [[(100 * k + i, at + timedelta(seconds=300 * k + i), f"c{i % 2}") for i in range(12)] for k in range(3)]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for rows in calls:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = jobs.limited_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            q = stream.writeStream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            try:
+                assert q.awaitTermination(60)
+            finally:
+                q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.request_id, r.allowed) for r in jobs.limited(spark.createDataFrame([r for rows in calls for r in rows], schema)).collect()}
+    assert got == want and len({a for _, a in got}) == 2
+
+
 def test_submission_limit_by_hand(spark):
     at = datetime(2024, 1, 1)
     seconds = [0, 1, 2, 3, 4, 5, 600, 601, 602]
