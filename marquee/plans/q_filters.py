@@ -150,7 +150,10 @@ def sim(a, b):
     return f"({both} / greatest(len({_grams(a)}) + len({_grams(b)}) - {both}, 1.0))"
 
 
-@query("v18_search", f"SELECT id, round(greatest({sim('title', chr(39) + 'green lace' + chr(39))}, {sim('venue_name', chr(39) + 'green lace' + chr(39))}), 6) AS relevance FROM listings_v WHERE greatest({sim('title', chr(39) + 'green lace' + chr(39))}, {sim('venue_name', chr(39) + 'green lace' + chr(39))}) > 0.1 OR title ILIKE '%green lace%' OR venue_name ILIKE '%green lace%'")
+_SEARCH = f"SELECT id, round(greatest({sim('title', chr(39) + 'green lace' + chr(39))}, {sim('venue_name', chr(39) + 'green lace' + chr(39))}), 6) AS relevance FROM listings_v WHERE greatest({sim('title', chr(39) + 'green lace' + chr(39))}, {sim('venue_name', chr(39) + 'green lace' + chr(39))}) > 0.1 OR title ILIKE '%green lace%' OR venue_name ILIKE '%green lace%'"
+
+
+@query("v18_search", _SEARCH)
 def v18(spark, sf_dir):
     from ..operators.feed import relevance, search_matches
 
@@ -158,6 +161,15 @@ def v18(spark, sf_dir):
     return rows.where(search_matches("green lace")).select("id", F.round(relevance("green lace"), 6).alias("relevance"))
 
 
+@query("v18_indexed_search", _SEARCH)
+def v18_indexed(spark, sf_dir):
+    """The same through a stored index of postings."""
+    from ..operators.search import SearchIndex
+
+    index = SearchIndex.build(view(spark, sf_dir, "listings_v"), f"{shared_root(spark)}/search-{uuid.uuid4().hex}")
+    return index.search("green lace").select("id", F.round("relevance", 6).alias("relevance"))
+
+
 @query("v19_admin_filter", f"SELECT id FROM listings_v WHERE status IN ('active', 'draft') AND source_type = 'ical' AND start_at BETWEEN {NOW} AND {NOW} + INTERVAL 7 DAY AND title ILIKE '%a%'")
 def v19(spark, sf_dir):
     week = F.col("start_at").between(dates.at(AS_OF), dates.at(AS_OF) + dates.hours(168))
