@@ -17,6 +17,7 @@ from ..operators.tables import BucketedTable, latest, upsert
 
 WINDOW_SECONDS, MOST_IN_WINDOW = 600, 5
 DEFAULT_LIMIT = 100
+DAY_SECONDS = 86_400
 
 
 # T1: landed payload files
@@ -76,6 +77,54 @@ def judged_calls(calls: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("request_id", F.when(~known, "unauthorized").when(F.col("n") > F.coalesce("call_limit", F.lit(DEFAULT_LIMIT)), "blocked").otherwise("ok").alias("verdict"))
 
 
+class CallLimit(StatefulProcessor):
+    """How many calls of a key and UTC day were let through; a timer at the day's end drops the count.
+
+    Of a trigger's calls those that may still pass are held, the first ones in (ts, request_id) order and as many as the limit
+    leaves; the others are blocked as they come. So a key with any number of calls takes a batch and its limit of memory.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "calls int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed = self.passed.get()[0] if self.passed.exists() else 0
+        held = None
+        for part in rows:
+            part = part[["ts", "request_id", "call_limit"]]
+            part = (part if held is None else pd.concat([held, part])).sort_values(["ts", "request_id"])
+            left = max(0, int(part.call_limit.iloc[0]) - passed)
+            held = part[:left]
+            yield pd.DataFrame({"request_id": part.request_id[left:], "verdict": "blocked"})
+        self.passed.update((passed + len(held),))
+        if key[1] is not None:
+            self.handle.registerTimer((int(key[1]) + 1) * DAY_SECONDS * 1000)
+        yield pd.DataFrame({"request_id": held.request_id, "verdict": "ok"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.passed.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def judged_stream(calls: DataFrame, keys: DataFrame, late: str = "1 hour") -> DataFrame:
+    """`judged_calls` of a stream of calls(request_id, ts timestamp, api_key): each call is judged as its trigger comes.
+
+    Equal to the batch form where triggers come in the order of ts. A call that comes more than `late` behind the latest one is
+    dropped; calls without a time count as one day that never ends. Calls of unknown and inactive keys are judged without
+    state. Needs the RocksDB state store.
+    """
+    on_workers(calls.sparkSession)
+    known = F.coalesce("is_active", F.lit(False))
+    rows = calls.withWatermark("ts", late).join(keys.select("api_key", "call_limit", "is_active"), "api_key", "left")
+    limited = rows.where(known).select("request_id", "ts", "api_key", F.coalesce("call_limit", F.lit(DEFAULT_LIMIT)).alias("call_limit"), F.floor(F.unix_seconds("ts") / DAY_SECONDS).alias("day"))
+    judged = limited.groupBy("api_key", "day").transformWithStateInPandas(CallLimit(), "request_id long, verdict string", "Append", "EventTime")
+    return judged.union(rows.where(~known).select("request_id", F.lit("unauthorized")))
+
+
 # T4: submissions of a client
 
 

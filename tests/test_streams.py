@@ -135,3 +135,58 @@ def test_submission_limit_by_hand(spark):
     calls = spark.createDataFrame([(i, at + timedelta(seconds=s), "c") for i, s in enumerate(seconds)] + [(99, at, None)], "request_id long, ts timestamp, client_ip string")
     got = {r.request_id: r.allowed for r in jobs.limited(calls).collect()}
     assert [got[i] for i in range(9)] == [True] * 5 + [False, False, True, True] and got[99]
+
+
+def test_calls_are_judged_as_a_stream(spark, tmp_path):
+    """Three runs from one checkpoint over two days equal the batch form; counts of days gone by are dropped."""
+    at, schema = datetime(2024, 1, 1, 12), "request_id long, ts timestamp, api_key string"
+    keys = spark.createDataFrame([("a", 3, True), ("b", 0, True), ("c", None, True), ("d", 5, False)], "api_key string, call_limit int, is_active boolean")
+    runs = [[(1000 * k + i, at + timedelta(hours=8 * (k // 2) + 24 * (k // 2) + 3 * (k % 2), seconds=30 * (i // 2)), "abcde"[i % 5] if i % 11 else None) for i in range(60 if k else 600)] for k in range(4)]
+    for rows in (runs[0], runs[1], runs[2] + runs[3]):
+        spark.createDataFrame(rows[::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.judged_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), keys)
+        q = stream.writeStream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(120)
+        finally:
+            q.stop()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    calls = spark.createDataFrame([r for rows in runs for r in rows], schema)
+    want = {(r.request_id, r.verdict) for r in jobs.judged_calls(calls, keys).collect()}
+    assert len(got) == len(want) and set(got) == want and {v for _, v in got} == {"ok", "blocked", "unauthorized"}
+    state = spark.read.format("statestore").option("stateVarName", "passed").load(str(tmp_path / "c"))
+    first = at.timestamp() // 86400
+    assert {r.key.day for r in state.select("key").collect()} == {first + 1}
+
+
+def test_judging_holds_no_more_than_the_limit():
+    """Parts of a trigger in any order: the first calls by (ts, request_id) pass, over all parts and triggers."""
+    import pandas as pd
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    class Handle:
+        timers: list = []
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    limit = jobs.CallLimit()
+    limit.init(Handle())
+    part = lambda rows: pd.DataFrame([(t, i, 3) for t, i in rows], columns=["ts", "request_id", "call_limit"])
+    said = lambda parts: {i: v for out in limit.handleInputRows(("k", 2), iter(parts), None) for i, v in zip(out.request_id, out.verdict, strict=True)}
+    assert said([part([(5, 1), (1, 9)]), part([(1, 8), (7, 2)])]) == {8: "ok", 9: "ok", 1: "ok", 2: "blocked"}
+    assert said([part([(8, 3)])]) == {3: "blocked"} and Handle.timers == [3 * 86_400_000] * 2
