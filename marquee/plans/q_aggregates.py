@@ -9,6 +9,7 @@ from ..functions import dates
 from ..operators import audit, feed
 from ..schemas import FeedQuery
 from .q_filters import BOX, LIVE, NOW, listings, sim
+from .q_match import WALK
 from .registry import query
 from .testviews import AS_OF, view
 
@@ -174,7 +175,13 @@ def q6(spark, sf_dir):
     return checked(spark, sf_dir)
 
 
-@query("q7_page_verification")
+_OFF = "(?i)\\bcancelled\\s+(mon|tue|wed|thu|fri|sat|sun)|\\bthis\\s+event\\s+has\\s+been\\s+cancell?ed\\b|\\bevent\\s+cancelled\\b|\\bthis\\s+program\\s+has\\s+been\\s+cancell?ed\\b"
+_PAGE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')"
+
+
+@query("q7_page_verification", f"""WITH x AS (SELECT p.page_id AS event_id, p.page_id % 11 = 0 AS gone, p.page_id % 11 <> 0 AND regexp_matches({_PAGE}, '{_OFF}') AS said, b.quality = 1 AS confirmed, b.doc_id IS NOT NULL AS judged, coalesce(v.coord_delta_meters > 500, FALSE) AS far, v.coord_delta_meters AS delta FROM pages p JOIN listings_v l ON l.id = p.page_id LEFT JOIN labels b ON b.doc_id = p.page_id LEFT JOIN verification_v v ON v.event_id = p.page_id),
+y AS (SELECT *, gone OR (NOT said AND confirmed IS NULL) AS skipped FROM x), z AS (SELECT *, said OR (NOT skipped AND NOT coalesce(confirmed, TRUE)) AS flagged FROM y)
+SELECT event_id, CASE WHEN flagged AND far THEN 'flagged_both' WHEN flagged THEN 'flagged_content' WHEN far THEN 'flagged_coordinates' WHEN skipped THEN 'skipped' ELSE 'verified' END AS status, gone OR said AS expire, concat_ws(' | ', CASE WHEN gone THEN 'page not found' WHEN said THEN 'page says cancelled' WHEN judged THEN 'seen' END, CASE WHEN far THEN concat(CAST(round(delta) AS BIGINT), ' m off') END) AS reason FROM z""")
 def q7(spark, sf_dir):
     from ..operators.verify import verify_pages
 
@@ -221,7 +228,10 @@ def d3(spark, sf_dir):
     return rows.select("id", "start_at", "occurrences", F.size("next_dates").alias("n_next"), nth(0).alias("next1"), nth(2).alias("next3"))
 
 
-@query("o1_feed")
+@query("o1_feed", f"""WITH RECURSIVE {WALK % (LIVE + ' AND lat BETWEEN 40.5 AND 40.8 AND lng BETWEEN -74.3 AND -73.6', 'TRUE')}, g AS (SELECT *, {_SHOW} AS skey, {_PLACE} AS place FROM member WHERE shown = id),
+f AS (SELECT skey, place, min_by(id, (start_at, id)) AS id, min(start_at) AS start_at, count(*) AS n FROM g WHERE start_at >= {NOW} GROUP BY ALL), l AS (SELECT skey, place, max_by(id, (start_at, id)) AS id, count(*) AS n FROM g GROUP BY ALL),
+later AS (SELECT skey, place, count(DISTINCT g.start_at) AS n FROM g JOIN f USING (skey, place) WHERE g.start_at > f.start_at GROUP BY ALL)
+SELECT g.id, g.title, g.venue_name, g.start_at, coalesce(f.n, l.n) AS occurrences, CAST(least(coalesce(later.n, 0), 3) AS INTEGER) AS n_next FROM l LEFT JOIN f USING (skey, place) LEFT JOIN later USING (skey, place) JOIN g ON g.id = coalesce(f.id, l.id) ORDER BY g.start_at, g.id LIMIT 100""")
 def o1(spark, sf_dir):
     q = FeedQuery(as_of=AS_OF, box=(40.5, 40.8, -74.3, -73.6), limit=100)
     return feed.feed(listings(spark, sf_dir), q).select("id", "title", "venue_name", "start_at", "occurrences", F.size("next_dates").alias("n_next"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import match, merge, tables, venues
-from .q_filters import _GENERIC, BOX, listings, sim
+from .q_filters import _GENERIC, BOX, LIVE, listings, sim
 from .q_scalars import _venue_token_sql
 from .registry import query
 from .testviews import view
@@ -114,7 +114,19 @@ def d1_counts(spark, sf_dir):
     return d1(spark, sf_dir).select("id", "tickets", "sources", "promoted")
 
 
-@query("d2_query_time_dedup")
+#: Greedy groups by a walk over all rows that match any, in order: grp holds the groups whose shown row is within two hours.
+#: To be formatted with the rows' condition and a further one of pairs.
+WALK = f"""shows AS MATERIALIZED (SELECT *, {_KEY.format('title')} AS tk, {_KEY.format('venue_name')} AS k, CAST(floor(epoch(start_at) / 7200) AS BIGINT) AS h FROM listings_v WHERE %s),
+same AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM shows AS a JOIN (SELECT *, unnest([h - 1, h, h + 1]) AS near FROM shows) AS b ON a.h = b.near AND (a.start_at < b.start_at OR (a.start_at = b.start_at AND a.id < b.id)) AND b.start_at <= a.start_at + INTERVAL 2 HOUR AND (contains(a.tk, b.tk) OR contains(b.tk, a.tk)) AND (contains(a.k, b.k) OR contains(b.k, a.k) OR coalesce({_MI} <= 0.1, FALSE)) AND %s),
+q AS MATERIALIZED (SELECT s.id, s.start_at, coalesce(s.confidence_score, 1.0) AS score, coalesce(e.earlier, []) AS earlier, row_number() OVER (ORDER BY s.start_at, s.id) AS k FROM shows AS s LEFT JOIN (SELECT b AS id, list(a) AS earlier FROM same GROUP BY b) AS e USING (id) WHERE s.id IN (SELECT a FROM same UNION SELECT b FROM same)),
+w(k, grp, num, shown) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(num BIGINT, shown BIGINT, score DOUBLE, start TIMESTAMP)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+SELECT k, CASE WHEN home IS NULL THEN list_append(near, own) ELSE list_transform(near, lambda g: CASE WHEN g.num = home.num AND score > g.score THEN struct_pack(num := g.num, shown := id, score := score, start := start_at) ELSE g END) END, coalesce(home.num, k), CASE WHEN home IS NULL OR score > home.score THEN id ELSE home.shown END
+FROM (SELECT *, list_filter(near, lambda g: list_contains(earlier, g.shown))[1] AS home, struct_pack(num := k, shown := id, score := score, start := start_at) AS own FROM (SELECT q.*, list_filter(w.grp, lambda g: g.start >= q.start_at - INTERVAL 2 HOUR) AS near FROM w JOIN q ON q.k = w.k + 1))),
+placed AS (SELECT q.id, x.shown FROM w JOIN q USING (k) JOIN (SELECT num, arg_max(shown, k) AS shown FROM w GROUP BY num) AS x USING (num)),
+member AS MATERIALIZED (SELECT s.*, coalesce(p.shown, s.id) AS shown FROM shows AS s LEFT JOIN placed AS p USING (id))"""
+
+
+@query("d2_query_time_dedup", f"WITH RECURSIVE {WALK % (LIVE, 'TRUE')} SELECT id, title, confidence_score FROM member WHERE shown = id")
 def d2(spark, sf_dir):
     from ..functions.dates import live
     from .testviews import AS_OF
@@ -122,7 +134,7 @@ def d2(spark, sf_dir):
     return merge.deduplicate(listings(spark, sf_dir).where(live(AS_OF))).select("id", "title", "confidence_score")
 
 
-@query("d2_united_tickets")
+@query("d2_united_tickets", f"WITH RECURSIVE {WALK % (LIVE, 'TRUE')}, t AS (SELECT shown, arg_min(coalesce(nullif(platform, ''), 'Unknown'), (start_at, id)) AS platform, min((start_at, id)) AS first_at FROM member GROUP BY shown, lower(coalesce(nullif(platform, ''), 'Unknown'))) SELECT shown AS id, CAST(count(*) AS INTEGER) AS tickets, string_agg(platform, ',' ORDER BY first_at) AS platforms FROM t GROUP BY shown")
 def d2_tickets(spark, sf_dir):
     from ..functions.dates import live
     from .testviews import AS_OF
@@ -131,7 +143,7 @@ def d2_tickets(spark, sf_dir):
     return out.select("id", F.size("ticket_sources").alias("tickets"), F.array_join(F.transform("ticket_sources", lambda t: t["platform"]), ",").alias("platforms"))
 
 
-@query("j14_comparison")
+@query("j14_comparison", f"WITH RECURSIVE {WALK % (chr(39).join(['status = ', 'active', '']), 'CAST(a.start_at AS DATE) = CAST(b.start_at AS DATE)')}, g AS (SELECT shown, min((start_at, id)) AS first, count(DISTINCT lower(coalesce(platform, 'unknown'))) AS tickets FROM member GROUP BY shown), n AS (SELECT id, shown, CAST(start_at AS DATE) AS day, lower(title) AS t, lower(venue_name) AS v FROM member), best AS (SELECT n.day, n.t, n.v, arg_min(struct_pack(shown := g.shown, tickets := g.tickets), g.first) AS g FROM n JOIN g ON g.shown = n.id WHERE n.id = n.shown GROUP BY ALL) SELECT n.id, coalesce(best.g.shown, n.id) AS shown, CAST(coalesce(best.g.tickets, 1) AS INTEGER) AS tickets FROM n LEFT JOIN best USING (day, t, v)")
 def j14_comparison(spark, sf_dir):
     out = merge.same_day_comparison(listings(spark, sf_dir))
     return out.select("id", "shown", F.size("tickets").alias("tickets"))

@@ -196,9 +196,21 @@ def c3(spark, sf_dir):
     return rows.select("id", classify.classify(taxonomy, F.col("title"), F.concat_ws(" ", "description", phrase), F.col("verdict")).alias("category"))
 
 
-@query("c4_reclean")
+_CLEAN = "array_to_string(list_transform(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda w: CASE WHEN upper(w) IN ('LIVE', 'NYC') THEN upper(w) WHEN regexp_full_match(w, '[A-Z]{2,}') THEN w ELSE concat(upper(w[1]), lower(w[2:])) END), ' ')"
+
+
+@query("c4_reclean", f"SELECT CAST(count_if({_CLEAN} <> title) AS BIGINT) AS titles, CAST(count_if(category = 'other' AND coalesce({_KEYWORD_SQL}, 'other') <> 'other') AS BIGINT) AS categories FROM (SELECT *, concat(title, ' ', coalesce(description, '')) AS t FROM listings_v)")
 def c4(spark, sf_dir):
     rows = listings(spark, sf_dir)
     new = text.clean_title(F.col("title"))
     category = F.when(F.col("category").isNull() | (F.col("category") == "other"), classify.from_keywords(F.col("title"), F.col("description"))).otherwise(F.col("category"))
     return rows.agg(F.count_if(~new.eqNullSafe(F.col("title"))).alias("titles"), F.count_if(F.coalesce(category, F.lit("other")) != F.coalesce("category", F.lit("other"))).alias("categories"))
+
+
+@query("c4_recleaned_rows", f"SELECT id, {_CLEAN} AS title, CASE WHEN category = 'other' THEN coalesce({_KEYWORD_SQL}, 'other') ELSE category END AS category FROM (SELECT *, concat(title, ' ', coalesce(description, '')) AS t FROM listings_v)")
+def c4_rows(spark, sf_dir):
+    """The rows as the backfill leaves them."""
+    rows = listings(spark, sf_dir)
+    found = F.coalesce(classify.from_keywords(F.col("title"), F.col("description")), F.lit("other"))
+    category = F.when(F.coalesce("category", F.lit("other")) == "other", found).otherwise(F.col("category"))
+    return rows.select("id", F.coalesce(text.clean_title(F.col("title")), F.col("title")).alias("title"), category.alias("category"))
