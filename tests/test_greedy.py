@@ -1,6 +1,7 @@
 """Greedy passes as rounds and walks against the loops that they stand for."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,18 @@ def test_new_venues_take_later_names_and_addresses_out_of_the_city(spark):
     asked = spark.createDataFrame([("Far Away Annex", None, None, "1 Main St, Hoboken, NJ"), ("Far Away Too", None, None, "1 Main St, New York")], "name string, lat double, lng double, address string")
     geo = spark.createDataFrame([("Far Away Annex", 40.80, -73.95), ("Far Away Too", 40.80, -73.95)], "name string, lat double, lng double")
     assert {r.name: r.matched_by for r in venues.resolve(asked, known, none, geo).collect()} == {"Far Away Annex": "created", "Far Away Too": "proximity"}
+
+
+@pytest.mark.parametrize("most", [3, 40, 2000])
+def test_busy_cells_give_the_same_pairs(spark, most):
+    """One venue, and venues like it, full within two hours: met in squares or whole, the pairs are those of all against all."""
+    rng = random.Random(7)
+    titles = ["Jazz Night", "Jazz Night Late", "Open Mic", "Mic", "!!!", "Trio"]
+    at = datetime(2024, 2, 1, 20)
+    rows = [(i, at + timedelta(minutes=rng.randrange(400)), rng.choice(["Hall", "Hall", "The Hall", "Hallway Bar", "Attic"]), rng.choice(titles)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, start_at timestamp_ntz, venue_name string, title string").selectExpr("*", "cast(null as double) lat", "cast(null as double) lng")
+    key = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    alike = lambda x, y: key(x) in key(y) or key(y) in key(x)
+    want = {(a[0], b[0]) for a in rows for b in rows if (a[1], a[0]) < (b[1], b[0]) and b[1] - a[1] <= timedelta(hours=2) and alike(a[2], b[2]) and alike(a[3], b[3])}
+    got = [tuple(r) for r in merge.same_show_pairs(df, most=most).collect()]
+    assert len(got) == len(want) and set(got) == want
