@@ -20,19 +20,13 @@ from pyspark.sql import functions as F
 
 from .arrow import kept_for_stage, map_batches
 from .textvec import BASE, INVERSE, U64, Pieces, _power, mix, sums_by_text
-from .tokenizer import load, special_string, values_by_text
+from .tokenizer import byte_symbols, load, special_string, values_by_text
 
 NEVER = np.int64(1) << 40
 MOST_PIECES = 700_000  # that a worker remembers
 SHORT = 64  # bytes of a word that the vectorised forms take; longer ones are merged alone
 
 
-def byte_symbols() -> dict[str, int]:
-    """The published byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
-
-
 class Merges:
     """A vocabulary's merges as arrays by token id: rank (-1 for a byte), left and right part, bytes."""
 

@@ -173,8 +173,7 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.keys = np.empty(0, dtype=U64)
-        self.row = np.empty(0, dtype=np.int64)
+        self.key, self.slot = np.empty(1024, dtype=U64), np.full(2048, -1, dtype=np.int32)  # key of each row; rows by key, open addressing
         self.flat, self.used = np.empty(1024, dtype=self.dtype), 0
         self.offset, self.count, self.rows = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
 
@@ -184,28 +183,49 @@ class Pieces:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.rows + len(n) > len(self.offset):
-            self.offset, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.count))
+            self.key, self.offset, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key, self.offset, self.count))
         self.flat[self.used : self.used + len(flat)] = flat
         new = np.arange(self.rows, self.rows + len(n))
         self.offset[new] = self.used + np.cumsum(n) - n
         self.count[new] = n
         self.used += len(flat)
+        self.key[new] = keys
         self.rows += len(n)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.row = np.insert(self.row, at, new[order])
+        if 2 * self.rows > len(self.slot):
+            self.slot = np.full(2 * len(self.key), -1, dtype=np.int32)
+            self._place(np.arange(self.rows))
+        else:
+            self._place(new)
         return new
 
+    def _place(self, rows: np.ndarray) -> None:
+        """Give each of these rows, whose keys differ, the first free slot from its key on."""
+        mask = len(self.slot) - 1
+        at = (self.key[rows] & U64(mask)).astype(np.int64)
+        while len(rows):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = rows[free]
+            lost = self.slot[at] != rows
+            rows, at = rows[lost], (at[lost] + 1) & mask
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        mask = len(self.slot) - 1
+        out, left, at = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), (keys & U64(mask)).astype(np.int64)
+        while len(left):
+            row = self.slot[at]
+            taken = row >= 0
+            left, at, row = left[taken], at[taken], row[taken]
+            other = self.key[row] != keys[left]
+            out[left[~other]] = row[~other]
+            left, at = left[other], (at[other] + 1) & mask
+        return out
+
     def _rows(self, keys: np.ndarray, fetch) -> np.ndarray:
         codes, distinct = pd.factorize(keys)
-        at = np.searchsorted(self.keys, distinct)
-        found = at < len(self.keys)
-        found[found] = self.keys[at[found]] == distinct[found]
-        rows = np.empty(len(distinct), dtype=np.int64)
-        rows[found] = self.row[at[found]]
-        if not found.all():
-            missing = np.flatnonzero(~found)
+        rows = self._find(distinct)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
             first = np.empty(len(distinct), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             rows[missing] = self._add(distinct[missing], fetch(first[missing]))

@@ -28,10 +28,24 @@ def special_string(tokenizer) -> str | None:
     return found[0] if found else None
 
 
+def byte_symbols() -> dict[str, int]:
+    """The published byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(own))}
+
+
 @kept_for_stage
 def library_pieces(path: str) -> Pieces:
     """Pieces whose values are the ids that the library gives them."""
-    t = load(path)
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    t, by_letters = load(path), load(path)
+    # Pieces are split already, and no letter of the byte-level alphabet is a blank: spelled in it, with blanks between
+    # them, they need neither the library's split nor its spelling, which cost more than its merges.
+    by_letters.pre_tokenizer = WhitespaceSplit()
+    letter = np.empty(256, dtype="<u2")
+    for c, b in byte_symbols().items():
+        letter[b] = ord(c)
     n_bytes = np.zeros(t.get_vocab_size(), dtype=np.int64)
     for token, i in t.get_vocab().items():
         n_bytes[i] = len(token)  # the byte-level alphabet has a letter for each byte
@@ -40,27 +54,19 @@ def library_pieces(path: str) -> Pieces:
         ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64)
 
-    def together(pieces: list[str]):
-        """Pieces that each start with one blank, encoded as one text: it splits before each blank again."""
-        ids = np.array(t.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def learn(pieces: list[str]):
+        raw = np.frombuffer("".join(pieces).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        points = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        want = points[np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))]  # bytes up to each piece's end
+        spelled = np.full(len(raw) + len(pieces), ord(" "), dtype="<u2")
+        spelled[np.arange(len(raw)) + np.repeat(np.arange(len(pieces)), np.diff(want, prepend=0))] = letter[raw]
+        ids = np.array(by_letters.encode_batch_fast([spelled.tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, dtype=np.uint32)
         ends = np.cumsum(n_bytes[ids])
-        want = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
         at = np.searchsorted(ends, want)
         if len(ends) == 0 or ends[-1] != want[-1] or (ends[at] != want).any():
             return apart(pieces)
         return ids, np.diff(at, prepend=-1)
 
-    def learn(pieces: list[str]):
-        blank = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces])
-        flat, n = np.empty(0, np.uint32), np.zeros(len(pieces), np.int64)
-        first = np.zeros(len(pieces), np.int64)
-        for of, encode in ((np.flatnonzero(blank), together), (np.flatnonzero(~blank), apart)):
-            if len(of):
-                ids, n[of] = encode([pieces[i] for i in of])
-                first[of] = len(flat) + np.cumsum(n[of]) - n[of]
-                flat = np.concatenate([flat, ids])
-        return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
-
     return Pieces(t, learn, np.uint32, special_string(t))
 
 

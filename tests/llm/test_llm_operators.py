@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from marquee.llm import bpe, decontaminate, fertility, jaccard_join, langid_ppm, pii, quality_cnn, queries, stages, token_counts, token_output, toxicity_cnn, training  # noqa: E402
+from marquee.llm import bpe, decontaminate, fertility, jaccard_join, langid_ppm, pii, quality_cnn, queries, stages, token_counts, token_output, tokenizer, toxicity_cnn, training  # noqa: E402
+from marquee.llm.textvec import Pieces  # noqa: E402
 from marquee.llm.tokenizer import library_pieces, load, values_by_text  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,6 +83,40 @@ def test_op1_code_lengths_are_bounded_and_complete(limit):
     assert (coder.decode(payload, start, n) == ids).all()
 
 
+def test_op1_new_pieces_reach_the_library_as_one_text_that_it_need_not_split(monkeypatch):
+    seen = []
+
+    class Watched:
+        def __init__(self, path):
+            self.__dict__["inner"] = load(path)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.append((len(texts), type(self.inner.pre_tokenizer).__name__))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(tokenizer, "load", Watched)
+    pieces = [" erpföie", "Tiedha", " 日本", "82", "\n", "   ", "'s", " \x00", "🎉", "<|endoftext|>", " ...", "x" * 300]
+    ids, n = library_pieces.__wrapped__(BPE).learn(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [encoded(p) for p in pieces]
+    assert seen == [(1, "WhitespaceSplit")]
+
+
+def test_op1_piece_table_keeps_apart_keys_that_share_slots():
+    rng = np.random.default_rng(3)
+    table = Pieces(None, lambda pieces: (np.array([int(p) for p in pieces], np.int64), np.ones(len(pieces), np.int64)), np.int64, None)
+    keys = np.unique(np.concatenate([rng.integers(0, 9000, 6000).astype(np.uint64) << np.uint64(40), np.arange(3000, dtype=np.uint64), rng.integers(0, 1 << 63, 6000).astype(np.uint64)]))
+    for _ in range(30):
+        some = rng.choice(keys, 1000)
+        assert (table.gather(table._rows(some, lambda at, k=some: [str(x) for x in k[at]])) == some.astype(np.int64)).all()
+    assert table.rows == len(np.unique(table.key[: table.rows])) and 2 * table.rows <= len(table.slot)
+
+
 def base_spans(t):
     out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
