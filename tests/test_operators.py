@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -175,6 +176,34 @@ def test_candidates_of_shows_that_recur_and_of_others(spark):
         assert want and got == want
 
 
+@pytest.mark.parametrize("order", ["forwards", "backwards", "mixed"])
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_best_candidates_are_the_first_of_all(spark, most, order):
+    """Ties by id, times at the limit and buckets beside, with ids along the times, against them and at random."""
+    rng = random.Random(most)
+    titles = ["jazz night", "jazz night live", "jazz nights", "moon", "!!"]
+    rows = sorted((30 * rng.randrange(-40, 60), rng.choice(titles)) for _ in range(220))
+    rows = {"forwards": rows, "backwards": rows[::-1], "mixed": rng.sample(rows, len(rows))}[order]
+    got = [(r.id, r.candidate) for r in match.duplicate_candidates(listing(spark, [("ical", t, m, "Hall", None, None) for m, t in rows]), most=most).orderBy("id", F.desc("similarity"), "candidate").collect()]
+    grams = lambda x: {p[i : i + 3] for w in re.findall(r"[a-z0-9]+", x) for p in [f"  {w} "] for i in range(len(p) - 2)}
+    alike = {(t, u): len(grams(t) & grams(u)) / max(len(grams(t) | grams(u)), 1) for t in titles for u in titles}
+    want = []
+    for i, (m, t) in enumerate(rows, 1):
+        near = sorted((-alike[t, u], j) for j, (n, u) in enumerate(rows, 1) if i != j and abs(m - n) <= 240 and alike[t, u] > 0.3)
+        want += [(i, j) for _, j in near[:most]]
+    assert want and got == want
+
+
+def test_candidates_of_one_title_do_not_all_meet(spark):
+    """40,000 listings of one title and evening have 1.6 billion pairs."""
+    ids = spark.range(1, 40_001)
+    at = F.timestamp_micros(F.lit(1_706_817_600_000_000) + F.pmod(F.col("id") * 7919, F.lit(14_400)) * 1_000_000)
+    rows = ids.select("id", F.lit("jazz night").alias("title"), at.cast("timestamp_ntz").alias("start_at"), F.lit("active").alias("status"))
+    began = time.monotonic()
+    got = match.duplicate_candidates(rows, most=2).groupBy("candidate").count().collect()
+    assert {r.candidate: r["count"] for r in got} == {1: 39_999, 2: 39_999, 3: 2} and time.monotonic() - began < 100
+
+
 @pytest.mark.parametrize("most", [1, 40])
 def test_heavy_venue_hours_give_the_same_pairs(spark, most):
     """A busy venue and hour, by id and by name, met through titles' rarest tokens and in squares."""
