@@ -204,6 +204,45 @@ def test_candidates_of_one_title_do_not_all_meet(spark):
     assert {r.candidate: r["count"] for r in got} == {1: 39_999, 2: 39_999, 3: 2} and time.monotonic() - began < 100
 
 
+def test_many_venues_of_one_place_have_few_links(spark):
+    """1,500 names at one place and 1,500 places of one name are 4.5 million pairs of venues, but few links."""
+    one = spark.range(1500).select(F.concat(F.lit("Room "), F.col("id") + 100_000).alias("venue_name"), F.lit(40.7).alias("lat"), F.lit(-73.9).alias("lng"))
+    other = spark.range(1500).select(F.lit("Park"), F.lit(40.5) + F.col("id") / 100, F.lit(-73.5))
+    v = match.placed(one.unionAll(other))
+    links = match.venue_links(v)
+    assert links.count() == links.distinct().count() == 1502
+    last = links.join(v.where("venue_name = 'Park'").select(F.inline("spots")).where("named").distinct().toDF("spot_a", "named"), "spot_a").select("spot_a", "spot_b").collect()
+    assert len(last) == 1 and last[0].spot_a == last[0].spot_b
+
+
+def test_names_and_places_give_each_pair_once(spark):
+    """Listings of one name near and far, without a place, and of other names, against all pairs."""
+    from marquee.functions.geo import haversine
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["ical", "rss", "dice_scrape"]), "Jazz Night", rng.randrange(60), rng.choice(["Hall", "The Hall", "Long Hall 100", "Hall 1", "!", "", None, "B"]), rng.choice([None, 40.7, 40.7007, 40.7018, 40.71]), None) for _ in range(120)]
+    rows = listing(spark, rows)
+    key = F.regexp_replace(F.lower(F.coalesce("venue_name", F.lit(""))), "[^a-z0-9]", "")
+    v = rows.select("id", "source_type", "start_at", key.alias("k"), "lat", "lng")
+    both = v.toDF(*(f"{c}_a" for c in v.columns)).crossJoin(v.toDF(*(f"{c}_b" for c in v.columns)))
+    named = F.expr("k_a <> '' and k_b <> '' and (contains(k_a, k_b) or contains(k_b, k_a))")
+    near = F.coalesce(haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"), 3958.8) <= 0.1, F.lit(False))
+    close = F.expr("abs(unix_micros(cast(start_at_a as timestamp)) - unix_micros(cast(start_at_b as timestamp))) <= 1800000000 and id_a <> id_b")
+    venue = both.where(close & (named | near))
+    want = sorted((r.id_a, r.id_b) for r in venue.where("source_type_a <> source_type_b").collect())
+    assert want and sorted((r.a, r.b) for r in match.cross_platform_pairs(rows).collect()) == want
+    want = sorted((r.id_a, r.id_b) for r in both.where(F.expr("(start_at_a, id_a) < (start_at_b, id_b)") & (named | near)).collect())
+    assert sorted((r.a, r.b) for r in merge.same_show_pairs(rows).collect()) == want
+
+
+def test_large_tables_are_not_broadcast(spark):
+    """A table of few values is small in files, whatever its rows take in memory."""
+    big = graph.checkpointed(spark.range(graph.SMALL + 1).select((F.col("id") % 10).alias("k"), F.lit(1).alias("x")))
+    few = graph.checkpointed(spark.range(10).select(F.col("id").alias("k")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(few.join(big, "k")) and "BroadcastExchange" in plan(few.join(few.withColumn("y", F.lit(1)), "k"))
+
+
 @pytest.mark.parametrize("most", [1, 40])
 def test_heavy_venue_hours_give_the_same_pairs(spark, most):
     """A busy venue and hour, by id and by name, met through titles' rarest tokens and in squares."""
