@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..operators.graph import checkpointed
 from .payloads import calendar_events, calendar_field
 
 #: Zone names that some calendars write, and what they stand for.
@@ -20,6 +23,11 @@ def blank_null(x: Column) -> Column:
     return F.when(x != "", x)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for each row, however often f names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def known_zones() -> list[str]:
     """Zone names that Spark converts by."""
     return sorted(str(z) for z in SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
@@ -42,15 +50,21 @@ def _zone(params: Column, zones: list[str]) -> Column:
 
 
 def _stamp(value: Column, params: Column, zones: list[str]) -> Column:
-    wall = F.coalesce(F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(value, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
-    zone = F.when(value.endswith("Z"), "UTC").otherwise(_zone(params, zones))
-    return F.when(wall.isNotNull(), F.struct(wall.alias("wall"), zone.alias("zone"), (F.length(value) == 8).alias("all_day"))).cast(STAMP)
+    def read(x: Column) -> Column:
+        value, params = x["value"], x["params"]
+        wall = F.coalesce(F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(value, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+        zone = F.when(value.endswith("Z"), "UTC").otherwise(_zone(params, zones))
+        return bound(wall, lambda w: F.when(w.isNotNull(), F.struct(w.alias("wall"), zone.alias("zone"), (F.length(value) == 8).alias("all_day"))).cast(STAMP))
+
+    # An absent property isn't tried: a text that doesn't parse costs far more than one that does.
+    return bound(F.struct(value.alias("value"), params.alias("params")), lambda x: F.when(x["value"] != "", read(x)))
 
 
 def stamp(block: Column, name: str, zones: list[str]) -> Column:
     """A DATE or DATE-TIME property as wall time, zone, and whether it is a date; null if it is absent or can't be read."""
-    line = rf"(?m)^{name}((?:;[^:\r\n]*)?):([^\r\n]*)"
-    return _stamp(F.trim(F.regexp_extract(block, line, 2)), F.regexp_extract(block, line, 1), zones)
+    line = rf"{name}((?:;[^:\r\n]*)?):([^\r\n]*)"
+    found = F.regexp_extract(block, rf"(?m)^{line}", 0)
+    return bound(found, lambda x: _stamp(F.trim(F.regexp_extract(x, line, 2)), F.regexp_extract(x, line, 1), zones))
 
 
 def stamps(block: Column, name: str, zones: list[str]) -> Column:
@@ -66,24 +80,33 @@ def occurrences(start: Column, rule: Column, last: Column, zone: Column | None =
     Null where the rule has anything else, or an interval below 1. An UNTIL with a Z is compared in UTC.
     """
     part = lambda n: blank_null(F.regexp_extract(rule, rf"(?:^|;){n}=([^;]+)", 1))
-    asked = part("INTERVAL").try_cast("int")
-    freq, every, count = part("FREQ"), F.greatest(F.coalesce(asked, F.lit(1)), F.lit(1)), part("COUNT").try_cast("int")
-    until = F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd"))).cast("timestamp_ntz")
-    span = F.greatest(F.datediff(last, start), F.lit(0))
+    asked, until, byday = part("INTERVAL").try_cast("int"), part("UNTIL"), part("BYDAY")
+    ends = F.coalesce(F.try_to_timestamp(F.regexp_replace(until, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(until, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+    plain = (part("INTERVAL").isNull() | F.coalesce(asked >= 1, F.lit(False))) & ~rule.rlike("BYSETPOS|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYHOUR|BYMONTH|BYDAY=[^;]*[0-9]") & (byday.isNull() | (part("FREQ") == "WEEKLY"))
+    parts = F.struct(
+        start.alias("start"), last.alias("last"), (F.lit(None).cast("string") if zone is None else zone).alias("zone"), plain.alias("plain"), part("FREQ").alias("freq"), F.greatest(F.coalesce(asked, F.lit(1)), F.lit(1)).alias("every"),
+        part("COUNT").try_cast("int").alias("count"), byday.alias("byday"), ends.alias("until"), until.endswith("Z").alias("in_utc"), F.greatest(F.datediff(last, start), F.lit(0)).alias("span"),
+    )
+    return bound(parts, lambda p: _walls(p, zone is not None))
+
+
+def _walls(p: Column, zoned: bool) -> Column:
+    """The wall times of a rule's parts, each a field of p."""
+    start, every, span = p["start"], p["every"], p["span"]
     step = lambda n: F.make_dt_interval(n.cast("int"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(18,6)"))
     daily = F.transform(F.sequence(F.lit(0), (span / every).cast("int")), lambda i: start + step(i * every))
-    week_days = F.coalesce(F.split(part("BYDAY"), ","), F.array(F.get(F.array(*map(F.lit, ("SU", "MO", "TU", "WE", "TH", "FR", "SA"))), F.dayofweek(start) - 1)))
-    monday = F.weekday(start)
+    own_day = F.get(F.array(*map(F.lit, ("SU", "MO", "TU", "WE", "TH", "FR", "SA"))), F.dayofweek(start) - 1)
     number = lambda d: F.array_position(F.array(*map(F.lit, ("MO", "TU", "WE", "TH", "FR", "SA", "SU"))), d) - 1
+    # Days from the start to each weekday that is named, in the start's week.
+    offsets = F.transform(F.coalesce(F.split(p["byday"], ","), F.array(own_day)), lambda d: number(d) - F.weekday(start))
     weeks = F.sequence(F.lit(0), (span / (every * 7)).cast("int") + 1)
-    weekly = F.filter(F.array_sort(F.flatten(F.transform(weeks, lambda w: F.transform(week_days, lambda d: start + step(w * every * 7 + number(d) - monday))))), lambda t: t >= start)
+    weekly = bound(offsets, lambda o: F.filter(F.array_sort(F.flatten(F.transform(weeks, lambda w: F.transform(o, lambda d: start + step(w * every * 7 + d))))), lambda t: t >= start))
     clock = start - F.date_trunc("day", start).cast("timestamp_ntz")
     months = F.filter(F.transform(F.sequence(F.lit(0), (span / (every * 28)).cast("int") + 1), lambda m: F.add_months(start.cast("date"), m * every).cast("timestamp_ntz") + clock), lambda t: F.dayofmonth(t) == F.dayofmonth(start))
-    plain = (part("INTERVAL").isNull() | F.coalesce(asked >= 1, F.lit(False))) & ~rule.rlike("BYSETPOS|BYMONTHDAY|BYYEARDAY|BYWEEKNO|BYHOUR|BYMONTH|BYDAY=[^;]*[0-9]") & (part("BYDAY").isNull() | (freq == "WEEKLY"))
-    all_ = F.when(plain & (freq == "DAILY"), daily).when(plain & (freq == "WEEKLY"), weekly).when(plain & (freq == "MONTHLY"), months)
-    some = F.when(count.isNotNull(), F.slice(all_, 1, F.greatest(count, F.lit(1)))).otherwise(all_)
-    told = lambda t: t if zone is None else F.when(part("UNTIL").endswith("Z"), in_utc(t, zone)).otherwise(t)
-    return F.filter(some, lambda t: (t <= last) & (until.isNull() | (told(t) <= until)))
+    all_ = F.when(p["plain"] & (p["freq"] == "DAILY"), daily).when(p["plain"] & (p["freq"] == "WEEKLY"), weekly).when(p["plain"] & (p["freq"] == "MONTHLY"), months)
+    some = bound(all_, lambda a: F.when(p["count"].isNotNull(), F.slice(a, 1, F.greatest(p["count"], F.lit(1)))).otherwise(a))
+    told = lambda t: F.when(p["in_utc"], in_utc(t, p["zone"])).otherwise(t) if zoned else t
+    return F.filter(some, lambda t: (t <= p["last"]) & (p["until"].isNull() | (told(t) <= p["until"])))
 
 
 def recurrences(start: Column, rule: Column, as_of: str, days: int = DAYS) -> Column:
@@ -100,14 +123,15 @@ def events_of(texts: DataFrame) -> DataFrame:
     zones = known_zones()
     typed = F.col("content_type").rlike(CALENDAR_TYPES) if "content_type" in texts.columns else F.lit(False)
     title = F.coalesce("feed_title", calendar_field(F.col("text"), "X-WR-CALNAME"))
-    b = texts.select(F.xxhash64("feed_title", "text").alias("feed"), title.alias("feed_title"), F.explode(calendar_events(F.col("text"), typed)).alias("b"))
+    b = texts.select(F.xxhash64("feed_title", "text").alias("feed"), title.alias("feed_title"), F.explode_outer(calendar_events(F.col("text"), typed)).alias("b"))
     field = lambda n: calendar_field(F.col("b"), n)
     at = lambda n: stamp(F.col("b"), n, zones)
-    e = b.select(
-        "feed", "feed_title", "b", field("UID").alias("uid"), field("RRULE").alias("rule"), at("DTSTART").alias("s"), at("DTEND").alias("t"), at("RECURRENCE-ID").alias("replaced"), stamps(F.col("b"), "EXDATE", zones).alias("gone"),
+    parsed = F.struct(
+        field("UID").alias("uid"), field("RRULE").alias("rule"), at("DTSTART").alias("s"), at("DTEND").alias("t"), at("RECURRENCE-ID").alias("replaced"), stamps(F.col("b"), "EXDATE", zones).alias("gone"),
         F.coalesce(field("SEQUENCE").try_cast("int"), F.lit(0)).alias("sequence"), (F.upper(F.trim(F.coalesce(field("STATUS"), F.lit("")))) == "CANCELLED").alias("cancelled"),
     )
-    return e.where("s is not null and uid is not null").withColumn("lasts", utc_of(F.col("t")) - utc_of(F.col("s")))
+    # As a row's one entry, and by outer explodes, so that no filter works it out again.
+    return b.select("feed", "feed_title", "b", F.inline_outer(F.array(parsed))).where("s is not null and uid is not null").withColumn("lasts", utc_of(F.col("t")) - utc_of(F.col("s")))
 
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,10 +150,15 @@ def instances(events: DataFrame, as_of: str, days: int = DAYS) -> tuple[DataFram
     without their event count as single events, the earliest for each uid. Of equal keys the latest edit counts.
     """
     now, last = dates.at(as_of), dates.at(as_of) + dates.hours(24 * days)
-    masters = _latest(events.where("replaced is null"), ["feed", "uid"])
-    ruled = masters.where("rule is not null").withColumn("walls", occurrences(F.col("s.wall"), F.col("rule"), last + dates.hours(24), F.col("s.zone")))
+    # Written once, as is what rules come to: texts are parsed and rules run a single time, not for each of the joins below.
+    events = checkpointed(events)
+    walls = F.when(F.col("rule").isNotNull(), occurrences(F.col("s.wall"), F.col("rule"), last + dates.hours(24), F.col("s.zone")))
+    masters = checkpointed(_latest(events.where("replaced is null"), ["feed", "uid"]).withColumn("walls", walls))
+    ruled = masters.where("rule is not null")
     rejects = ruled.where("walls is null").select("uid", "rule")
-    own = ruled.where("walls is not null").select("feed", "uid", F.explode("walls").alias("wall"), F.col("s.zone").alias("zone")).select("feed", "uid", in_utc(F.col("wall"), F.col("zone")).alias("was"))
+    own = ruled.where("walls is not null").select("feed", "uid", F.explode_outer(F.transform("walls", lambda t: in_utc(t, F.col("s.zone")))).alias("was"))
+    # Outside of the time asked for, an instance only counts if it is replaced; then the override brings it in.
+    own = own.where(F.col("was").between(now, last))
     edits = _latest(events.where("replaced is not null").withColumn("was", utc_of(F.col("replaced"))), ["feed", "uid", "was"])
     moved = edits.select("feed", "uid", "was", utc_of(F.col("s")).alias("to"), F.col("lasts").alias("new_lasts"), "cancelled")
     both = own.join(moved, ["feed", "uid", "was"], "full").join(ruled.where("walls is not null").select("feed", "uid", "feed_title", "b", "lasts", "gone", F.col("s.zone").alias("zone")), ["feed", "uid"])

@@ -79,3 +79,11 @@ def test_rejects_content_types_repeated_feeds_and_empty(spark):
     assert calendars.instances(calendars.events_of(empty), AS_OF)[0].collect() == []
     texts = spark.createDataFrame([(None, "BEGIN:VCALENDAR\nX-WR-CALNAME:Rooms\n" + one)], "feed_title string, text string")
     assert [r.platform for r in normalize.calendars(texts, AS_OF, "Hall")[0].collect()] == ["Rooms"]
+
+
+def test_texts_are_parsed_and_rules_run_once(spark):
+    """What the joins read is written: no property is looked for, and no rule run, in the plan behind it."""
+    texts = spark.createDataFrame([("F", "BEGIN:VCALENDAR\n" + block(*WEEKLY))], "feed_title string, text string")
+    rows, rejects = calendars.instances(calendars.events_of(texts), AS_OF)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (rows, rejects)]
+    assert len(rows.collect()) == 4 and not any(name in plan for plan in plans for name in ("EXDATE", "DTSTART", "VEVENT", "UNTIL", "BYDAY"))
